@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +37,6 @@ def texts(df: DataFrame, id_col: str, text_col: str, *more: str | Column) -> Dat
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
 
 
-def text_list(column: pa.Array) -> list[str]:
-    return column.to_pylist()
-
-
 def utf8_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column without nulls, as views where Arrow permits."""
     column = column.cast(pa.large_string())
@@ -50,15 +46,16 @@ def utf8_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]] if len(offsets) else raw[:0], (offsets - offsets[0]) if len(offsets) else np.zeros(1, np.int64)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that each holds about `most` bytes of text, or one row."""
+def pieces(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = 4_000_000, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that each holds about `most` bytes of text and at most `rows` rows, or one row."""
     for batch in batches:
         if not batch.num_rows:
             continue
         column = batch.column(text).cast(pa.large_string())
-        ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset + 1 : column.offset + len(column) + 1]
-        start, base = 0, int(np.frombuffer(column.buffers()[1], np.int64)[column.offset])
+        edges = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        start = 0
         while start < batch.num_rows:
-            stop = max(start + 1, int(np.searchsorted(ends, base + most, "right")))
+            fits = int(np.searchsorted(edges, edges[start] + most, "right")) - 1
+            stop = min(max(start + 1, fits), start + rows, batch.num_rows)
             yield batch.slice(start, stop - start)
-            start, base = stop, int(ends[stop - 1])
+            start = stop

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .langid import fit_languages, identify_languages
 from .sharding import shard_by_bytes
 
 
@@ -27,8 +28,20 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def crc_of_id() -> Column:
+    return F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8"))
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(crc_of_id() % 4 == 2, F.lit(False))
+    model = fit_languages(docs.where(~held))
+    return identify_languages(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op6_langid": op6_langid,
 }
 
 ORACLES: dict[str, str] = {}
