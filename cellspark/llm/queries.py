@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .jaccard import ngram_jaccard_join
 from .langid import fit_languages, identify_languages
 from .sharding import shard_by_bytes
 
@@ -28,6 +29,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard_join(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def crc_of_id() -> Column:
     return F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8"))
 
@@ -41,6 +46,7 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_langid": op6_langid,
 }
 
