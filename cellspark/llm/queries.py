@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .jaccard import ngram_jaccard_join
 from .langid import fit_languages, identify_languages
 from .sharding import shard_by_bytes
+from .toxicity import fit_toxicity, score_toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,10 +45,18 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(crc_of_id() % 5 == 0, F.lit(False))
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels").where(~held))
+    return score_toxicity(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_langid": op6_langid,
+    "op8_toxicity": op8_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
