@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import decode, encode
 from .jaccard import ngram_jaccard_join
 from .langid import fit_languages, identify_languages
 from .sharding import shard_by_bytes
@@ -52,11 +54,27 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+#: The tokenizer's files, a parameter of the operator.
+RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = decode(encode(docs, RANKS, PATTERN), RANKS)
+    return done.select(
+        "doc_id",
+        F.size("token_ids").cast("long").alias("n_tokens"),
+        F.sha2(F.encode(F.array_join(F.col("token_ids").cast("array<string>"), ","), "UTF-8"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_langid": op6_langid,
     "op8_toxicity": op8_toxicity,
+    "op10_bpe": op10_bpe,
 }
 
 ORACLES: dict[str, str] = {}
