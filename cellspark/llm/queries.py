@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import decode, encode
+from .common import texts
+from .fingerprint import add_sketch, as_text, edited_text, likeness, with_next
 from .jaccard import ngram_jaccard_join
 from .langid import fit_languages, identify_languages
 from .sharding import shard_by_bytes
@@ -54,6 +56,21 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op9_fingerprint(spark: SparkSession, sf_dir: str, width: int = 5, share: float = 1 / 16) -> DataFrame:
+    docs = add_sketch(texts(table(spark, sf_dir, "documents"), "doc_id", "text"), "text", "sketch", width, share)
+    pairs = with_next(docs, "text", "sketch").withColumn("edited", edited_text(F.col("text"), F.col("next_text")))
+    pairs = add_sketch(pairs, "edited", "edited_sketch", width, share)
+    return pairs.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
+        as_text(F.col("sketch")).alias("fingerprint"),
+        as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+    )
+
+
 #: The tokenizer's files, a parameter of the operator.
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -74,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_langid": op6_langid,
     "op8_toxicity": op8_toxicity,
+    "op9_fingerprint": op9_fingerprint,
     "op10_bpe": op10_bpe,
 }
 
