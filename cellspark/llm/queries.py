@@ -13,6 +13,7 @@ from .common import texts
 from .fingerprint import add_sketch, as_text, edited_text, likeness, with_next
 from .jaccard import ngram_jaccard_join
 from .langid import fit_languages, identify_languages
+from .media import text_media
 from .sharding import shard_by_bytes
 from .toxicity import fit_toxicity, score_toxicity
 
@@ -34,6 +35,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_media(table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), width=4, percent=85)
 
@@ -88,6 +93,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_media": op2_media,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_langid": op6_langid,
     "op8_toxicity": op8_toxicity,
