@@ -13,6 +13,7 @@ from .common import texts
 from .fingerprint import add_sketch, as_text, edited_text, likeness, with_next
 from .jaccard import ngram_jaccard_join
 from .langid import fit_languages, identify_languages
+from .license_scan import fit_licenses, scan_licenses
 from .media import text_media
 from .sharding import shard_by_bytes
 from .toxicity import fit_toxicity, score_toxicity
@@ -54,6 +55,12 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = scan_licenses(docs, fit_licenses(docs))
+    return found.select("doc_id", F.size("licenses").alias("n_found"), F.array_sort(F.array_distinct("licenses.family")).alias("families"), "licenses")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = F.coalesce(crc_of_id() % 5 == 0, F.lit(False))
@@ -96,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media": op2_media,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_langid": op6_langid,
+    "op7_licenses": op7_licenses,
     "op8_toxicity": op8_toxicity,
     "op9_fingerprint": op9_fingerprint,
     "op10_bpe": op10_bpe,
