@@ -15,6 +15,7 @@ from .jaccard import ngram_jaccard_join
 from .langid import fit_languages, identify_languages
 from .license_scan import fit_licenses, scan_licenses
 from .media import text_media
+from .mixing import mix_sources
 from .sharding import shard_by_bytes
 from .toxicity import fit_toxicity, score_toxicity
 
@@ -40,6 +41,10 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(table(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), width=4, percent=85)
 
@@ -101,6 +106,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_media": op2_media,
+    "op3_mixing": op3_mixing,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_langid": op6_langid,
     "op7_licenses": op7_licenses,
