@@ -14,6 +14,7 @@ from .fingerprint import add_sketch, as_text, edited_text, likeness, with_next
 from .jaccard import ngram_jaccard_join
 from .langid import fit_languages, identify_languages
 from .license_scan import fit_licenses, scan_licenses
+from .lm_score import fit_pairs, score_documents
 from .media import text_media
 from .mixing import mix_sources
 from .sharding import shard_by_bytes
@@ -45,6 +46,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    good = table(spark, sf_dir, "labels").where(F.col("quality") == 1)
+    return score_documents(docs, fit_pairs(docs, good))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), width=4, percent=85)
 
@@ -107,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_media": op2_media,
     "op3_mixing": op3_mixing,
+    "op4_lm_score": op4_lm_score,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_langid": op6_langid,
     "op7_licenses": op7_licenses,
