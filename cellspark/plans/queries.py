@@ -171,12 +171,12 @@ def forman_ricci(spark, d):
     return gr.forman_curvature(small(spark, d)[1]).withColumn("curvature", F.round("curvature", 6))
 
 
-@query("forman_quantile_components", f"WITH RECURSIVE {SMALL}, g AS (SELECT node, count(*) AS k FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY 1), f AS (SELECT src, dst, 4 - a.k - b.k AS q FROM e JOIN g a ON a.node = src JOIN g b ON b.node = dst), h AS (SELECT src, dst FROM f WHERE q > (SELECT quantile_cont(q, 0.6) FROM f)), s AS (SELECT src, dst FROM h UNION SELECT dst, src FROM h), r AS (SELECT node, node AS seen FROM v UNION SELECT r.node, s.dst FROM r JOIN s ON s.src = r.seen) SELECT node, min(seen) AS comp FROM r GROUP BY 1")
+@query("forman_quantile_components", f"WITH RECURSIVE {SMALL}, g AS (SELECT node, count(*) AS k FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY 1), f AS (SELECT src, dst, 4 - a.k - b.k AS q FROM e JOIN g a ON a.node = src JOIN g b ON b.node = dst), h AS (SELECT src, dst FROM f WHERE q <= (SELECT quantile_cont(q, 0.6) FROM f)), s AS (SELECT src, dst FROM h UNION SELECT dst, src FROM h), r AS (SELECT node, node AS seen FROM v UNION SELECT r.node, s.dst FROM r JOIN s ON s.src = r.seen) SELECT node, min(seen) AS comp FROM r GROUP BY 1")
 def forman_quantile_components(spark, d):
     nodes, edges = small(spark, d)
     bent = gr.forman_curvature(edges.withColumn("w", F.lit(1.0)))
     bar = bent.agg(F.percentile("curvature", F.lit(0.6)).alias("bar"))
-    kept = bent.crossJoin(F.broadcast(bar)).where("curvature > bar + 1e-9")  # one row
+    kept = bent.crossJoin(F.broadcast(bar)).where("curvature <= bar + 1e-9")  # one row
     return gr.components(nodes, kept.select("src", "dst"))
 
 
