@@ -64,7 +64,8 @@ def fit_pairs(
     The vocabulary is the `vocabulary` words that occur most in docs (of equals the lesser); all other words are one id in
     both models. Counts cover every row: each task adds up its words, and its pairs in `cells` hash cells, and sends the
     sums; so what is gathered grows with the rows, and the finished model (16 MB at most, plus the vocabulary) doesn't.
-    target (ids; repeated and null ones don't count twice) is joined, not collected.
+    target (ids; repeated and null ones don't count twice) is joined, not collected. What each task sends to the driver is
+    bounded by the vocabulary and the cells.
     """
     marked = texts(docs, id_col, text_col)
     chosen = target.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct().withColumn("of_target", F.lit(True))
@@ -84,8 +85,15 @@ def fit_pairs(
                 seen.clear()
         yield rows()
 
-    often = marked.select("text").mapInArrow(count_words, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    often = often.orderBy(F.desc("n"), "w").limit(vocabulary).collect()
+    often = written(marked.select("text").mapInArrow(count_words, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")), "lm-words")
+    # Counts by eighths of powers of two say from which count on words can matter; a few tasks then sort only those.
+    step = F.floor(8 * F.log2("n"))
+    steps, above, least = sorted(((r["s"], r["k"]) for r in often.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True), 0, 0
+    for least, k in steps:
+        above += k
+        if above >= vocabulary:
+            break
+    often = often.where(step >= least).repartition(8).orderBy(F.desc("n"), "w").limit(vocabulary).collect()
     words = {r["w"]: i + 3 for i, r in enumerate(often)}
     size = len(words) + 3
 
@@ -115,7 +123,8 @@ def fit_pairs(
             pairs[at[kind == 1]] = n[kind == 1]
         return single, pairs
 
-    target_tables = tables(counter(marked.join(flags, "doc_id")))
+    # Always by sorting: where the ids of the target happen to be few, the same plan holds as where they are many.
+    target_tables = tables(counter(marked.join(flags.hint("merge"), "doc_id")))
     all_tables = tables(counter(marked))
     single, pairs = (np.stack(t) for t in zip(target_tables, all_tables, strict=True))
     return PairModel(words, single, pairs, strength)
