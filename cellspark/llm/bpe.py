@@ -8,6 +8,7 @@ of what the pair merges into. A step merges the first pair of least rank and loo
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -23,11 +24,11 @@ from .common import pieces
 
 #: Token id 0 is this character; ids stay below the surrogates.
 SHIFT = 256
-#: Private characters: between entries, before an entry's result, between cells; and the rank of a pair without one.
-ENTRY, RESULT, CELL, NO_RANK = "\uf000", "\uf001", "\uf002", "\ue000"
-CELLS = 1 << 15
+#: Private characters: around a word, and the rank of a pair without one.
+EDGE, NO_RANK = "\uf000", "\ue000"
+CELLS = 1 << 14
 #: Texts are cut into blocks of so many bytes; a worker forgets its words beyond so many.
-BLOCK, KNOWN = 8_000_000, 600_000
+BLOCK, KNOWN = 2_000_000, 600_000
 
 
 @lru_cache(maxsize=4)
@@ -41,11 +42,29 @@ def sign(token_id: int) -> str:
 
 
 def cells(entries: dict[str, str]) -> Column:
-    """The entries as a literal array of strings, each a cell of a hash table by CRC-32."""
-    table = [""] * CELLS
+    """The entries as a literal array of small maps, the cells of a hash table by CRC-32."""
+    table: list[dict[str, str]] = [{} for _ in range(CELLS)]
     for key, value in entries.items():
-        table[zlib.crc32(key.encode()) % CELLS] += ENTRY + key + RESULT + value
-    return F.split(F.lit(CELL.join(table)), CELL)
+        table[zlib.crc32(key.encode()) % CELLS][key] = value
+    return F.from_json(F.lit(json.dumps(table, ensure_ascii=False, separators=(",", ":"))), "array<map<string,string>>")
+
+
+def merged(token: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+    """What merging alone makes of a token's bytes."""
+    parts = [token[i : i + 1] for i in range(len(token))]
+    while len(parts) > 1:
+        best = min(range(len(parts) - 1), key=lambda i: ranks.get(parts[i] + parts[i + 1], 1 << 30))
+        if parts[best] + parts[best + 1] not in ranks:
+            break
+        parts[best : best + 2] = [parts[best] + parts[best + 1]]
+    return parts
+
+
+@lru_cache(maxsize=4)
+def unmerged(path: str) -> dict[str, str]:
+    """Tokens that merging alone doesn't reach; a word that is one of them is that token nevertheless."""
+    ranks = load_ranks(path)
+    return {token.decode("latin-1"): sign(rank) for token, rank in ranks.items() if len(merged(token, ranks)) > 1}
 
 
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -54,58 +73,52 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def found(table: Column, key: Column) -> Column:
-    """The one-character result of a key, or the empty string."""
-    cell = F.get(table, (F.crc32(key.cast("binary")) % CELLS).cast("int"))
-    entry = F.concat(F.lit(ENTRY), key, F.lit(RESULT))
+    return F.get(table, (F.crc32(key.cast("binary")) % CELLS).cast("int"))[key]
 
-    def after(at: Column) -> Column:
-        return F.when(at > 0, F.substring(cell, at + F.length(entry), F.lit(1))).otherwise(F.lit(""))
 
-    return bound(F.call_function("instr", cell, entry), after)
+def pair_rank(table: Column, pair: Column) -> Column:
+    """What a pair of tokens merges into, or NO_RANK."""
+    return F.coalesce(found(table, pair), F.lit(NO_RANK))
 
 
-def word_encoder(ranks: dict[bytes, int]) -> Callable[[Column], Column]:
+def word_encoder(path: str) -> Callable[[Column], Column]:
     """A function from a column array<string> of words (a character per byte) to array<array<int>> of token ids."""
-    merges = {}
+    ranks, merges = load_ranks(path), {}
     for token, rank in ranks.items():
         for cut in range(1, len(token)):
             left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
             if left is not None and right is not None:
                 merges[sign(left) + sign(right)] = sign(rank)
     of_byte = "".join(sign(ranks[bytes([b])]) for b in range(256))
-    whole = {token.decode("latin-1"): sign(rank) for token, rank in ranks.items()}
-    one, rest, none = F.lit(1), F.lit(1 << 30), F.lit(NO_RANK)
+    whole = unmerged(path)
+    one, two, none = F.lit(1), F.lit(2), F.lit(NO_RANK)
 
     def encode(words: Column, pairs: Column, tokens: Column) -> Column:
-        def rank(pair: Column) -> Column:
-            return bound(found(pairs, pair), lambda r: F.when(r == "", none).otherwise(r))
-
         def step(state: Column, _: Column) -> Column:
             ids, between = state["ids"], state["between"]
 
             def merge(token: Column) -> Column:
                 def at(k: Column) -> Column:
-                    left = F.when(k > 1, rank(F.concat(ids.substr(k - 1, one), token))).otherwise("")
-                    right = F.when(k < F.length(between), rank(F.concat(token, ids.substr(k + 2, one)))).otherwise("")
-                    return F.struct(
-                        F.concat(ids.substr(one, k - 1), token, ids.substr(k + 2, rest)).alias("ids"),
-                        F.concat(between.substr(one, k - 2), left, right, between.substr(k + 2, rest)).alias("between"),
-                    )
+                    new = F.array(F.concat(ids.substr(k - 1, one), token), F.concat(token, ids.substr(k + 2, one)))
+                    ranked = F.array_join(F.transform(new, lambda pair: pair_rank(pairs, pair)), "")
+                    return F.struct(F.overlay(ids, token, k, two).alias("ids"), F.overlay(between, ranked, k - 1, F.lit(3)).alias("between"))
 
-                done = (token == "") | (token >= none)
-                return F.when(done, state).otherwise(bound(F.call_function("instr", between, token), at))
+                return F.when(token >= none, state).otherwise(bound(F.call_function("instr", between, token), at))
 
             return bound(F.array_min(F.split(between, "")), merge)
 
-        def folded(ids: Column) -> Column:
+        def folded(ids: Column) -> Column:  # between two characters that are no tokens, so that each pair has neighbours
             n = F.length(ids)
-            between = F.transform(F.sequence(one, n - 1), lambda i: rank(ids.substr(i, F.lit(2))))
+            between = F.transform(F.sequence(one, n - 1), lambda i: pair_rank(pairs, ids.substr(i, two)))
             start = F.struct(ids.alias("ids"), F.array_join(between, "").alias("between"))
-            return F.aggregate(F.sequence(one, n - 1), start, step, lambda state: state["ids"])
+            done = F.aggregate(F.sequence(one, F.greatest(n - 3, one)), start, step, lambda state: state["ids"])
+            return F.substring(done, two, F.length(done) - 2)
 
         def word(w: Column) -> Column:
-            merged = bound(F.translate(w, "".join(map(chr, range(256))), of_byte), folded)
-            ids = bound(found(tokens, w), lambda t: F.when(t == "", merged).otherwise(t))
+            padded = F.concat(F.lit(EDGE), F.translate(w, "".join(map(chr, range(256))), of_byte), F.lit(EDGE))
+            ids = bound(padded, folded)
+            if whole:
+                ids = F.coalesce(found(tokens, w), ids)
             return F.transform(F.split(ids, ""), lambda c: F.ascii(c) - SHIFT)
 
         return F.transform(words, word)
@@ -132,7 +145,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
     those; another pass in Python, in the same task, puts the ids of the texts together. Lists are bounded by the block
     and KNOWN words; whole texts count, a text longer than a block is one block.
     """
-    encoder = word_encoder(load_ranks(ranks_path))
+    encoder = word_encoder(ranks_path)
     kept = [c for c in df.columns if c != ids_col]
     schema = df.select(*kept).schema
 
