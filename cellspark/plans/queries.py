@@ -319,10 +319,10 @@ def stratified_folds(spark, d):
     return ev.stratified_folds(brand(spark, d), "node", "y", 5)
 
 
-@query("graph_pool", f"WITH {BASKETS}, g AS (SELECT DISTINCT o_custkey AS graph_id, node FROM m JOIN orders ON o_orderkey = he), x AS (SELECT graph_id, p_retailprice AS x FROM g JOIN part ON p_partkey = node) SELECT graph_id, count(*) AS n, round(sum(x), 2) AS total, round(avg(x), 2) AS mean, max(x) AS most FROM x GROUP BY 1")
+@query("graph_pool", f"WITH {BASKETS}, g AS (SELECT DISTINCT o_custkey AS graph_id, node FROM m JOIN orders ON o_orderkey = he), x AS (SELECT graph_id, p_retailprice AS x FROM g JOIN part ON p_partkey = node) SELECT graph_id, count(*) AS n, round(sum(x), 2) AS total, round(avg(x), 8) AS mean, max(x) AS most FROM x GROUP BY 1")
 def graph_pool(spark, d):
     got = ev.pooled(gs.customer_graphs(spark, d))
-    return got.withColumns({"total": F.round("total", 2), "mean": F.round("mean", 2)})
+    return got.withColumns({"total": F.round("total", 2), "mean": F.round("mean", 8)})
 
 
 @query("batch_offsets", f"WITH {BASKETS}, g AS (SELECT DISTINCT o_custkey AS graph_id, node FROM m JOIN orders ON o_orderkey = he), z AS (SELECT graph_id, count(*) AS n FROM g GROUP BY 1), i AS (SELECT graph_id, n, (row_number() OVER (ORDER BY graph_id) - 1) // 32 AS batch FROM z) SELECT graph_id, batch, n, coalesce(sum(n) OVER (PARTITION BY batch ORDER BY graph_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM i")
