@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.storage import written
+
 
 def khop_hyperedges(reach: DataFrame) -> DataFrame:
     """(he, node): the hyperedge of a centre holds the nodes within k hops; reach is (center, node)."""
@@ -63,6 +65,7 @@ def normalised_bias(d: DataFrame, b: DataFrame) -> DataFrame:
 def message_homophily(members: DataFrame, labels: DataFrame, steps: int = 3) -> DataFrame:
     """(step, node, y, p): step 0 takes for each node the mean of its hyperedges' label shares; each later step spreads
     node values to hyperedges and back."""
+    members = written(members, "members")
     share = label_counts(members, labels)
     edge = share.select("he", "y", (F.col("n") / F.sum("n").over(Window.partitionBy("he"))).alias("p"))
     found = []
@@ -70,7 +73,7 @@ def message_homophily(members: DataFrame, labels: DataFrame, steps: int = 3) ->
     count_node = members.groupBy("he").agg(F.count(F.lit(1)).alias("c"))
     for step in range(steps):
         node = members.join(edge, "he").groupBy("node", "y").agg(F.sum("p").alias("s")).join(count_he, "node")
-        node = node.select("node", "y", (F.col("s") / F.col("c")).alias("p"))
+        node = written(node.select("node", "y", (F.col("s") / F.col("c")).alias("p")), "node-shares")
         found.append(node.select(F.lit(step).alias("step"), "node", "y", "p"))
         edge = members.join(node, "node").groupBy("he", "y").agg(F.sum("p").alias("s")).join(count_node, "he")
         edge = edge.select("he", "y", (F.col("s") / F.col("c")).alias("p"))
@@ -90,8 +93,6 @@ def containment_rank(members: DataFrame) -> DataFrame:
     """(he, rank) of the distinct hyperedges' member sets: 0 for one node, else one more than the greatest rank of the
     sets properly inside, at least 1. Ranks are raised until none changes, at most as often as the largest set has
     members."""
-    from ..plans.storage import written
-
     sets = members.groupBy("he").agg(F.array_sort(F.collect_set("node")).alias("key")).groupBy("key").agg(F.min("he").alias("he"))
     sets = written(sets.withColumn("size", F.size("key")), "sets")
     rows = sets.select("he", "size", F.explode("key").alias("node"))

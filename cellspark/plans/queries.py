@@ -240,9 +240,9 @@ def group_homophily_baseline(spark, d):
     return hy.group_homophily(gs.baskets(spark, d), brand(spark, d))[2].withColumn("share", F.round("share", 6))
 
 
-@query("message_homophily", f"WITH {BASKETS}, l AS (SELECT p_partkey AS node, p_type AS y FROM part), c AS (SELECT he, y, count(*) AS n FROM m JOIN l USING (node) GROUP BY 1, 2), zh AS (SELECT node, count(*) AS c FROM m GROUP BY 1), zn AS (SELECT he, count(*) AS c FROM m GROUP BY 1), e0 AS (SELECT he, y, n / sum(n) OVER (PARTITION BY he) AS p FROM c), n0 AS (SELECT node, y, sum(p) / any_value(zh.c) AS p FROM m JOIN e0 USING (he) JOIN zh USING (node) GROUP BY 1, 2), e1 AS (SELECT he, y, sum(p) / any_value(zn.c) AS p FROM m JOIN n0 USING (node) JOIN zn USING (he) GROUP BY 1, 2), n1 AS (SELECT node, y, sum(p) / any_value(zh.c) AS p FROM m JOIN e1 USING (he) JOIN zh USING (node) GROUP BY 1, 2) SELECT 0 AS step, node, y, round(p, 6)::DOUBLE AS p FROM n0 UNION ALL SELECT 1, node, y, round(p, 6)::DOUBLE FROM n1")
+@query("message_homophily", f"WITH {BASKETS}, l AS (SELECT p_partkey AS node, p_type AS y FROM part), c AS (SELECT he, y, count(*) AS n FROM m JOIN l USING (node) GROUP BY 1, 2), zh AS (SELECT node, count(*) AS c FROM m GROUP BY 1), zn AS (SELECT he, count(*) AS c FROM m GROUP BY 1), e0 AS (SELECT he, y, n / sum(n) OVER (PARTITION BY he) AS p FROM c), n0 AS (SELECT node, y, sum(p) / any_value(zh.c) AS p FROM m JOIN e0 USING (he) JOIN zh USING (node) GROUP BY 1, 2), e1 AS (SELECT he, y, sum(p) / any_value(zn.c) AS p FROM m JOIN n0 USING (node) JOIN zn USING (he) GROUP BY 1, 2), n1 AS (SELECT node, y, sum(p) / any_value(zh.c) AS p FROM m JOIN e1 USING (he) JOIN zh USING (node) GROUP BY 1, 2) SELECT 0 AS step, node, y, round(p, 10)::DOUBLE AS p FROM n0 UNION ALL SELECT 1, node, y, round(p, 10)::DOUBLE FROM n1")
 def message_homophily(spark, d):
-    return hy.message_homophily(gs.baskets(spark, d), brand(spark, d), 2).withColumn("p", F.round("p", 6))
+    return hy.message_homophily(gs.baskets(spark, d), brand(spark, d), 2).withColumn("p", F.round("p", 10))
 
 
 @query("mean_scatter", f"WITH {BASKETS}, h AS (SELECT he, avg(p_retailprice) AS x FROM m JOIN part ON p_partkey = node GROUP BY 1) SELECT node, round(avg(x), 4) AS x FROM m JOIN h USING (he) GROUP BY 1")
