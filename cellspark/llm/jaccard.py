@@ -1,11 +1,11 @@
 """Exact Jaccard join of word n-gram sets, by prefixes of token combinations, and its components.
 
-A token is a shingle hash. Tokens are dealt into classes by how often they occur, estimated for all rows in a table of
-fixed size: rare ones (class 1), frequent ones (2) and very frequent ones (3). Tokens are ordered by class, then hash. A
+A token is a shingle hash. How often it occurs is estimated for all rows in a table of fixed size, as a rank; by rank,
+tokens are rare (class 1), frequent (2) or very frequent (3). Tokens are ordered by rank, then hash. A
 set's prefix is extended until removing any `slack` tokens (all that two linked sets can differ by on one side) must leave
 k tokens of some group of class k; class-k tokens fall into small groups, class 1 into groups of its own tokens. So two
 linked sets share a single rare token, or a pair or triple of frequent tokens of one group, within both prefixes. Those
-are the signatures. Every candidate pair is verified on the whole sets.
+are the signatures. Candidate pairs whose hash parities and histograms allow enough common tokens are verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -27,6 +27,12 @@ from .shingles import mixed, shingle_hashes
 SMALL = 32
 #: Bits of the filter that tells which rows' sets are to be made again.
 FILTER_BITS = 23
+#: Bins of the histogram that bounds how many tokens two sets can share.
+BINS = 128
+#: Cells of the parities that bound from below how many tokens two sets don't share.
+PARITIES = 512
+#: Signatures of more nodes than this first get a leader; a node asks the leaders of its most shared signatures, so many.
+CROWD, ASKED = 2, 6
 
 
 def level(n: int) -> int:
@@ -49,75 +55,103 @@ def combos(tokens: np.ndarray, group: np.ndarray, k: int, salt: int) -> np.ndarr
     return h
 
 
-def signatures(tokens: np.ndarray, classes: np.ndarray, percent: int) -> np.ndarray:
-    """The signatures of one set; tokens ascending, classes 0 to 2 for rare to very frequent."""
+def signatures(tokens: np.ndarray, ranks: np.ndarray, bounds: tuple[int, int], percent: int) -> np.ndarray:
+    """The signatures of one set, given its distinct tokens and the rank of each; bounds are the least ranks of
+    classes 2 and 3."""
     n = len(tokens)
     need = n * (100 - percent) // 100 + 1
-    rare = tokens[classes == 0][:need]
-    if len(rare) == need:
-        return mixed(rare)
-    least = -(-n * percent // 100)
-    out = []
-    for at in {level(n), level(least)}:
+    order = np.lexsort((tokens, ranks))
+    tokens, ranks = tokens[order], ranks[order]
+    n_rare = int(np.searchsorted(ranks, bounds[0]))
+    if n_rare >= need:
+        return mixed(tokens[:need])
+    out = [mixed(tokens[:n_rare])]
+    for at in {level(n), level(-(-n * percent // 100))}:
         if at < 0:
-            order = np.lexsort((tokens, classes))[:need]
-            out.append(mixed(tokens[order]))
+            out.append(mixed(tokens[:need]))
             continue
         groups = max(1, (1 << at) * (100 - percent) // 200)
-        order = np.lexsort((tokens, classes))[len(rare) :]
-        rest, kind = tokens[order], classes[order].astype(np.int64)
+        rest, kind = tokens[n_rare:], 1 + (ranks[n_rare:] >= bounds[1]).astype(np.int64)
         group = (mixed(rest ^ np.uint64(at + 7)) % np.uint64(groups)).astype(np.int64) + kind * groups
         by = np.argsort(group, kind="stable")
-        first = np.concatenate([[True], group[by][1:] != group[by][:-1]]) if len(by) else np.zeros(0, bool)
-        rank = np.empty(len(by), np.int64)
-        rank[by] = np.arange(len(by)) - np.maximum.accumulate(np.where(first, np.arange(len(by)), 0)) if len(by) else 0
-        reached = np.cumsum(rank >= kind)  # a group of class k gives what it has beyond k - 1 tokens
-        stop = int(np.searchsorted(reached, need - len(rare))) + 1
-        out.append(mixed(rare))
+        begin = np.concatenate([[True], group[by][1:] != group[by][:-1]])
+        place = np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by)) - np.maximum.accumulate(np.where(begin, np.arange(len(by)), 0))
+        reached = np.cumsum(place >= kind)  # a group of class k gives what it has beyond k - 1 tokens
+        stop = int(np.searchsorted(reached, need - n_rare)) + 1
         for k in (1, 2):
             own = kind[:stop] == k
             out.append(combos(rest[:stop][own], group[:stop][own], k + 1, at * 4 + k))
     return np.unique(np.concatenate(out))
 
 
-def document_frequencies(docs: DataFrame, width: int, bits: int) -> np.ndarray:
-    """Classes of the 2**bits hash cells by how many sets hold a token of the cell; counts cover all rows."""
+def token_ranks(docs: DataFrame, width: int, bits: int) -> tuple[np.ndarray, tuple[int, int]]:
+    """For each of the 2**bits hash cells, the rank (8 * log2 of the count, rounded down) of the sets that hold a token of
+    the cell, over all rows; and the least ranks of the frequent and the very frequent. Each task sends 2**bits bytes,
+    which tasks by slice of cells add up as they stream in; 2**bits bytes go to the driver and the workers."""
+    slices = 256
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.int64)
+        total = np.zeros(1 << bits, np.uint32)
         for part in pieces(batches):
-            total += np.bincount((shingle_hashes(part.column("text"), width)[0] >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-        cells = np.flatnonzero(total)
-        for i in range(0, len(cells), 65536):
-            some = cells[i : i + 65536]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["cell", "n"])
+            cell = (shingle_hashes(part.column("text"), width)[0] >> np.uint64(64 - bits)).astype(np.int64)
+            total += np.bincount(cell, minlength=1 << bits).astype(np.uint32)
+        if total.any():
+            for i, some in enumerate(np.split(total, slices)):
+                kind = np.uint8 if some.max() < 256 else np.uint32
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([some.astype(kind).tobytes()])], ["slice", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, n in zip(batch.column("slice").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                some = np.frombuffer(n, np.uint8 if len(n) == (1 << bits) // slices else np.uint32)
+                total[i] = total.get(i, 0) + some.astype(np.uint64)
+        for i, n in total.items():
+            rank = np.floor(8 * np.log2(1.0 + n)).astype(np.uint8).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([rank]), pa.array([int(n.sum())])], ["slice", "n", "total"])
+
+    parts = docs.select("text").mapInArrow(count, "slice int, n binary").repartition(slices, "slice")
+    ranks, total = np.zeros((slices, (1 << bits) // slices), np.uint8), 0
+    for row in parts.mapInArrow(add, "slice int, n binary, total long").collect():
+        ranks[row["slice"]] = np.frombuffer(row["n"], np.uint8)
+        total += row["total"]
+    mean = total / (1 << bits)
+    return ranks.reshape(-1), (int(8 * np.log2(2 * mean + 64)), int(8 * np.log2(8 * mean + 1024)))
+
+
+def histogram(tokens: np.ndarray) -> bytes:
+    """How many tokens fall into each bin, in single bytes where they fit."""
+    counts = np.bincount((tokens & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS)
+    return counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes()
+
 
-    counts = written(docs.select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")), "cells")
-    mean = (counts.agg(F.sum("n")).first()[0] or 0) / (1 << bits)
-    often = counts.where(F.col("n") > 2 * mean + 64).collect()  # at most half of the cells
-    classes = np.zeros(1 << bits, np.uint8)
-    for row in often:
-        classes[row["cell"]] = 2 if row["n"] > 8 * mean + 1024 else 1
-    return classes
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """For each of PARITIES hash cells, whether an odd number of tokens falls into it, as 64-bit words."""
+    odd = np.bincount(((tokens >> np.uint64(8)) & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
 
 
-def set_rows(docs: DataFrame, width: int, percent: int, classes: np.ndarray) -> DataFrame:
-    """Per row: doc_id, n (size of its set), node (a 64-bit digest of the set), sigs."""
-    bits = len(classes).bit_length() - 1
+def set_rows(docs: DataFrame, width: int, percent: int, ranks: np.ndarray, bounds: tuple[int, int]) -> DataFrame:
+    """Per row: doc_id, n (size of its set), node (a 64-bit digest of the set), sigs, bins (a histogram of its
+    hashes), odd (parities of such)."""
+    bits = len(ranks).bit_length() - 1
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches):
             tokens, first = shingle_hashes(part.column("text"), width)
-            kinds = classes[(tokens >> np.uint64(64 - bits)).astype(np.int64)]
-            sigs, nodes = [], np.zeros(part.num_rows, np.int64)
+            rank = ranks[(tokens >> np.uint64(64 - bits)).astype(np.int64)]
+            sigs, nodes, bins, odd = [], np.zeros(part.num_rows, np.int64), [], []
             for i, (s, e) in enumerate(zip(first[:-1], first[1:], strict=True)):
-                sigs.append(signatures(tokens[s:e], kinds[s:e], percent) if e > s else tokens[:0])
+                sigs.append(signatures(tokens[s:e], rank[s:e], bounds, percent) if e > s else tokens[:0])
                 nodes[i] = int.from_bytes(hashlib.blake2b(tokens[s:e].tobytes(), digest_size=8).digest(), "little", signed=True)
+                bins.append(histogram(tokens[s:e]))
+                odd.append(parities(tokens[s:e]))
             ends = np.concatenate([[0], np.cumsum([len(x) for x in sigs])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sigs).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(first)), pa.array(nodes), lists], ["doc_id", "n", "node", "sigs"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(first)), pa.array(nodes), lists, pa.array(bins, pa.binary()), pa.array(odd, pa.list_(pa.int64()))], ["doc_id", "n", "node", "sigs", "bins", "odd"])
 
-    return docs.mapInArrow(make, "doc_id long, n long, node long, sigs array<long>")
+    return docs.mapInArrow(make, "doc_id long, n long, node long, sigs array<long>, bins binary, odd array<long>")
 
 
 def id_bit(ids: np.ndarray) -> np.ndarray:
@@ -130,7 +164,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bit = id_bit(np.ascontiguousarray(batch.column(0).to_numpy(zero_copy_only=False)))
+            bit = id_bit(np.ascontiguousarray(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)))
             yield pa.RecordBatch.from_arrays([pa.array((bit >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (bit & np.uint64(63))).view(np.int64))], ["word", "bits"])
 
     words = wanted.select("doc_id").mapInArrow(place, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).collect()
@@ -140,7 +174,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches):
-            bit = id_bit(np.ascontiguousarray(part.column("doc_id").to_numpy(zero_copy_only=False)))
+            bit = id_bit(np.ascontiguousarray(part.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)))
             part = part.filter(pa.array((held[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1))
             tokens, first = shingle_hashes(part.column("text"), width)
             lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(tokens.view(np.int64)))
@@ -158,8 +192,35 @@ def size_fits(n: Column, m: Column, percent: int) -> Column:
     return (F.least(n, m) * 100) >= (F.greatest(n, m) * percent)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those whose sets are alike enough."""
+def near_enough(a: str, b: str, percent: int) -> Column:
+    """Whether sizes and parities allow a link: a cell of unequal parity holds a token that one set lacks."""
+    unlike = sum((F.bit_count(F.get(f"odd{a}", F.lit(i)).bitwiseXOR(F.get(f"odd{b}", F.lit(i)))) for i in range(PARITIES // 64)), F.lit(0))
+    n, m = F.col(f"n{a}"), F.col(f"n{b}")
+    return size_fits(n, m, percent) & (unlike * (100 + percent) <= (n + m) * (100 - percent))
+
+
+def hopeful(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b), those whose sizes and histograms allow enough common tokens: the sum of the lesser bins is
+    never below their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("na", "nb"))
+            most = np.zeros(batch.num_rows, np.int64)
+            for i, (x, y) in enumerate(zip(batch.column("ba").to_pylist(), batch.column("bb").to_pylist(), strict=True)):
+                x, y = (np.frombuffer(z, np.uint8 if len(z) == BINS else np.uint32) for z in (x, y))
+                most[i] = np.minimum(x, y).sum(dtype=np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array(most * 100 >= (n + m - most) * percent))
+
+    a, b = nodes.select("node", "n", "bins").toDF("a", "na", "ba"), nodes.select("node", "n", "bins").toDF("b", "nb", "bb")
+    return pairs.join(a, "a").join(b, "b").mapInArrow(run, "a long, b long")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
+    """Of the pairs (a, b), those whose sets are alike enough; sets are made for nodes of hopeful pairs only."""
+    pairs = written(hopeful(pairs, nodes, percent), "hopeful")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = written(sets_of(docs, nodes.select("doc_id", "node", "n").join(ends, "node"), width), "tokens")
     left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
     both = F.size(F.array_intersect("ta", "tb"))
@@ -172,8 +233,8 @@ def ngram_jaccard_join(
     text_col: str = "text",
     width: int = 5,
     percent: int = 80,
-    star_rounds: int = 3,
-    cell_bits: int = 18,
+    star_rounds: int = 5,
+    cell_bits: int = 22,
 ) -> DataFrame:
     """Returns doc_id, n_shingles and component_id, the least id that links reach; exact.
 
@@ -183,37 +244,38 @@ def ngram_jaccard_join(
     columns are not carried.
 
     Equal sets are one node, so copies cost one row each. Near copies would give pairs that grow with the square of a
-    group: first, in star_rounds rounds, each node is verified against one leader of its signatures only, and what links
-    becomes one component. Then all pairs of nodes that share a signature *in different components* are verified, which
-    loses no component. Nothing is capped.
+    group: first, in up to star_rounds rounds, each node in signatures of more than CROWD nodes is verified against the
+    leaders of ASKED of them, and what links becomes one component. Then all pairs of nodes that share a signature *in different
+    components* are verified, which loses no component. Nothing is capped.
     """
     docs = texts(df, id_col, text_col)
-    classes = document_frequencies(docs, width, cell_bits)
-    rows = written(set_rows(docs, width, percent, classes), "sets")
+    rows = written(set_rows(docs, width, percent, *token_ranks(docs, width, cell_bits)), "sets")
     marks = rows.select("node", F.explode("sigs").alias("sig"))
     shared = marks.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("sig")
     marks = written(marks.join(shared, "sig").distinct(), "marks")
-    nodes = rows.join(marks.select("node").distinct(), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-    nodes = written(nodes, "nodes")
-    sets = written(sets_of(docs, nodes, width), "tokens")
-    comps = nodes.select("node", "n", F.col("node").alias("comp"))
-    links = None
+    in_marks = rows.select("doc_id", "node", "n").join(marks.select("node").distinct(), "node")
+    nodes = in_marks.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    nodes = written(rows.select("doc_id", "node", "bins", "odd").join(nodes, ["doc_id", "node"]).dropDuplicates(["node"]), "nodes")
+    comps, links = nodes.select("node", "n", F.col("node").alias("comp"), "odd"), None
+    crowds = marks.join(marks.groupBy("sig").agg(F.count("node").alias("size")).where(F.col("size") > CROWD), "sig").groupBy("node")
+    crowds = crowds.agg(F.sort_array(F.collect_list(F.struct("size", "sig")), False).alias("sigs"))  # as many as its set gives
+    crowds = written(crowds.select("node", F.explode(F.slice("sigs.sig", 1, ASKED)).alias("sig")), "crowds")
     for turn in range(star_rounds):
         # The leader of a signature: its least node, each round under another order.
         order = F.col("node") if not turn else F.xxhash64("node", F.lit(turn))
-        lead = marks.join(comps, "node").groupBy("sig")
-        lead = lead.agg(F.min_by("node", order).alias("b"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig", "b")
-        pairs = marks.join(lead, "sig").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
-        pairs = pairs.join(comps.toDF("a", "na", "ca"), "a").join(comps.toDF("b", "nb", "cb"), "b")
-        pairs = pairs.where((F.col("ca") != F.col("cb")) & size_fits(F.col("na"), F.col("nb"), percent))
-        found = verified(pairs.groupBy("a").agg(F.min("b").alias("b")), sets, percent)
+        of = crowds.join(comps, "node")
+        lead = of.groupBy("sig").agg(F.min_by("node", order).alias("b"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        lead = lead.where("lo < hi").join(comps.toDF("b", "nb", "cb", "oddb"), "b")
+        pairs = of.toDF("a", "sig", "na", "ca", "odda").join(lead, "sig").where((F.col("ca") != F.col("cb")) & near_enough("a", "b", percent))
+        pairs = pairs.select("a", "b").distinct()
+        found = verified(pairs, docs, nodes, width, percent)
         links, comps, any_new = merged(links, found, nodes)
         if not any_new:
             break
     of = marks.join(comps, "node")
-    a, b = of.toDF("a", "sig", "na", "ca"), of.toDF("b", "sig", "nb", "cb")
-    pairs = a.join(b, "sig").where((F.col("ca") < F.col("cb")) & size_fits(F.col("na"), F.col("nb"), percent)).select("a", "b").distinct()
-    links, comps, _ = merged(links, verified(pairs, sets, percent), nodes)
+    a, b = of.toDF("a", "sig", "na", "ca", "odda"), of.toDF("b", "sig", "nb", "cb", "oddb")
+    pairs = a.join(b, "sig").where((F.col("ca") < F.col("cb")) & near_enough("a", "b", percent)).select("a", "b").distinct()
+    links, comps, _ = merged(links, verified(pairs, docs, nodes, width, percent), nodes)
     every = rows.join(comps.select("node", "comp"), "node", "left").select("doc_id", "n", F.coalesce("comp", "node").alias("comp"))
     every = every.withColumn("comp", F.when(F.col("n") > 0, F.col("comp")))
     first = every.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
@@ -225,5 +287,5 @@ def merged(links: DataFrame | None, found: DataFrame, nodes: DataFrame) -> tuple
     found = written(found, "links")
     new = found.limit(1).count() > 0
     links = found if links is None else links.union(found)
-    comps = nodes.join(connected(links), "node", "left").select("node", "n", F.coalesce("comp", "node").alias("comp"))
+    comps = nodes.join(connected(links), "node", "left").select("node", "n", F.coalesce("comp", "node").alias("comp"), "odd")
     return links, written(comps, "comps"), new
