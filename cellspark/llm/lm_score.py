@@ -4,50 +4,128 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import pieces, texts, written
 
 #: Word ids of both models: 0 stands for a text's start, 1 for its end, 2 for words outside the vocabulary.
 START, END, OTHER = 0, 1, 2
+#: Words whose counts every task holds when losses are computed; the others are joined.
+OFTEN_WORDS = 1 << 16
+#: Tokens that a counting task adds up before it sends sums, and words of which a worker keeps the digests.
+TOKENS, CACHE = 4_000_000, 500_000
 
 
 @dataclass
 class PairModel:
-    """Vocabulary (word to id) and, for target and background, counts of words and of word pairs in hash cells."""
+    """Exact counts in target (t) and background (g): of word pairs (a, b, t, g) and of words (w, t, g), as tables.
 
-    words: dict[str, int]
-    single: np.ndarray  # 2 x vocabulary
-    pairs: np.ndarray  # 2 x cells
+    totals has the sums of the words' counts and the size of the vocabulary. vocabulary is None where it has all words.
+    The losses of the pairs that occur most are held as arrays sorted by pair_keys.
+    """
+
+    pairs: DataFrame
+    words: DataFrame
+    totals: tuple[int, int, int]
     strength: float
-    logs: np.ndarray = field(default=None, repr=False)
+    vocabulary: frozenset[str] | None
+    keys: np.ndarray
+    losses: np.ndarray  # 2 x keys
+
+    def loss(self, side: str, pair: Column, first: Column, then: Column) -> Column:
+        """The negative log probability of a word after another from their counts, by Dirichlet smoothing."""
+        total, size = self.totals[side == "g"], self.totals[2]
+        return -F.log((pair + self.strength * (then + 1) / (total + size)) / (first + self.strength))
+
+    def with_losses(self, pairs: DataFrame) -> DataFrame:
+        """pairs (a, b, t, g) as a, b, and both losses; words without counts have zero."""
+        often = self.words.where(at_least(self.words, "g", OFTEN_WORDS))
+        ends = [F.col("w").alias(k) for k in "ab"]
+        known = [F.broadcast(often.select(end, F.col("t").alias(f"t{k}"), F.col("g").alias(f"g{k}"))) for k, end in zip("ab", ends, strict=True)]
+        seen = pairs.join(known[0], "a", "left").join(known[1], "b", "left")
+        both = seen.where("ta IS NOT NULL AND tb IS NOT NULL")
+        rest = seen.where("ta IS NULL OR tb IS NULL")
+        for k, end in zip("ab", ends, strict=True):
+            counts = self.words.select(end, F.col("t").alias("t_"), F.col("g").alias("g_"))
+            # Only rows without the word's counts look for them: a word of many pairs is in `often`.
+            open_ = rest.where(F.col(f"t{k}").isNull()).join(counts.hint("merge"), k, "left")
+            open_ = open_.select("a", "b", "t", "g", *(F.coalesce(f"{s}_", F.lit(0)).alias(f"{s}{x}") if x == k else F.col(f"{s}{x}") for x in "ab" for s in "tg"))
+            rest = rest.where(F.col(f"t{k}").isNotNull()).select(*open_.columns).union(open_)
+        done = both.select(*rest.columns).union(rest)
+        return done.select("a", "b", *(self.loss(s, F.col(s), F.col(f"{s}a"), F.col(f"{s}b")).alias(f"{s}_loss") for s in "tg"))
+
+
+class Digests(dict):
+    """Word to id: a 64-bit digest of its UTF-8; words outside a vocabulary, where one is given, are OTHER."""
+
+    def __init__(self, vocabulary: frozenset[str] | None) -> None:
+        self.vocabulary = vocabulary
+
+    def __missing__(self, word: str) -> int:
+        out = OTHER
+        if self.vocabulary is None or word in self.vocabulary:
+            out = int.from_bytes(blake2b(word.encode(), digest_size=8).digest(), "little", signed=True)
+            out += 3 * (START <= out <= OTHER)
+        if len(self) >= CACHE:
+            self.clear()
+        self[word] = out
+        return out
+
+    def pairs(self, some: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First and second words of all pairs of the texts, one after another, and the number of each text's pairs."""
+        ids, sizes = [], []
+        for text in some:
+            words = text.lower().split()
+            ids += [START, *map(self.__getitem__, words), END]
+            sizes.append(len(words) + 1)
+        every, n = np.array(ids, np.int64), np.array(sizes, np.int64)
+        ends = np.cumsum(n + 1)
+        return np.delete(every, ends - 1), np.delete(every, ends - n - 1), n
+
+
+def pair_keys(first: np.ndarray, then: np.ndarray) -> np.ndarray:
+    h = (first.astype(np.uint64) ^ np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0x9E3779B97F4A7C15)
+    h = ((h ^ (h >> np.uint64(29))) + then.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def at_least(counts: DataFrame, n: str, most: int) -> Column:
+    """A condition that holds for the rows of the greatest counts, at most `most`, all of equal count alike."""
+    step = F.floor(8 * F.log2(F.col(n)))
+    above, least = 0, None
+    for s, k in sorted(((r["s"], r["k"]) for r in counts.where(F.col(n) > 0).groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True):
+        above += k
+        if above > most:
+            break
+        least = s
+    return F.lit(False) if least is None else F.coalesce((F.col(n) > 0) & (step >= least), F.lit(False))
 
-    def __post_init__(self) -> None:
-        total = self.single.sum(1, keepdims=True)
-        self.logs = (self.single + 1) / (total + self.single.shape[1])  # add-one unigrams, the back-off of both
 
-    def losses(self, ids: np.ndarray) -> np.ndarray:
-        """2 x tokens: the negative log probability of each id after the one before it, by Dirichlet smoothing."""
-        first, then = ids[:-1], ids[1:]
-        cell = pair_cells(first, then, self.pairs.shape[1])
-        seen = self.pairs[:, cell] + self.strength * self.logs[:, then]
-        return -np.log(seen / (self.single[:, first] + self.strength))
+def most_frequent(docs: DataFrame, vocabulary: int) -> frozenset[str]:
+    """The `vocabulary` words that occur most in the column text (of equals the lesser); they go to the driver."""
 
+    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
 
-def pair_cells(first: np.ndarray, then: np.ndarray, cells: int) -> np.ndarray:
-    h = (first.astype(np.uint64) << np.uint64(32) | then.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (h >> np.uint64(64 - (cells.bit_length() - 1))).astype(np.int64)
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["w", "n"])
 
+        for part in pieces(batches):
+            for text in part.column("text").to_pylist():
+                seen.update(text.lower().split())
+            if len(seen) > CACHE:
+                yield rows()
+                seen.clear()
+        yield rows()
 
-def word_ids(text: str, words: dict[str, int]) -> np.ndarray:
-    get = words.get
-    return np.array([START, *(get(w, OTHER) for w in text.lower().split()), END], np.int64)
+    often = docs.select("text").mapInArrow(count_words, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    return frozenset(r["w"] for r in often.orderBy(F.desc("n"), "w").limit(vocabulary).collect())
 
 
 def fit_pairs(
@@ -55,79 +133,61 @@ def fit_pairs(
     target: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    vocabulary: int = 1 << 16,
-    cells: int = 1 << 20,
+    vocabulary: int | None = None,
+    cells: int = 1 << 18,
     strength: float = 16.0,
 ) -> PairModel:
     """Count words and word pairs of all of docs (background) and of the rows whose id is in `target`.
 
-    The vocabulary is the `vocabulary` words that occur most in docs (of equals the lesser); all other words are one id in
-    both models. Counts cover every row: each task adds up its words, and its pairs in `cells` hash cells, and sends the
-    sums; so what is gathered grows with the rows, and the finished model (16 MB at most, plus the vocabulary) doesn't.
-    target (ids; repeated and null ones don't count twice) is joined, not collected. What each task sends to the driver is
-    bounded by the vocabulary and the cells.
+    Every word and every pair has its own exact count, in tables that grow with the input; words are named by 64-bit
+    digests. With `vocabulary`, only the words that occur most in docs (of equals the lesser) are told apart and all
+    others are one id in both models. The losses of at most `cells` pairs, the most frequent, go to the driver and every
+    task; this saves joins and changes no result. target (ids; repeated and null ones don't count twice) is joined, not
+    collected.
     """
     marked = texts(docs, id_col, text_col)
-    chosen = target.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct().withColumn("of_target", F.lit(True))
-    flags = written(marked.select("doc_id").distinct().join(chosen, "doc_id"), "lm-target")
+    chosen = target.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct().select("doc_id", F.lit(0).alias("deal"), F.lit(True).alias("of_target"))
+    held = None if vocabulary is None else most_frequent(marked, vocabulary)
 
-    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digests, parts, tokens = Digests(held), [], 0
 
         def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["w", "n"])
+            a, b, t = (np.concatenate(x) for x in zip(*parts, strict=True))
+            _, at, group = np.unique(pair_keys(a, b), return_index=True, return_inverse=True)
+            columns = [a[at], b[at], np.bincount(group, t, len(at)).astype(np.int64), np.bincount(group, minlength=len(at))]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "t", "g"])
 
         for part in pieces(batches):
-            for text in part.column("text").to_pylist():
-                seen.update(text.lower().split())
-            if len(seen) > 500_000:
-                yield rows()
-                seen.clear()
-        yield rows()
-
-    often = written(marked.select("text").mapInArrow(count_words, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")), "lm-words")
-    # Counts by eighths of powers of two say from which count on words can matter; a few tasks then sort only those.
-    step = F.floor(8 * F.log2("n"))
-    steps, above, least = sorted(((r["s"], r["k"]) for r in often.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True), 0, 0
-    for least, k in steps:
-        above += k
-        if above >= vocabulary:
-            break
-    often = often.where(step >= least).repartition(8).orderBy(F.desc("n"), "w").limit(vocabulary).collect()
-    words = {r["w"]: i + 3 for i, r in enumerate(often)}
-    size = len(words) + 3
-
-    def counter(docs_part: DataFrame) -> DataFrame:
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            single, pairs = np.zeros(size, np.int64), np.zeros(cells, np.int64)
-            for part in pieces(batches):
-                ids = [word_ids(text, words) for text in part.column("text").to_pylist()]
-                single += np.bincount(np.concatenate(ids), minlength=size)
-                first, then = (np.concatenate(x) for x in ([i[:-1] for i in ids], [i[1:] for i in ids]))
-                pairs += np.bincount(pair_cells(first, then, cells), minlength=cells)
-            for kind, table in ((0, single), (1, pairs)):
-                at = np.flatnonzero(table)
-                for i in range(0, len(at), 1 << 16):
-                    some = at[i : i + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), kind, np.int32)), pa.array(some), pa.array(table[some])], ["kind", "at", "n"])
-
-        sums = docs_part.select("text").mapInArrow(count, "kind int, at long, n long").groupBy("kind", "at").agg(F.sum("n").alias("n"))
-        return written(sums, "lm-counts")
-
-    def tables(sums: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        single, pairs = np.zeros(size, np.float32), np.zeros(cells, np.float32)
-        # At most size + cells rows, in the order of their cells so that each batch stays small.
-        for batch in sums.repartition(16, "at").toArrow().to_batches():
-            kind, at, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("kind", "at", "n"))
-            single[at[kind == 0]] = n[kind == 0]
-            pairs[at[kind == 1]] = n[kind == 1]
-        return single, pairs
-
-    # Always by sorting: where the ids of the target happen to be few, the same plan holds as where they are many.
-    target_tables = tables(counter(marked.join(flags.hint("merge"), "doc_id")))
-    all_tables = tables(counter(marked))
-    single, pairs = (np.stack(t) for t in zip(target_tables, all_tables, strict=True))
-    return PairModel(words, single, pairs, strength)
+            first, then, n = digests.pairs(part.column("text").to_pylist())
+            parts.append((first, then, np.repeat(part.column("of_target").to_numpy(zero_copy_only=False).astype(np.int8), n)))
+            tokens += len(first)
+            if tokens >= TOKENS:
+                out = rows()
+                for i in range(0, out.num_rows, 1 << 17):
+                    yield out.slice(i, 1 << 17)
+                parts, tokens = [], 0
+        if parts:
+            out = rows()
+            for i in range(0, out.num_rows, 1 << 17):
+                yield out.slice(i, 1 << 17)
+
+    # Null ids are of no target; `deal` spreads them over the tasks.
+    dealt = marked.withColumn("deal", F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(1 << 16)).cast("int")).otherwise(0))
+    flagged = dealt.join(chosen.hint("merge"), ["doc_id", "deal"], "left").select("text", F.coalesce("of_target", F.lit(False)).alias("of_target"))
+    pairs = flagged.mapInArrow(count, "a long, b long, t long, g long").groupBy("a", "b").agg(F.sum("t").alias("t"), F.sum("g").alias("g"))
+    pairs = written(pairs, "lm-pairs")
+    # Every word but a text's end is the first of as many pairs as it occurs; ends are as many as starts.
+    words = pairs.groupBy(F.col("a").alias("w")).agg(F.sum("t").alias("t"), F.sum("g").alias("g"))
+    words = written(words.select(F.explode(F.when(F.col("w") == START, F.array(F.lit(START), F.lit(END)).cast("array<bigint>")).otherwise(F.array("w"))).alias("w"), "t", "g"), "lm-words")
+    sums = words.agg(F.sum("t").alias("t"), F.sum("g").alias("g"), F.count(F.when(~F.col("w").isin(START, END, OTHER), 1)).alias("n")).first()
+    model = PairModel(pairs, words, (sums["t"] or 0, sums["g"] or 0, sums["n"] + 3), strength, held, np.zeros(0, np.uint64), np.zeros((2, 0)))
+    often = model.with_losses(pairs.where(at_least(pairs, "g", cells))).toArrow()
+    a, b, *losses = (often.column(c).to_numpy() for c in ("a", "b", "t_loss", "g_loss"))
+    keys = pair_keys(a, b)
+    order = np.argsort(keys)
+    model.keys, model.losses = keys[order], np.stack(losses)[:, order]
+    return model
 
 
 def score_documents(df: DataFrame, model: PairModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -135,21 +195,49 @@ def score_documents(df: DataFrame, model: PairModel, id_col: str = "doc_id", tex
 
     Losses are nats per token of the whole text, its end included, so an empty or null text has one token, its end. The
     score is the mean over tokens of target loss less background loss: the lower, the more like the target. Repeated rows
-    get equal scores; other columns are not carried.
+    get equal scores; other columns are not carried. A task sums the losses of the frequent pairs at once; the other
+    pairs are joined to the model's table, and those that it lacks are computed from the counts of their words.
     """
-    spark = df.sparkSession
-    held = spark.sparkContext.broadcast(model)  # of fixed size
+    held = df.sparkSession.sparkContext.broadcast((model.vocabulary, model.keys, model.losses))  # of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = held.value
+        vocabulary, keys, losses = held.value
+        digests = Digests(vocabulary)
         for part in pieces(batches):
-            n, means = [], []
-            for text in part.column("text").to_pylist():
-                ids = word_ids(text, own.words)
-                n.append(len(ids) - 1)
-                means.append(own.losses(ids).mean(1, dtype=np.float64))
-            both = np.stack(means)
-            columns = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(both[:, 0] - both[:, 1])]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return texts(df, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+            first, then, n = digests.pairs(part.column("text").to_pylist())
+            rows = part.column("row").to_numpy()
+            key = pair_keys(first, then)
+            at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+            known = keys[at] == key if len(keys) else np.zeros(len(key), bool)
+            of = np.repeat(np.arange(len(n)), n)
+            t, g = (np.bincount(of[known], x[at[known]], len(n)) for x in losses)
+            none = pa.nulls(len(n), pa.int64())
+            names = ["row", "doc_id", "n", "a", "b", "t_loss", "g_loss"]
+            yield pa.RecordBatch.from_arrays([pa.array(rows), part.column("doc_id"), pa.array(n), none, none, pa.array(t, pa.float64()), pa.array(g, pa.float64())], names)
+            at = np.flatnonzero(~known)
+            for i in range(0, len(at), 1 << 17):
+                some = at[i : i + (1 << 17)]
+                none, null = pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(rows[of[some]]), none, none, pa.array(first[some]), pa.array(then[some]), null, null], names)
+
+    numbered = texts(df, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
+    asked = written(numbered.mapInArrow(run, "row long, doc_id long, n long, a long, b long, t_loss double, g_loss double"), "lm-asked")
+    own = asked.where("a IS NULL").select("row", "doc_id", "n", "t_loss", "g_loss", F.lit(0).alias("lost"))
+    wanted = asked.where("a IS NOT NULL").select("row", "a", "b")
+
+    def summed(some: DataFrame) -> DataFrame:
+        return some.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n").alias("n"), F.sum("t_loss").alias("t_loss"), F.sum("g_loss").alias("g_loss"), F.sum("lost").alias("lost"))
+
+    none = F.lit(None).cast("long")
+    found = wanted.join(model.with_losses(model.pairs).hint("merge"), ["a", "b"], "left")
+    found = found.select("row", none.alias("doc_id"), none.alias("n"), "t_loss", "g_loss", F.col("t_loss").isNull().cast("int").alias("lost"))
+    sums = written(summed(own.union(found)), "lm-sums")
+    if sums.where("lost > 0").limit(1).count():
+        new = wanted.join(sums.where("lost > 0").select("row"), "row", "left_semi").join(model.pairs.select("a", "b"), ["a", "b"], "left_anti")
+        new = written(new, "lm-new")
+        zero = F.lit(0).cast("long")
+        priced = model.with_losses(new.select("a", "b").distinct().select("a", "b", zero.alias("t"), zero.alias("g")))
+        late = new.join(priced, ["a", "b"]).select("row", none.alias("doc_id"), none.alias("n"), "t_loss", "g_loss", F.lit(0).cast("long").alias("lost"))
+        sums = summed(sums.union(late))
+    t, g = F.col("t_loss") / F.col("n"), F.col("g_loss") / F.col("n")
+    return sums.select("doc_id", F.col("n").alias("n_tokens"), t.alias("target_loss"), g.alias("background_loss"), (t - g).alias("score"))

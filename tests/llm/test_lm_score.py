@@ -40,3 +40,38 @@ def test_empty(spark, no_docs):
     lone = spark.createDataFrame([(1, None)], "doc_id long, text string")
     (row,) = lm_score.score_documents(lone, model).collect()
     assert row["n_tokens"] == 1 and row["score"] == pytest.approx(0)
+
+
+def exact(rows, chosen, text, strength):
+    """Both losses of a text, from counts of every word and pair."""
+
+    def ids(t):
+        return ["<s>", *(t or "").lower().split(), "</s>"]
+
+    size = len({w for _, t in rows for w in (t or "").lower().split()}) + 3
+    out = []
+    for some in ([t for d, t in rows if d in chosen], [t for _, t in rows]):
+        one, two = Counter(), Counter()
+        for t in some:
+            one.update(ids(t))
+            two.update(zip(ids(t), ids(t)[1:]))
+        total = sum(one.values())
+        x = ids(text)
+        out.append(sum(-math.log((two[a, b] + strength * (one[b] + 1) / (total + size)) / (one[a] + strength)) for a, b in zip(x, x[1:])) / (len(x) - 1))
+    return out
+
+
+def test_more_pairs_than_cells_and_all_words(spark, docs, plain, monkeypatch):
+    target = spark.createDataFrame([(1,), (2,), (4,), (None,)], "doc_id long")
+    monkeypatch.setattr(lm_score, "OFTEN_WORDS", 8)
+    model = lm_score.fit_pairs(docs, target, cells=16, strength=3.0)
+    new = [(None, "unheard words of the water"), (-1, "the the und")]
+    more = docs.select("doc_id", "text").union(spark.createDataFrame(new, "doc_id long, text string"))
+    got = sorted((r["doc_id"] or 0, r["n_tokens"], round(r["target_loss"], 6), round(r["background_loss"], 6)) for r in lm_score.score_documents(more, model).collect())
+    want = []
+    for d, t in plain + new:
+        x, y = exact(plain, {1, 2, 4}, t, 3.0)
+        want.append((d or 0, len((t or "").split()) + 1, round(x, 6), round(y, 6)))
+    assert len(model.keys) <= 16 < model.pairs.count()
+    assert [r[:2] for r in got] == [r[:2] for r in sorted(want)]
+    assert all(abs(p - q) < 2e-6 for a, b in zip(got, sorted(want)) for p, q in zip(a[2:], b[2:]))
