@@ -3,20 +3,30 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from fractions import Fraction
-from math import lcm
+from itertools import islice
+from math import gcd, lcm
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import texts, written
 
-#: Target weights are taken as multiples of 1 / PERIOD, so a schedule repeats after PERIOD slots.
-PERIOD = 1024
 
+def shares(weights: list[float], period: int | None = None) -> list[int]:
+    """Whole numbers in exactly the proportions of the weights, the least such.
 
-def shares(weights: list[float], period: int = PERIOD) -> list[int]:
-    """Whole parts of a period in proportion to the weights, at least 1 each, by largest remainder."""
+    With a period, whole parts of it by largest remainder instead, at least 1 each.
+    """
+    if period is None:
+        exact = [Fraction(w) for w in weights]
+        scale = lcm(*(e.denominator for e in exact))
+        parts = [int(e * scale) for e in exact]
+        common = gcd(*parts)
+        return [part // common for part in parts]
     period = max(period, len(weights))
     total = sum(weights)
     exact = [w / total * (period - len(weights)) for w in weights]
@@ -27,53 +37,47 @@ def shares(weights: list[float], period: int = PERIOD) -> list[int]:
     return parts
 
 
-def pfair_period(parts: list[int]) -> list[int]:
-    """Which source each slot of a period serves. Block j of a source of weight w = part / period is released at
+def pfair(parts: list[int]) -> Iterator[int]:
+    """Which source each slot serves, without end. Block j of a source of weight w = part / sum of parts is released at
     floor(j / w) and due at ceil((j + 1) / w); each slot serves the released block due first, of equals the source first
     in order. Every block is served within its window, so each source stays less than one block from its share."""
     period = sum(parts)
     waiting = [(0, i, 0) for i in range(len(parts))]  # (release, source, block)
-    heapq.heapify(waiting)
     ready: list[tuple[int, int, int]] = []
-    out = []
-    for slot in range(period):
+    slot = 0
+    while True:
         while waiting and waiting[0][0] <= slot:
             _, i, j = heapq.heappop(waiting)
             heapq.heappush(ready, (-(-(j + 1) * period // parts[i]), i, j))
         due, i, j = heapq.heappop(ready)
         if due <= slot:
             raise AssertionError("a block missed its deadline")
-        out.append(i)
-        if j + 1 < parts[i]:
-            heapq.heappush(waiting, ((j + 1) * period // parts[i], i, j + 1))
-    return out
-
-
-def phases(blocks: list[int], weights: list[float]) -> list[tuple[int, list[int], list[int]]]:
-    """Phases of the mixture: (first slot, blocks of each source served before, parts). A phase ends when a source has
-    nothing left; the next one shares the slots among the rest by their weights."""
-    served, slot, out = [0] * len(blocks), 0, []
-    while any(s < b for s, b in zip(served, blocks, strict=True)):
-        alive = [i for i, (s, b) in enumerate(zip(served, blocks, strict=True)) if s < b]
-        parts = [0] * len(blocks)
-        for i, part in zip(alive, shares([weights[i] for i in alive]), strict=True):
-            parts[i] = part
-        out.append((slot, list(served), parts))
-        turn = pfair_period([parts[i] for i in alive])
-        left = {i: blocks[i] - served[i] for i in alive}
-        full = min(-(-left[i] // parts[i]) - 1 for i in alive)  # whole periods that no source ends in
-        slots = full * len(turn)
-        for i in alive:
-            left[i] -= full * parts[i]
-        for k in turn:
-            slots += 1
-            left[alive[k]] -= 1
-            if not left[alive[k]]:
+        yield i
+        heapq.heappush(waiting, ((j + 1) * period // parts[i], i, j + 1))
+        slot += 1
+
+
+def pfair_period(parts: list[int]) -> list[int]:
+    """The slots of pfair until it repeats."""
+    return list(islice(pfair(parts), sum(parts)))
+
+
+def schedule(blocks: list[int], weights: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    """The source of every slot, and the slots with which phases end. A phase ends when a source has nothing left; the
+    next one shares the slots among the rest by their weights, exactly."""
+    left, turns, ends = list(blocks), [], []
+    alive = [i for i, b in enumerate(blocks) if b]
+    parts = shares(weights) if weights else []
+    while alive:
+        for k in pfair([parts[i] for i in alive]):
+            i = alive[k]
+            turns.append(i)
+            left[i] -= 1
+            if not left[i]:
                 break
-        for i in alive:
-            served[i] = blocks[i] - left[i]
-        slot += slots
-    return out
+        ends.append(len(turns) - 1)
+        alive = [i for i in alive if left[i]]
+    return np.array(turns, np.int64), np.array(ends, np.int64)
 
 
 def mix_sources(
@@ -84,7 +88,7 @@ def mix_sources(
     weights: dict[str | None, float] | None = None,
     temperature: float = 0.5,
     block_rows: int = 64,
-    most_sources: int = 4096,
+    most_sources: int | None = None,
     bucket_rows: int = 1024,
 ) -> DataFrame:
     """Interleave the blocks of all sources to target weights; returns doc_id, source, block, slot, place.
@@ -96,13 +100,13 @@ def mix_sources(
     ids and texts each get a place; an empty table gives an empty result; other columns are not carried.
 
     Skew: a source's rows are ranked within hashed buckets of about bucket_rows rows, and buckets by running sums, so a
-    source that holds a third of all rows is ranked by many tasks. The driver has a count per source (most_sources at
-    most, more is an error) and a schedule of PERIOD slots a phase; phases are at most as many as sources.
+    source that holds a third of all rows is ranked by many tasks. The driver has a count per source (with most_sources,
+    more than these are an error) and makes the schedule from them, some 50 bytes a block; rows find their slots by a join.
     """
     rows = texts(df, id_col, text_col, F.col(source_col).cast("string").alias("source"))
     rows = rows.select("doc_id", "source", F.xxhash64("doc_id").alias("turn"), F.xxhash64("text").alias("tie"))
-    counts = [(r["source"], r["n"]) for r in rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")).limit(most_sources + 1).collect()]
-    if len(counts) > most_sources:
+    counts = [(r["source"], r["n"]) for r in rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()]
+    if most_sources is not None and len(counts) > most_sources:
         raise ValueError(f"more than {most_sources} sources; give their groups as source column")
     counts.sort(key=lambda c: (c[0] is not None, c[0] or ""))
     blocks = [-(-n // block_rows) for _, n in counts]
@@ -124,34 +128,20 @@ def mix_sources(
     rank = F.col("start") + F.col("at")
     ranked = ranked.select("doc_id", "source", "k", F.floor(rank / block_rows).alias("block"), (rank % block_rows).alias("in_block"))
 
-    plan = phases(blocks, targets)
-    # For each phase and source: which slot of the period its j-th block takes.
-    table = []
-    for p, (slot, served, parts) in enumerate(plan):
-        alive = [i for i, part in enumerate(parts) if part]
-        turn = pfair_period([parts[i] for i in alive])
-        upper = plan[p + 1][1] if p + 1 < len(plan) else blocks
-        for a, i in enumerate(alive):
-            table.append((i, served[i], upper[i], parts[i], slot, len(turn), [t for t, k in enumerate(turn) if k == a]))
-    when = spark.createDataFrame(table, "k int, lo long, hi long, part int, first long, period int, slots array<int>")
-    j = F.col("block") - F.col("lo")
-    slot = F.col("first") + F.floor(j / F.col("part")) * F.col("period") + F.get("slots", (j % F.col("part")).cast("int"))
-    placed = ranked.join(F.broadcast(when), "k").where((F.col("block") >= F.col("lo")) & (F.col("block") < F.col("hi")))
-    placed = written(placed.select("doc_id", "source", "k", "block", "in_block", slot.cast("long").alias("slot")), "mixture")
-
-    # All blocks but a source's last are full, so a slot's first place follows from the short blocks before it.
-    short = {i: (n - (b - 1) * block_rows) for i, ((_, n), b) in enumerate(zip(counts, blocks, strict=True))}
-    last = placed.where("in_block = 0").join(F.broadcast(spark.createDataFrame([(i, b - 1) for i, b in enumerate(blocks)] or [(0, 0)], "k int, block long")), ["k", "block"])
-    gaps = sorted((r["slot"], block_rows - short[r["k"]]) for r in last.select("k", "slot").collect())  # a row per source
-    lost, steps = 0, []
-    for at, gap in gaps:
-        lost += gap
-        steps.append((at, lost))
-    gone = F.lit(0)
-    if steps:
-        literal = F.array(*(F.struct(F.lit(a).cast("long").alias("at"), F.lit(g).cast("long").alias("gone")) for a, g in steps))
-        gone = F.coalesce(F.array_max(F.transform(F.filter(literal, lambda s: s["at"] < F.col("slot")), lambda s: s["gone"])), F.lit(0))
-    return placed.select("doc_id", "source", "block", "slot", (F.col("slot") * block_rows - gone + F.col("in_block")).cast("long").alias("place"))
+    turns, ends = schedule(blocks, targets)
+    # A source's blocks take its slots in order. All blocks but a source's last, which ends a phase, are full, so a slot's
+    # first place follows from the phases before it.
+    order = np.argsort(turns, kind="stable")
+    starts = np.cumsum([0, *blocks])[:-1]
+    block = np.arange(len(turns)) - np.repeat(starts, blocks)
+    rows_of, blocks_of = np.array([n for _, n in counts], np.int64), np.array(blocks, np.int64)
+    lost = np.cumsum(np.concatenate([[0], (blocks_of * block_rows - rows_of)[turns[ends]]])) if len(ends) else np.zeros(1, np.int64)
+    first = order * block_rows - lost[np.searchsorted(ends, order)]
+    when = pa.table({"k": pa.array(turns[order], pa.int32()), "block": pa.array(block, pa.int64()), "slot": pa.array(order, pa.int64()), "first": pa.array(first, pa.int64())})
+    when = written(spark.createDataFrame(when), "schedule")
+    # By sorting at all sizes: a key has at most block_rows rows.
+    placed = ranked.join(when.hint("merge"), ["k", "block"])
+    return placed.select("doc_id", "source", "block", "slot", (F.col("first") + F.col("in_block")).cast("long").alias("place"))
 
 
 def deviation(parts: list[int], turn: list[int]) -> Fraction:
