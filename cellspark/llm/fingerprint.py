@@ -1,4 +1,4 @@
-"""Document fingerprints: every shingle hash below a fixed share of all hashes (DataFrame operations only)."""
+"""Document fingerprints: every shingle hash, or those below a fixed share of all hashes (DataFrame operations only)."""
 
 from __future__ import annotations
 
@@ -22,6 +22,9 @@ def word_hash_list(text: Column) -> Column:
 def sketch_of(hashes: Column, width: int, share: float) -> Column:
     """Ascending distinct shingle hashes below `share` of the range, and always the least one; no words, no hashes.
 
+    With a share of 1 these are all hashes, so containment is exact. A lesser share estimates it, and tells nothing of a
+    text without a hash below the share: a longer text that holds the same shingle may not keep its hash.
+
     hashes must be a column of its own, since each shingle reads it `width` times.
     """
     n = F.size(hashes)
@@ -29,6 +32,8 @@ def sketch_of(hashes: Column, width: int, share: float) -> Column:
         n >= width,
         F.transform(F.sequence(F.lit(0), n - width), lambda i: F.xxhash64(*(F.get(hashes, i + k) for k in range(width)))),
     ).otherwise(F.when(n > 0, F.array(F.xxhash64(F.array_join(hashes.cast("array<string>"), " ")))).otherwise(F.array().cast("array<bigint>")))
+    if share >= 1:
+        return F.array_sort(F.array_distinct(shingles))
     below = F.lit(LEAST + int(share * (1 << 64)))
     return F.get(
         F.transform(
@@ -54,12 +59,12 @@ def as_text(sketch: Column) -> Column:
     return F.lower(F.array_join(F.transform(sketch, lambda h: F.lpad(F.hex(h), 16, "0")), ""))
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, share: float = 1 / 16) -> DataFrame:
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, share: float = 1.0) -> DataFrame:
     """Returns doc_id and sketch (array of longs) for every row, of its whole text; no shuffle.
 
     Shingles are `width` words; a text with fewer words is one shingle. Null texts count as empty and have no hashes.
-    Sketches of one width and share merge by union, and containment between very unequal texts is estimated by the
-    share of the smaller one's hashes that the larger one has. Other columns are not carried.
+    Sketches of one width and share merge by union, and containment between very unequal texts is the share of the
+    smaller one's hashes that the larger one has; an estimate where share is below 1. Other columns are not carried.
     """
     return add_sketch(texts(df, id_col, text_col), "text", "sketch", width, share).select("doc_id", "sketch")
 

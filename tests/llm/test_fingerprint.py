@@ -2,7 +2,7 @@ import re
 
 import xxhash
 
-from cellspark.llm import fingerprint
+from cellspark.llm import fingerprint, queries
 
 
 def long_hash(raw, seed=42):
@@ -46,3 +46,16 @@ def test_next_and_edited(spark):
 def test_empty(no_docs):
     assert fingerprint.fingerprints(no_docs).count() == 0
     assert fingerprint.with_next(no_docs.select("doc_id", "text"), "text").count() == 0
+
+
+def test_short_passages_within_long_documents(spark, tmp_path):
+    rows = []
+    for i in range(60):  # of 5 to 9 words, each followed by a long document that holds it
+        passage = " ".join(f"p{i}x{k}" for k in range(5 + i % 5))
+        rows += [(2 * i, passage), (2 * i + 1, " ".join([*(f"a{i}x{k}" for k in range(150)), passage, *(f"b{i}x{k}" for k in range(150))]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["near_next"] for r in queries.op9_fingerprint(spark, str(tmp_path)).collect()}
+    assert [got[2 * i] for i in range(60)] == [1.0] * 60 and all(got[2 * i + 1] == 0 for i in range(60))
+    sketches = {r["doc_id"]: r["sketch"] for r in fingerprint.fingerprints(df).collect()}
+    assert all(sketches[d] == brute_force(t, 5, 1) for d, t in rows)
