@@ -48,6 +48,15 @@ TEMPLATES = {
 }
 #: Every template has one of these; a paragraph without any is unknown.
 ANCHORS = ("licen", "copyright", "rights reserved", "permission is hereby", "redistribut", "public domain", "unauthorized copying", "mozilla public")
+#: Half of any template's word pairs or more have a word with one of these, so text without any cannot match.
+SIGNS = (
+    *("licen", "copyright", "reserved", "hereby", "permission", "granted", "charge", "obtaining", "associated", "documentation", "software"),
+    *("restriction", "redistribut", "binary", "modif", "permitted", "provided", "conditions", "public", "domain", "gnu", "terms", "commons"),
+    *("unauthorized", "prohibited", "proprietary", "mozilla", "source", "spdx", "waived", "unencumbered", "compliance", "apache", "version", "except", "may", "released"),
+    *("rights", "author", "extent", "universal", "cc0", "possible", "confidential", "strictly", "copying", "under", "cc", "attribution", "creative", "international", "bsd", "mpl", "gpl", "form", "identifier", "4"),
+)
+#: Lines that are read together where a notice is wrapped.
+WINDOW = 4
 UNKNOWN = "unknown"
 _WORD = "[a-z0-9]+"
 
@@ -122,9 +131,10 @@ def fit_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def scan_licenses(df: DataFrame, model: LicenseModel, id_col: str = "doc_id", text_col: str = "text", least_probability: float = 0.5, least_overlap: float = 0.5) -> DataFrame:
     """Returns doc_id and licenses, an array of (paragraph, family, probability, overlap) in the order of paragraphs.
 
-    A paragraph is a line. Its family is the class of the greatest probability; it counts if that isn't the unknown class,
-    the probability is at least least_probability, and a template of the family shares least_overlap of its word pairs
-    with it. Null and empty texts have no paragraphs, so an empty array; repeated rows get equal results; other columns
+    Read are single lines, windows of WINDOW lines, and whole paragraphs (lines up to one without a word); paragraph is
+    the number of the first line. The family is the class of the greatest probability; it counts if that isn't the unknown
+    class, the probability is at least least_probability, and a template of the family shares least_overlap of its word
+    pairs with the text. Of readings of one family that share lines, lines go before windows, windows before paragraphs. Null and empty texts have no paragraphs, so an empty array; repeated rows get equal results; other columns
     are not carried. All within a row: no shuffle, and the model is a literal of the plan (some thousand numbers).
     """
     literals = json.dumps(
@@ -141,13 +151,13 @@ def scan_licenses(df: DataFrame, model: LicenseModel, id_col: str = "doc_id", te
     def let(value: Column, body) -> Column:
         return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    def anchored(p: Column) -> Column:
-        out = F.lit(False)
-        for a in ANCHORS:
+    def signed(p: Column) -> Column:
+        out = F.lit(least_overlap < 0.5)
+        for a in SIGNS:
             out = out | p.contains(a)
         return out
 
-    def judged(p: Column, i: Column, m: Column) -> Column:
+    def judged(p: Column, i: Column, last: Column, m: Column) -> Column:
         def by_words(words: Column) -> Column:
             n = F.size(words)
             pairs = F.when(n > 1, F.transform(F.sequence(F.lit(0), n - 2), lambda k: F.concat_ws(" ", F.get(words, k), F.get(words, k + 1)))).otherwise(F.array().cast("array<string>"))
@@ -164,7 +174,7 @@ def scan_licenses(df: DataFrame, model: LicenseModel, id_col: str = "doc_id", te
                         family,
                         lambda f: F.array_max(F.transform(F.filter(m["t"], lambda t: t["f"] == f), lambda t: F.size(F.array_intersect(t["g"], two)) / F.size(t["g"]))),
                     )
-                    return F.struct(i.alias("paragraph"), family.alias("family"), (1 / total).alias("probability"), F.coalesce(overlap, F.lit(0.0)).alias("overlap"))
+                    return F.struct(i.alias("paragraph"), last.alias("last"), family.alias("family"), (1 / total).alias("probability"), F.coalesce(overlap, F.lit(0.0)).alias("overlap"))
 
                 return let(logits, by_logits)
 
@@ -172,8 +182,36 @@ def scan_licenses(df: DataFrame, model: LicenseModel, id_col: str = "doc_id", te
 
         return let(F.regexp_extract_all(p, F.lit(_WORD), F.lit(0)), by_words)
 
-    lines = F.filter(F.transform(F.split("low", "\n"), lambda p, i: F.struct(p.alias("p"), i.alias("i"))), lambda x: anchored(x["p"]))
-    found = let(held, lambda m: F.filter(F.transform(lines, lambda x: judged(x["p"], x["i"], m)), lambda r: (r["family"] != UNKNOWN) & (r["probability"] >= least_probability) & (r["overlap"] >= least_overlap)))
+    def reading(p: Column, first: Column, last: Column) -> Column:
+        return F.struct(p.alias("p"), first.alias("i"), last.alias("last"))
+
+    def readings(lines: Column) -> Column:
+        n = F.size(lines)
+        single = F.transform(lines, lambda p, i: reading(p, i, i))
+
+        def joined(first: Column, size: Column) -> Column:
+            return reading(F.array_join(F.slice(lines, first + 1, size), " "), first, first + size - 1)
+
+        windows = F.when(n > 1, F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), n - WINDOW)), lambda i: joined(i, F.least(F.lit(WINDOW), n - i)))).otherwise(F.array().cast(single_kind))
+
+        def by_breaks(breaks: Column) -> Column:
+            spans = F.transform(breaks, lambda b, k: F.struct((b + 1).alias("i"), (F.coalesce(F.get(breaks, k + 1), n) - b - 1).alias("size")))
+            return F.transform(F.filter(spans, lambda x: x["size"] > 1), lambda x: joined(x["i"], x["size"]))
+
+        blank = F.filter(F.transform(lines, lambda p, i: F.when(p.rlike(_WORD), F.lit(None)).otherwise(i)), lambda i: i.isNotNull())
+        paragraphs = let(F.concat(F.array(F.lit(-1)), blank), by_breaks)
+        return F.filter(F.concat(single, windows, paragraphs), lambda x: signed(x["p"]))
+
+    def held_once(hits: Column) -> Column:
+        def add(acc: Column, x: Column) -> Column:
+            return F.when(F.exists(acc, lambda y: (y["family"] == x["family"]) & (y["paragraph"] <= x["last"]) & (x["paragraph"] <= y["last"])), acc).otherwise(F.concat(acc, F.array(x)))
+
+        kept = F.aggregate(hits, F.array().cast("array<struct<paragraph:int,last:int,family:string,probability:double,overlap:double>>"), add)
+        return F.array_sort(F.transform(kept, lambda y: F.struct(y["paragraph"], y["family"], y["probability"], y["overlap"])))
+
+    single_kind = "array<struct<p:string,i:int,last:int>>"
+    read = let(F.split("low", "\n"), readings)
+    found = let(held, lambda m: held_once(F.filter(F.transform(read, lambda x: judged(x["p"], x["i"], x["last"], m)), lambda r: (r["family"] != UNKNOWN) & (r["probability"] >= least_probability) & (r["overlap"] >= least_overlap))))
     none = F.array().cast("array<struct<paragraph:int,family:string,probability:double,overlap:double>>")
     low = texts(df, id_col, text_col).select("doc_id", F.lower("text").alias("low"))
-    return low.select("doc_id", F.when(anchored(F.col("low")), found).otherwise(none).alias("licenses"))
+    return low.select("doc_id", F.when(signed(F.col("low")), found).otherwise(none).alias("licenses"))

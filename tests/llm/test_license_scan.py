@@ -1,3 +1,5 @@
+import textwrap
+
 import pytest
 
 from cellspark.llm import license_scan
@@ -26,3 +28,19 @@ def test_unknown_and_odd_rows(spark, model, docs, no_docs):
 def test_plan_has_no_python(docs, model):
     plan = license_scan.scan_licenses(docs, model)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_signs_miss_nothing():
+    for ts in license_scan.TEMPLATES.values():
+        for t in ts:
+            pairs = [g for g in license_scan.features(t.lower()) if " " in g]
+            assert sum(not any(s in g for s in license_scan.SIGNS) for g in pairs) < len(pairs) / 2, t
+
+
+@pytest.mark.parametrize("width", [40, 72, 80])
+def test_wrapped_headers(spark, model, width):
+    mit, bsd, gpl = license_scan.TEMPLATES["mit"][2], license_scan.TEMPLATES["bsd"][1], license_scan.TEMPLATES["gpl"][1]
+    rows = [("mit", mit), ("bsd", bsd), ("gpl", gpl)]
+    texts = [(k, "a file\n\n" + "\n".join("# " + x for x in textwrap.wrap(t, width)) + "\n\nthe end") for k, (_, t) in enumerate(rows)]
+    got = {r["doc_id"]: {x["family"] for x in r["licenses"]} for r in license_scan.scan_licenses(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
+    assert got == {k: {family} for k, (family, _) in enumerate(rows)}
