@@ -5,7 +5,13 @@ tokens are rare (class 1), frequent (2) or very frequent (3). Tokens are ordered
 set's prefix is extended until removing any `slack` tokens (all that two linked sets can differ by on one side) must leave
 k tokens of some group of class k; class-k tokens fall into small groups, class 1 into groups of its own tokens. So two
 linked sets share a single rare token, or a pair or triple of frequent tokens of one group, within both prefixes. Those
-are the signatures. Candidate pairs whose hash parities and histograms allow enough common tokens are verified on the whole sets.
+are the signatures.
+
+Few nodes of one signature are compared pair by pair. Many, such as the near copies of one text, form a cell: each set x
+is replaced by its difference E(x) from what most of a few members of the cell have. |x - y| + |y - x| is the same for the
+sets and for their differences, whatever the centre. A hub, the member nearest the centre, links to all that the triangle
+inequality lets it; every other link of the cell has a token in both differences, which are short, and whose first common
+token stands early in both. So work grows with the edits that copies share and not with the number of pairs of copies.
 """
 
 from __future__ import annotations
@@ -16,28 +22,34 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import pieces, texts, written
 from .components import connected
 from .shingles import mixed, shingle_hashes
 
-#: Sets below this size take every token as rare: too few tokens for combinations.
-SMALL = 32
 #: Bits of the filter that tells which rows' sets are to be made again.
 FILTER_BITS = 23
-#: Bins of the histogram that bounds how many tokens two sets can share.
-BINS = 128
 #: Cells of the parities that bound from below how many tokens two sets don't share.
 PARITIES = 512
-#: Signatures of more nodes than this first get a leader; a node asks the leaders of its most shared signatures, so many.
-CROWD, ASKED = 2, 6
+#: Signatures of more nodes than this make a cell; members from which a cell's centre is drawn.
+CROWD, DRAWN = 3, 5
+#: Sets with a token's cell in more sets than this, beyond what chance gives, have a frequent, a very frequent token.
+FREQUENT, VERY_FREQUENT = 16, 256
+#: Stands for a null id where ids are keys.
+NO_ID = -(1 << 63)
+
+
+def groups_of(at: int, percent: int) -> int:
+    return max(1, (1 << at) * (100 - percent) // 200)
 
 
-def level(n: int) -> int:
-    """Sets of one level share the number of groups: -1 for small ones, else the power of two below n."""
-    return -1 if n < SMALL else n.bit_length() - 1
+def level(n: int, percent: int) -> int:
+    """Sets of one level share the number of groups: the power of two below n, or -1 where so few tokens might stand alone
+    in their groups (three a group) before the prefix is long enough."""
+    at = n.bit_length() - 1
+    return at if at >= 0 and (1 << at) * percent - 100 >= 300 * groups_of(at, percent) else -1
 
 
 def combos(tokens: np.ndarray, group: np.ndarray, k: int, salt: int) -> np.ndarray:
@@ -66,11 +78,11 @@ def signatures(tokens: np.ndarray, ranks: np.ndarray, bounds: tuple[int, int], p
     if n_rare >= need:
         return mixed(tokens[:need])
     out = [mixed(tokens[:n_rare])]
-    for at in {level(n), level(-(-n * percent // 100))}:
+    for at in {level(n, percent), level(-(-n * percent // 100), percent)}:
         if at < 0:
             out.append(mixed(tokens[:need]))
             continue
-        groups = max(1, (1 << at) * (100 - percent) // 200)
+        groups = groups_of(at, percent)
         rest, kind = tokens[n_rare:], 1 + (ranks[n_rare:] >= bounds[1]).astype(np.int64)
         group = (mixed(rest ^ np.uint64(at + 7)) % np.uint64(groups)).astype(np.int64) + kind * groups
         by = np.argsort(group, kind="stable")
@@ -116,14 +128,9 @@ def token_ranks(docs: DataFrame, width: int, bits: int) -> tuple[np.ndarray, tup
     for row in parts.mapInArrow(add, "slice int, n binary, total long").collect():
         ranks[row["slice"]] = np.frombuffer(row["n"], np.uint8)
         total += row["total"]
-    mean = total / (1 << bits)
-    return ranks.reshape(-1), (int(8 * np.log2(2 * mean + 64)), int(8 * np.log2(8 * mean + 1024)))
-
-
-def histogram(tokens: np.ndarray) -> bytes:
-    """How many tokens fall into each bin, in single bytes where they fit."""
-    counts = np.bincount((tokens & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS)
-    return counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes()
+    chance = total / (1 << bits)
+    chance += 4 * chance**0.5  # what other tokens of its cell may add to a token's count
+    return ranks.reshape(-1), (int(8 * np.log2(chance + FREQUENT)), int(8 * np.log2(chance + VERY_FREQUENT)))
 
 
 def parities(tokens: np.ndarray) -> np.ndarray:
@@ -132,39 +139,46 @@ def parities(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(bool)).view(np.int64)
 
 
+def digest(tokens: np.ndarray) -> bytes:
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+
+
+def long_lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+    flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
+
+
 def set_rows(docs: DataFrame, width: int, percent: int, ranks: np.ndarray, bounds: tuple[int, int]) -> DataFrame:
-    """Per row: doc_id, n (size of its set), node (a 64-bit digest of the set), sigs, bins (a histogram of its
-    hashes), odd (parities of such)."""
+    """Per row: doc_id, n (size of its set), node (a 128-bit digest of the set), sigs, odd (parities of its hashes)."""
     bits = len(ranks).bit_length() - 1
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches):
             tokens, first = shingle_hashes(part.column("text"), width)
             rank = ranks[(tokens >> np.uint64(64 - bits)).astype(np.int64)]
-            sigs, nodes, bins, odd = [], np.zeros(part.num_rows, np.int64), [], []
-            for i, (s, e) in enumerate(zip(first[:-1], first[1:], strict=True)):
-                sigs.append(signatures(tokens[s:e], rank[s:e], bounds, percent) if e > s else tokens[:0])
-                nodes[i] = int.from_bytes(hashlib.blake2b(tokens[s:e].tobytes(), digest_size=8).digest(), "little", signed=True)
-                bins.append(histogram(tokens[s:e]))
-                odd.append(parities(tokens[s:e]))
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in sigs])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sigs).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(first)), pa.array(nodes), lists, pa.array(bins, pa.binary()), pa.array(odd, pa.list_(pa.int64()))], ["doc_id", "n", "node", "sigs", "bins", "odd"])
+            sets = [(tokens[s:e], rank[s:e]) for s, e in zip(first[:-1], first[1:], strict=True)]
+            sigs = long_lists([signatures(*x, bounds, percent) if len(x[0]) else x[0] for x in sets])
+            nodes, odd = [digest(x) for x, _ in sets], [parities(x) for x, _ in sets]
+            columns = [part.column("doc_id"), pa.array(np.diff(first)), pa.array(nodes, pa.binary()), sigs, pa.array(odd, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "node", "sigs", "odd"])
 
-    return docs.mapInArrow(make, "doc_id long, n long, node long, sigs array<long>, bins binary, odd array<long>")
+    return docs.mapInArrow(make, "doc_id long, n long, node binary, sigs array<long>, odd array<long>")
 
 
-def id_bit(ids: np.ndarray) -> np.ndarray:
+def id_bit(ids: pa.Array) -> np.ndarray:
+    ids = np.ascontiguousarray(ids.fill_null(NO_ID).to_numpy(zero_copy_only=False))
     return mixed(ids.view(np.uint64)) >> np.uint64(64 - FILTER_BITS)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(node, n, tokens) for `wanted` (doc_id, node, n). A filter of fixed size (1 MB) spares most other rows the work;
-    where it is full, all rows are made and the join alone selects."""
+    """(k, n, tokens) for `wanted` (doc_id, node, k; one row of each node). A filter of fixed size (1 MB) spares most other
+    rows the work; where it is full, all rows are made and the join alone selects. Rows are matched by id and digest, so
+    rows that share an id, or have none, cannot lend their tokens to each other."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bit = id_bit(np.ascontiguousarray(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)))
+            bit = id_bit(batch.column(0))
             yield pa.RecordBatch.from_arrays([pa.array((bit >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (bit & np.uint64(63))).view(np.int64))], ["word", "bits"])
 
     words = wanted.select("doc_id").mapInArrow(place, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).collect()
@@ -174,57 +188,89 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches):
-            bit = id_bit(np.ascontiguousarray(part.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)))
+            bit = id_bit(part.column("doc_id"))
             part = part.filter(pa.array((held[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1))
             tokens, first = shingle_hashes(part.column("text"), width)
-            lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(tokens.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["doc_id", "tokens"])
+            sets = [tokens[s:e] for s, e in zip(first[:-1], first[1:], strict=True)]
+            columns = [part.column("doc_id").fill_null(NO_ID), pa.array([digest(x) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), long_lists(sets)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "tokens"])
 
-    made = docs.mapInArrow(make, "doc_id long, tokens array<long>")
-    return made.join(wanted, "doc_id").select("node", "n", "tokens")
+    made = docs.mapInArrow(make, "doc_id long, node binary, n long, tokens array<long>")
+    wanted = wanted.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "node", "k")
+    # Repeated rows of one id and text are alike; as the join, this is dealt by (doc_id, node).
+    return made.join(wanted.hint("merge"), ["doc_id", "node"]).dropDuplicates(["doc_id", "node"]).select("k", "n", "tokens")
 
 
-def enough(both: Column, n: Column, m: Column, percent: int) -> Column:
-    return both * 100 >= (n + m - both) * percent
-
-
-def size_fits(n: Column, m: Column, percent: int) -> Column:
-    return (F.least(n, m) * 100) >= (F.greatest(n, m) * percent)
+def far_apart(unlike: Column, n: Column, m: Column, percent: int) -> Column:
+    """Whether sets of n and m tokens, of which `unlike` are in one only, do not link."""
+    return unlike * (100 + percent) > (n + m) * (100 - percent)
 
 
 def near_enough(a: str, b: str, percent: int) -> Column:
     """Whether sizes and parities allow a link: a cell of unequal parity holds a token that one set lacks."""
     unlike = sum((F.bit_count(F.get(f"odd{a}", F.lit(i)).bitwiseXOR(F.get(f"odd{b}", F.lit(i)))) for i in range(PARITIES // 64)), F.lit(0))
     n, m = F.col(f"n{a}"), F.col(f"n{b}")
-    return size_fits(n, m, percent) & (unlike * (100 + percent) <= (n + m) * (100 - percent))
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & ~far_apart(unlike, n, m, percent)
 
 
-def hopeful(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those whose sizes and histograms allow enough common tokens: the sum of the lesser bins is
-    never below their number."""
+def centres(samples: DataFrame) -> DataFrame:
+    """Per cell of (cell, tokens), at most DRAWN rows a cell, the tokens that more than half of its rows have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, []
+
+        def row() -> pa.RecordBatch:
+            tokens, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array([cell], pa.int64()), pa.ListArray.from_arrays([0, int((2 * n > len(held)).sum())], pa.array(tokens[2 * n > len(held)]))], ["cell", "centre"])
+
         for batch in batches:
-            n, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("na", "nb"))
-            most = np.zeros(batch.num_rows, np.int64)
-            for i, (x, y) in enumerate(zip(batch.column("ba").to_pylist(), batch.column("bb").to_pylist(), strict=True)):
-                x, y = (np.frombuffer(z, np.uint8 if len(z) == BINS else np.uint32) for z in (x, y))
-                most[i] = np.minimum(x, y).sum(dtype=np.int64)
-            yield batch.select(["a", "b"]).filter(pa.array(most * 100 >= (n + m - most) * percent))
+            for one, tokens in zip(batch.column("cell").to_pylist(), batch.column("tokens"), strict=True):
+                if one != cell and held:
+                    yield row()
+                    held = []
+                cell = one
+                held.append(tokens.values.to_numpy())
+        if held:
+            yield row()
 
-    a, b = nodes.select("node", "n", "bins").toDF("a", "na", "ba"), nodes.select("node", "n", "bins").toDF("b", "nb", "bb")
-    return pairs.join(a, "a").join(b, "b").mapInArrow(run, "a long, b long")
+    return samples.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "cell long, centre array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those whose sets are alike enough; sets are made for nodes of hopeful pairs only."""
-    pairs = written(hopeful(pairs, nodes, percent), "hopeful")
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = written(sets_of(docs, nodes.select("doc_id", "node", "n").join(ends, "node"), width), "tokens")
-    left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    both = F.size(F.array_intersect("ta", "tb"))
-    return pairs.join(left, "a").join(right, "b").where(enough(both, F.col("na"), F.col("nb"), percent)).select("a", "b")
+def differences(members: DataFrame, ranks: np.ndarray) -> DataFrame:
+    """(cell, k, n, tokens, centre) with e, the tokens that only one of both has, rare ones first, in place of both."""
+    bits = len(ranks).bit_length() - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for tokens, centre in zip(batch.column("tokens"), batch.column("centre"), strict=True):
+                e = np.setxor1d(tokens.values.to_numpy(), centre.values.to_numpy(), assume_unique=True).view(np.uint64)
+                out.append(e[np.lexsort((e, ranks[(e >> np.uint64(64 - bits)).astype(np.int64)]))])
+            yield pa.RecordBatch.from_arrays([batch.column("cell"), batch.column("k"), batch.column("n"), pa.array([len(e) for e in out], pa.int64()), long_lists(out)], ["cell", "k", "n", "m", "e"])
+
+    return members.mapInArrow(run, "cell long, k long, n long, m long, e array<long>")
+
+
+def cell_links(members: DataFrame, ranks: np.ndarray, percent: int) -> DataFrame:
+    """The links (a, b) within cells, but for those between members that link to the hub of their cell anyway."""
+    some = F.col("m") * -(100 + percent) + F.col("n") * (100 - percent)
+    rows = written(differences(members, ranks).withColumn("r", F.monotonically_increasing_id()), "differences").withColumn("score", some)
+    # x and the hub differ in at most m + m(hub) tokens; of two members that are so near, both link to the hub.
+    hubs = written(rows.groupBy("cell").agg(F.max(F.struct("score", "k")).alias("hub")), "hubs")
+    near = rows.select("cell", "k", "score").join(hubs.hint("merge"), "cell").where((F.col("score") + F.col("hub.score") >= 0) & (F.col("k") != F.col("hub.k")))
+    near = near.select(F.col("hub.k").alias("a"), F.col("k").alias("b"))
+    # All before the first common token, on both sides, is in one set only, as is what the longer rest has more.
+    most = F.floor((F.col("n") + F.floor(F.col("n") * 100 / percent)) * (100 - percent) / (100 + percent)).cast("int")
+    marks = rows.select("cell", "r", "n", "m", "score", F.posexplode(F.slice("e", F.lit(1), most + 1)).alias("i", "token"))
+    marks = marks.select(F.xxhash64("cell", "token").alias("mark"), "r", F.col("n").cast("int"), F.col("m").cast("int"), F.col("i").cast("int"), "score")
+    a, b = marks.toDF("mark", "ra", "na", "ma", "ia", "sa"), marks.toDF("mark", "rb", "nb", "mb", "ib", "sb")
+    least = F.col("ia") + F.col("ib") + F.abs(F.col("ma") - F.col("ia") - F.col("mb") + F.col("ib"))
+    fits = (F.col("ra") < F.col("rb")) & (F.col("sa") + F.col("sb") < 0) & ~far_apart(least, F.col("na"), F.col("nb"), percent)
+    pairs = a.join(b.hint("merge"), "mark").where(fits).select("ra", "rb").distinct()
+    own = rows.select("r", "cell", "k", "n", "m", "e")
+    both = pairs.join(own.toDF("ra", "ca", "a", "na", "ma", "ea"), "ra").join(own.toDF("rb", "cb", "b", "nb", "mb", "eb"), "rb")
+    unlike = F.col("ma") + F.col("mb") - 2 * F.size(F.array_intersect("ea", "eb"))
+    return near.union(both.where((F.col("ca") == F.col("cb")) & ~far_apart(unlike, F.col("na"), F.col("nb"), percent)).select("a", "b"))
 
 
 def ngram_jaccard_join(
@@ -233,59 +279,59 @@ def ngram_jaccard_join(
     text_col: str = "text",
     width: int = 5,
     percent: int = 80,
-    star_rounds: int = 5,
-    cell_bits: int = 22,
+    cell_bits: int | None = None,
 ) -> DataFrame:
     """Returns doc_id, n_shingles and component_id, the least id that links reach; exact.
 
     Words are `[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased; a set holds the distinct `width`-word shingles,
     of a shorter text the whole sequence. Two rows link when 100 * intersection >= percent * union. Null and empty texts
-    have the empty set, n_shingles 0 and their own id as component. Rows with equal ids and texts stay rows. Other
-    columns are not carried.
+    have the empty set, n_shingles 0 and their own id as component. Rows with equal ids and texts stay rows; rows with one
+    id and different texts are different documents. A null id reaches others and is reached, but is never the least one;
+    where no other is reached, component_id is null. An empty table gives no rows; other columns are not carried.
 
-    Equal sets are one node, so copies cost one row each. Near copies would give pairs that grow with the square of a
-    group: first, in up to star_rounds rounds, each node in signatures of more than CROWD nodes is verified against the
-    leaders of ASKED of them, and what links becomes one component. Then all pairs of nodes that share a signature *in different
-    components* are verified, which loses no component. Nothing is capped.
+    Equal sets are one node, so copies cost one row each. Pairs of nodes of a signature that CROWD nodes have at most are
+    verified on the whole sets; the nodes of any other signature form a cell (see above), named by that of its nodes with
+    the most such signatures, so that the signatures of a group of copies name one cell. Nothing is capped.
     """
     docs = texts(df, id_col, text_col)
-    rows = written(set_rows(docs, width, percent, *token_ranks(docs, width, cell_bits)), "sets")
-    marks = rows.select("node", F.explode("sigs").alias("sig"))
-    shared = marks.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("sig")
-    marks = written(marks.join(shared, "sig").distinct(), "marks")
-    in_marks = rows.select("doc_id", "node", "n").join(marks.select("node").distinct(), "node")
-    nodes = in_marks.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-    nodes = written(rows.select("doc_id", "node", "bins", "odd").join(nodes, ["doc_id", "node"]).dropDuplicates(["node"]), "nodes")
-    comps, links = nodes.select("node", "n", F.col("node").alias("comp"), "odd"), None
-    crowds = marks.join(marks.groupBy("sig").agg(F.count("node").alias("size")).where(F.col("size") > CROWD), "sig").groupBy("node")
-    crowds = crowds.agg(F.sort_array(F.collect_list(F.struct("size", "sig")), False).alias("sigs"))  # as many as its set gives
-    crowds = written(crowds.select("node", F.explode(F.slice("sigs.sig", 1, ASKED)).alias("sig")), "crowds")
-    for turn in range(star_rounds):
-        # The leader of a signature: its least node, each round under another order.
-        order = F.col("node") if not turn else F.xxhash64("node", F.lit(turn))
-        of = crowds.join(comps, "node")
-        lead = of.groupBy("sig").agg(F.min_by("node", order).alias("b"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        lead = lead.where("lo < hi").join(comps.toDF("b", "nb", "cb", "oddb"), "b")
-        pairs = of.toDF("a", "sig", "na", "ca", "odda").join(lead, "sig").where((F.col("ca") != F.col("cb")) & near_enough("a", "b", percent))
-        pairs = pairs.select("a", "b").distinct()
-        found = verified(pairs, docs, nodes, width, percent)
-        links, comps, any_new = merged(links, found, nodes)
-        if not any_new:
-            break
-    of = marks.join(comps, "node")
-    a, b = of.toDF("a", "sig", "na", "ca", "odda"), of.toDF("b", "sig", "nb", "cb", "oddb")
-    pairs = a.join(b, "sig").where((F.col("ca") < F.col("cb")) & near_enough("a", "b", percent)).select("a", "b").distinct()
-    links, comps, _ = merged(links, verified(pairs, docs, nodes, width, percent), nodes)
-    every = rows.join(comps.select("node", "comp"), "node", "left").select("doc_id", "n", F.coalesce("comp", "node").alias("comp"))
-    every = every.withColumn("comp", F.when(F.col("n") > 0, F.col("comp")))
-    first = every.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    return every.join(first, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-
-
-def merged(links: DataFrame | None, found: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
-    """All links so far, the components they make, and whether any is new."""
-    found = written(found, "links")
-    new = found.limit(1).count() > 0
-    links = found if links is None else links.union(found)
-    comps = nodes.join(connected(links), "node", "left").select("node", "n", F.coalesce("comp", "node").alias("comp"), "odd")
-    return links, written(comps, "comps"), new
+    if cell_bits is None:  # about eight bytes of text a cell and token
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        cell_bits = min(24, max(16, (size // 32).bit_length()))
+    ranks, bounds = token_ranks(docs, width, cell_bits)
+    rows = written(set_rows(docs, width, percent, ranks, bounds), "sets")
+    nodes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(F.any_value(c).alias(c) for c in ("n", "odd", "sigs")))
+    nodes = written(nodes.withColumn("k", F.monotonically_increasing_id()), "nodes")  # from here on, k names a node
+    marks = nodes.select("k", F.explode("sigs").alias("sig"))
+    sizes = marks.groupBy("sig").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    marks = written(marks.join(sizes.hint("merge"), "sig").select("k", "sig", "size"), "marks")
+    crowds = marks.where(F.col("size") > CROWD).select("sig", "k")
+    weights = crowds.groupBy("k").agg(F.count(F.lit(1)).alias("weight"))
+    crowds = written(crowds.join(weights, "k"), "crowds")
+    leaders = written(crowds.groupBy("sig").agg(F.max(F.struct("weight", "k")).getField("k").alias("cell")), "leaders")
+    cells = written(crowds.join(leaders.hint("merge"), "sig").groupBy("cell", "k").agg(F.max("weight").alias("weight")), "cells")
+
+    # Pairs of signatures with few nodes, but for those of one cell.
+    own = nodes.select("k", "n", "odd").join(cells.groupBy("k").agg(F.min("cell").alias("cell")), "k", "left")
+    of = marks.where(F.col("size") <= CROWD).select("k", "sig").join(own, "k").select("k", "sig", "n", "odd", "cell")
+    a, b = of.toDF("a", "sig", "na", "odda", "ca"), of.toDF("b", "sig", "nb", "oddb", "cb")
+    pairs = a.join(b, "sig").where((F.col("a") < F.col("b")) & near_enough("a", "b", percent) & ~F.coalesce(F.col("ca") == F.col("cb"), F.lit(False)))
+    pairs = written(pairs.select("a", "b").distinct(), "pairs")
+
+    ends = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).union(cells.select("k")).distinct()
+    sets = written(sets_of(docs, nodes.select("doc_id", "node", "k").join(ends, "k"), width), "tokens")
+    unlike = F.col("na") + F.col("nb") - 2 * F.size(F.array_intersect("ta", "tb"))
+    both = pairs.join(sets.toDF("a", "na", "ta"), "a").join(sets.toDF("b", "nb", "tb"), "b")
+    links = both.where(~far_apart(unlike, F.col("na"), F.col("nb"), percent)).select("a", "b")
+
+    place = F.row_number().over(Window.partitionBy("cell").orderBy(F.desc("weight"), "k"))
+    drawn = cells.withColumn("place", place).where(F.col("place") <= DRAWN).select("cell", "k")
+    centre = written(centres(drawn.join(sets, "k").select("cell", "tokens")), "centres")
+    members = cells.select("cell", "k").join(sets, "k").join(centre.hint("merge"), "cell")
+    links = written(links.union(cell_links(members, ranks, percent)), "links")
+
+    comps = connected(links).withColumnRenamed("node", "k")
+    comps = nodes.select("k", "node", "doc_id").join(comps, "k", "left").select("node", "doc_id", F.coalesce("comp", "k").alias("comp"))
+    least = written(comps.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "least")
+    named = written(comps.join(least.hint("merge"), "comp").select("node", "component_id"), "named")
+    every = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(named.hint("merge"), "node", "left")
+    return every.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

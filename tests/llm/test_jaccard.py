@@ -62,6 +62,54 @@ def test_linked_sets_share_a_signature(seed, n, percent):
     assert 100 * len(set(a.tolist()) & set(b.tolist())) < percent * len(set(a.tolist()) | set(b.tolist())) or signs[0] & signs[1]
 
 
+def edited(words, rng, edits):
+    out = list(words)
+    for _ in range(edits):
+        out[int(rng.integers(len(out)))] = f"w{rng.integers(10**9)}"
+    return " ".join(out)
+
+
+@pytest.fixture(scope="module")
+def crowded(spark):
+    """Near copies with 0 to 5 edits, near both sides of the threshold; ids that repeat with other texts, and null ids."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for g in range(4):
+        words = [f"g{g}x{rng.integers(10**6)}" for _ in range(60 + 40 * g)]
+        rows += [(1000 * g + i, edited(words, rng, i % 6)) for i in range(60)]
+        rows += [(1000 * g + 7, edited(words, rng, 30)), (None, edited(words, rng, 2)), (None, edited(words, rng, 40))]
+    rows += [(5, "a text that is nothing like the other one of its id " * 3), (5, rows[70][1]), (7000, rows[5][1]), (None, rows[5][1])]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+
+@pytest.mark.parametrize(("width", "percent"), [(4, 85), (5, 80), (2, 60)])
+def test_near_copies_and_shared_ids(crowded, width, percent, monkeypatch):
+    rows, frame = crowded
+    monkeypatch.setattr(jaccard, "FREQUENT", 4)
+    monkeypatch.setattr(jaccard, "VERY_FREQUENT", 30)
+    expected = brute_force(list(enumerate(t for _, t in rows)), width, percent)
+    least = {}
+    for (at, _, comp), (i, _) in zip(expected, rows, strict=True):
+        least[comp] = min((x for x in (least.get(comp), i) if x is not None), default=None)
+    wanted = sorted(((rows[at][0], n, least[comp]) for at, n, comp in expected), key=str)
+    got = jaccard.ngram_jaccard_join(frame, width=width, percent=percent, cell_bits=16).collect()
+    assert sorted(map(tuple, got), key=str) == wanted
+
+
+def test_combinations_carry_links():
+    """Of linked near copies of a large group, some share no rare token, only combinations of frequent ones."""
+    rng = np.random.default_rng(2)
+    base = np.unique(rng.integers(0, 1 << 63, 200, dtype=np.uint64))
+    ranks = np.full(len(base), 50, np.uint8)
+    signs = []
+    for _ in range(20):
+        kept = rng.permutation(len(base))[: len(base) - 8]
+        new = rng.integers(0, 1 << 63, 8, dtype=np.uint64)
+        signs.append(set(jaccard.signatures(np.concatenate([base[kept], new]), np.concatenate([ranks[kept], np.full(8, 8, np.uint8)]), (20, 60), 85).tolist()))
+    single = set(jaccard.mixed(base).tolist())
+    assert all(a & b and not (a & b & single) for a in signs for b in signs if a is not b)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(70)] + [(200, 201), (300, 300)], "a long, b long")
     got = {r["node"]: r["comp"] for r in connected(edges).collect()}
