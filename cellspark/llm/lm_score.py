@@ -2,242 +2,158 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, texts, written
-
-#: Word ids of both models: 0 stands for a text's start, 1 for its end, 2 for words outside the vocabulary.
-START, END, OTHER = 0, 1, 2
-#: Words whose counts every task holds when losses are computed; the others are joined.
-OFTEN_WORDS = 1 << 16
-#: Tokens that a counting task adds up before it sends sums, and words of which a worker keeps the digests.
-TOKENS, CACHE = 4_000_000, 500_000
-
-
-@dataclass
-class PairModel:
-    """Exact counts in target (t) and background (g): of word pairs (a, b, t, g) and of words (w, t, g), as tables.
+from .blocks import BLOCK, PARTS, as_rows, batched, blocks, by_part, grouped, name_of, own_row, pack, packed, part_count, returned, unpack, unpacked
+from .common import texts, written
+from .shingles import mixed, word_hashes
+
+#: Hashes that stand for a text's start and its end, which are no words.
+START, END = np.uint64(0x9B1D5E2F7C3A4860), np.uint64(0x51A7C0FFEE12D3B5)
+#: So many ids of target rows (8 bytes each) may go to every task; more are joined.
+MOST_IDS = 1 << 22
+#: Rows are counted in both models, in the background only, or in none.
+BOTH, BACKGROUND, NEITHER = 2, 1, 0
+
+
+def bigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all texts, one after another: the distinct keys of words and of word pairs, ascending; where among them each
+    token's pair, its own word and the word before it are; and the first token of each text. A key is a 64-bit hash, odd
+    for words. A text's last token is END; the word before its first one is START, whose count is that of END."""
+    words, first = word_hashes(column)
+    n = len(first) - 1
+    ends = first[1:] + np.arange(n)  # each text gets one token more
+    then = np.insert(words, first[1:], END)
+    before = np.concatenate([np.zeros(1, np.uint64), then[:-1]])
+    starts = np.concatenate([[0], ends[:-1] + 1]) if n else np.zeros(0, np.int64)
+    before[starts] = START
+    pair = mixed(mixed(before) * np.uint64(0x9E3779B97F4A7C15) + then) & ~np.uint64(1)
+    own = mixed(then) | np.uint64(1)
+    keys, at = np.unique(np.concatenate([pair, own]), return_inverse=True)
+    pair_at, own_at = at[: len(pair)], at[len(pair) :]
+    context = np.concatenate([own_at[:1], own_at[:-1]])
+    context[starts] = own_at[ends]
+    return keys, pair_at, own_at, context, np.append(starts, len(then))
+
+
+def smoothed(pair: np.ndarray, own: np.ndarray, context: np.ndarray, total: int, types: int, strength: float) -> np.ndarray:
+    """The loss of a word after another from counts: the pair's, with `strength` counts spread as the words' own, those
+    with one count added to each type and to the one type for all others. Over all types, probabilities sum to 1."""
+    return np.log(context + strength) - np.log(pair + strength * (own + 1) / (total + types + 1))
+
+
+def marked(docs: DataFrame, target: DataFrame) -> tuple[DataFrame, np.ndarray | None]:
+    """docs with `side`, and target ids that the tasks look up themselves (None: side says it all)."""
+    ids = target.where("doc_id IS NOT NULL").distinct()
+    if ids.count() <= MOST_IDS:
+        return docs, np.sort(ids.toArrow().column(0).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64))
+    chosen = ids.select("doc_id", F.lit(0).alias("deal"), F.lit(True).alias("of_target"))
+    # Null ids are of no target; `deal` spreads them over the tasks.
+    dealt = docs.withColumn("deal", F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(1 << 16)).cast("int")).otherwise(0))
+    joined = dealt.join(chosen.hint("merge"), ["doc_id", "deal"], "left")
+    side = F.when((F.col("side") == BACKGROUND) & F.coalesce("of_target", F.lit(False)), F.lit(BOTH)).otherwise(F.col("side"))
+    return written(joined.select("doc_id", "text", side.alias("side")), "lm-marked"), None
 
-    totals has the sums of the words' counts and the size of the vocabulary. vocabulary is None where it has all words.
-    The losses of the pairs that occur most are held as arrays sorted by pair_keys.
-    """
 
-    pairs: DataFrame
-    words: DataFrame
-    totals: tuple[int, int, int]
-    strength: float
-    vocabulary: frozenset[str] | None
-    keys: np.ndarray
-    losses: np.ndarray  # 2 x keys
-
-    def loss(self, side: str, pair: Column, first: Column, then: Column) -> Column:
-        """The negative log probability of a word after another from their counts, by Dirichlet smoothing."""
-        total, size = self.totals[side == "g"], self.totals[2]
-        return -F.log((pair + self.strength * (then + 1) / (total + size)) / (first + self.strength))
-
-    def with_losses(self, pairs: DataFrame) -> DataFrame:
-        """pairs (a, b, t, g) as a, b, and both losses; words without counts have zero."""
-        often = self.words.where(at_least(self.words, "g", OFTEN_WORDS))
-        ends = [F.col("w").alias(k) for k in "ab"]
-        known = [F.broadcast(often.select(end, F.col("t").alias(f"t{k}"), F.col("g").alias(f"g{k}"))) for k, end in zip("ab", ends, strict=True)]
-        seen = pairs.join(known[0], "a", "left").join(known[1], "b", "left")
-        both = seen.where("ta IS NOT NULL AND tb IS NOT NULL")
-        rest = seen.where("ta IS NULL OR tb IS NULL")
-        for k, end in zip("ab", ends, strict=True):
-            counts = self.words.select(end, F.col("t").alias("t_"), F.col("g").alias("g_"))
-            # Only rows without the word's counts look for them: a word of many pairs is in `often`.
-            open_ = rest.where(F.col(f"t{k}").isNull()).join(counts.hint("merge"), k, "left")
-            open_ = open_.select("a", "b", "t", "g", *(F.coalesce(f"{s}_", F.lit(0)).alias(f"{s}{x}") if x == k else F.col(f"{s}{x}") for x in "ab" for s in "tg"))
-            rest = rest.where(F.col(f"t{k}").isNotNull()).select(*open_.columns).union(open_)
-        done = both.select(*rest.columns).union(rest)
-        return done.select("a", "b", *(self.loss(s, F.col(s), F.col(f"{s}a"), F.col(f"{s}b")).alias(f"{s}_loss") for s in "tg"))
-
-
-class Digests(dict):
-    """Word to id: a 64-bit digest of its UTF-8; words outside a vocabulary, where one is given, are OTHER."""
-
-    def __init__(self, vocabulary: frozenset[str] | None) -> None:
-        self.vocabulary = vocabulary
-
-    def __missing__(self, word: str) -> int:
-        out = OTHER
-        if self.vocabulary is None or word in self.vocabulary:
-            out = int.from_bytes(blake2b(word.encode(), digest_size=8).digest(), "little", signed=True)
-            out += 3 * (START <= out <= OTHER)
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = out
-        return out
-
-    def pairs(self, some: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First and second words of all pairs of the texts, one after another, and the number of each text's pairs."""
-        ids, sizes = [], []
-        for text in some:
-            words = text.lower().split()
-            ids += [START, *map(self.__getitem__, words), END]
-            sizes.append(len(words) + 1)
-        every, n = np.array(ids, np.int64), np.array(sizes, np.int64)
-        ends = np.cumsum(n + 1)
-        return np.delete(every, ends - 1), np.delete(every, ends - n - 1), n
-
-
-def pair_keys(first: np.ndarray, then: np.ndarray) -> np.ndarray:
-    h = (first.astype(np.uint64) ^ np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0x9E3779B97F4A7C15)
-    h = ((h ^ (h >> np.uint64(29))) + then.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
-
-
-def at_least(counts: DataFrame, n: str, most: int) -> Column:
-    """A condition that holds for the rows of the greatest counts, at most `most`, all of equal count alike."""
-    step = F.floor(8 * F.log2(F.col(n)))
-    above, least = 0, None
-    for s, k in sorted(((r["s"], r["k"]) for r in counts.where(F.col(n) > 0).groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True):
-        above += k
-        if above > most:
-            break
-        least = s
-    return F.lit(False) if least is None else F.coalesce((F.col(n) > 0) & (step >= least), F.lit(False))
-
-
-def most_frequent(docs: DataFrame, vocabulary: int) -> frozenset[str]:
-    """The `vocabulary` words that occur most in the column text (of equals the lesser); they go to the driver."""
-
-    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-
-        def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["w", "n"])
-
-        for part in pieces(batches):
-            for text in part.column("text").to_pylist():
-                seen.update(text.lower().split())
-            if len(seen) > CACHE:
-                yield rows()
-                seen.clear()
-        yield rows()
-
-    often = docs.select("text").mapInArrow(count_words, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    return frozenset(r["w"] for r in often.orderBy(F.desc("n"), "w").limit(vocabulary).collect())
-
-
-def fit_pairs(
-    docs: DataFrame,
+def cross_entropy_difference(
+    df: DataFrame,
     target: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    vocabulary: int | None = None,
-    cells: int = 1 << 18,
+    uncounted: DataFrame | None = None,
     strength: float = 16.0,
-) -> PairModel:
-    """Count words and word pairs of all of docs (background) and of the rows whose id is in `target`.
-
-    Every word and every pair has its own exact count, in tables that grow with the input; words are named by 64-bit
-    digests. With `vocabulary`, only the words that occur most in docs (of equals the lesser) are told apart and all
-    others are one id in both models. The losses of at most `cells` pairs, the most frequent, go to the driver and every
-    task; this saves joins and changes no result. target (ids; repeated and null ones don't count twice) is joined, not
-    collected.
-    """
-    marked = texts(docs, id_col, text_col)
-    chosen = target.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct().select("doc_id", F.lit(0).alias("deal"), F.lit(True).alias("of_target"))
-    held = None if vocabulary is None else most_frequent(marked, vocabulary)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digests, parts, tokens = Digests(held), [], 0
-
-        def rows() -> pa.RecordBatch:
-            a, b, t = (np.concatenate(x) for x in zip(*parts, strict=True))
-            _, at, group = np.unique(pair_keys(a, b), return_index=True, return_inverse=True)
-            columns = [a[at], b[at], np.bincount(group, t, len(at)).astype(np.int64), np.bincount(group, minlength=len(at))]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "t", "g"])
-
-        for part in pieces(batches):
-            first, then, n = digests.pairs(part.column("text").to_pylist())
-            parts.append((first, then, np.repeat(part.column("of_target").to_numpy(zero_copy_only=False).astype(np.int8), n)))
-            tokens += len(first)
-            if tokens >= TOKENS:
-                out = rows()
-                for i in range(0, out.num_rows, 1 << 17):
-                    yield out.slice(i, 1 << 17)
-                parts, tokens = [], 0
-        if parts:
-            out = rows()
-            for i in range(0, out.num_rows, 1 << 17):
-                yield out.slice(i, 1 << 17)
-
-    # Null ids are of no target; `deal` spreads them over the tasks.
-    dealt = marked.withColumn("deal", F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(1 << 16)).cast("int")).otherwise(0))
-    flagged = dealt.join(chosen.hint("merge"), ["doc_id", "deal"], "left").select("text", F.coalesce("of_target", F.lit(False)).alias("of_target"))
-    pairs = flagged.mapInArrow(count, "a long, b long, t long, g long").groupBy("a", "b").agg(F.sum("t").alias("t"), F.sum("g").alias("g"))
-    pairs = written(pairs, "lm-pairs")
-    # Every word but a text's end is the first of as many pairs as it occurs; ends are as many as starts.
-    words = pairs.groupBy(F.col("a").alias("w")).agg(F.sum("t").alias("t"), F.sum("g").alias("g"))
-    words = written(words.select(F.explode(F.when(F.col("w") == START, F.array(F.lit(START), F.lit(END)).cast("array<bigint>")).otherwise(F.array("w"))).alias("w"), "t", "g"), "lm-words")
-    sums = words.agg(F.sum("t").alias("t"), F.sum("g").alias("g"), F.count(F.when(~F.col("w").isin(START, END, OTHER), 1)).alias("n")).first()
-    model = PairModel(pairs, words, (sums["t"] or 0, sums["g"] or 0, sums["n"] + 3), strength, held, np.zeros(0, np.uint64), np.zeros((2, 0)))
-    often = model.with_losses(pairs.where(at_least(pairs, "g", cells))).toArrow()
-    a, b, *losses = (often.column(c).to_numpy() for c in ("a", "b", "t_loss", "g_loss"))
-    keys = pair_keys(a, b)
-    order = np.argsort(keys)
-    model.keys, model.losses = keys[order], np.stack(losses)[:, order]
-    return model
-
-
-def score_documents(df: DataFrame, model: PairModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Returns doc_id, n_tokens, target_loss, background_loss and score, one row per row of df.
-
-    Losses are nats per token of the whole text, its end included, so an empty or null text has one token, its end. The
-    score is the mean over tokens of target loss less background loss: the lower, the more like the target. Repeated rows
-    get equal scores; other columns are not carried. A task sums the losses of the frequent pairs at once; the other
-    pairs are joined to the model's table, and those that it lacks are computed from the counts of their words.
+    block_bytes: int = BLOCK,
+) -> DataFrame:
+    """Returns doc_id, n_tokens, target_loss, background_loss and score, one row per row of df and of `uncounted`.
+
+    Two bigram models of one order, one smoothing and one vocabulary, all words of df: the background counts every row of
+    df, the target those whose id is in `target` (null and repeated ids there count nothing more). Rows of `uncounted` are
+    scored, not counted; their unknown words share one type. Words are as the tokens of shingles: white space parts them,
+    A-Z is lower-cased. Each word and each pair has its own count, under a 64-bit hash.
+
+    Losses are nats per token of the whole text, its end included, so an empty or null text has one token. The score is
+    the mean over tokens of target loss less background loss: the lower, the more like the target. Null ids are scored and
+    of no target; repeated rows are counted each and get equal scores; an empty table gives no rows; other columns are not
+    carried.
+
+    Blocks of texts list their pairs and words; each part of the keys is added up once and sent back to the blocks, whose
+    texts are read again to meet them. Keys, counts and texts move packed. Counts grow with the input, without a cap.
     """
-    held = df.sparkSession.sparkContext.broadcast((model.vocabulary, model.keys, model.losses))  # of bounded size
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, keys, losses = held.value
-        digests = Digests(vocabulary)
-        for part in pieces(batches):
-            first, then, n = digests.pairs(part.column("text").to_pylist())
-            rows = part.column("row").to_numpy()
-            key = pair_keys(first, then)
-            at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
-            known = keys[at] == key if len(keys) else np.zeros(len(key), bool)
-            of = np.repeat(np.arange(len(n)), n)
-            t, g = (np.bincount(of[known], x[at[known]], len(n)) for x in losses)
-            none = pa.nulls(len(n), pa.int64())
-            names = ["row", "doc_id", "n", "a", "b", "t_loss", "g_loss"]
-            yield pa.RecordBatch.from_arrays([pa.array(rows), part.column("doc_id"), pa.array(n), none, none, pa.array(t, pa.float64()), pa.array(g, pa.float64())], names)
-            at = np.flatnonzero(~known)
-            for i in range(0, len(at), 1 << 17):
-                some = at[i : i + (1 << 17)]
-                none, null = pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(rows[of[some]]), none, none, pa.array(first[some]), pa.array(then[some]), null, null], names)
-
-    numbered = texts(df, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
-    asked = written(numbered.mapInArrow(run, "row long, doc_id long, n long, a long, b long, t_loss double, g_loss double"), "lm-asked")
-    own = asked.where("a IS NULL").select("row", "doc_id", "n", "t_loss", "g_loss", F.lit(0).alias("lost"))
-    wanted = asked.where("a IS NOT NULL").select("row", "a", "b")
-
-    def summed(some: DataFrame) -> DataFrame:
-        return some.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n").alias("n"), F.sum("t_loss").alias("t_loss"), F.sum("g_loss").alias("g_loss"), F.sum("lost").alias("lost"))
-
-    none = F.lit(None).cast("long")
-    found = wanted.join(model.with_losses(model.pairs).hint("merge"), ["a", "b"], "left")
-    found = found.select("row", none.alias("doc_id"), none.alias("n"), "t_loss", "g_loss", F.col("t_loss").isNull().cast("int").alias("lost"))
-    sums = written(summed(own.union(found)), "lm-sums")
-    if sums.where("lost > 0").limit(1).count():
-        new = wanted.join(sums.where("lost > 0").select("row"), "row", "left_semi").join(model.pairs.select("a", "b"), ["a", "b"], "left_anti")
-        new = written(new, "lm-new")
-        zero = F.lit(0).cast("long")
-        priced = model.with_losses(new.select("a", "b").distinct().select("a", "b", zero.alias("t"), zero.alias("g")))
-        late = new.join(priced, ["a", "b"]).select("row", none.alias("doc_id"), none.alias("n"), "t_loss", "g_loss", F.lit(0).cast("long").alias("lost"))
-        sums = summed(sums.union(late))
-    t, g = F.col("t_loss") / F.col("n"), F.col("g_loss") / F.col("n")
-    return sums.select("doc_id", F.col("n").alias("n_tokens"), t.alias("target_loss"), g.alias("background_loss"), (t - g).alias("score"))
+    docs = texts(df, id_col, text_col, F.lit(BACKGROUND).alias("side"))
+    if uncounted is not None:
+        docs = docs.union(texts(uncounted, id_col, text_col, F.lit(NEITHER).alias("side")))
+    docs, held = marked(docs, target.select(F.col(id_col).cast("long").alias("doc_id")))
+    ids = df.sparkSession.sparkContext.broadcast(held)  # of checked size
+    parts = part_count(docs)
+    edges = (np.arange(1, parts, dtype=object) * (1 << 64) // parts).astype(np.uint64)
+
+    def sides(batch: pa.RecordBatch) -> np.ndarray:
+        side = batch.column("side").to_numpy()
+        if ids.value is None or not len(ids.value):
+            return side
+        known = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
+        at = np.minimum(np.searchsorted(ids.value, known), len(ids.value) - 1)
+        of_target = (ids.value[at] == known) & batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+        return np.where((side == BACKGROUND) & of_target, BOTH, side)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple[int, bytes, bytes]]:
+            for batch in blocks(batches, "text", block_bytes):
+                keys, pair, own, _, starts = bigrams(batch.column("text"))
+                side = np.repeat(sides(batch), np.diff(starts))
+                t, g = (sum(np.bincount(x, side >= least, len(keys)) for x in (pair, own)) for least in (BOTH, BACKGROUND))
+                cut, name = [0, *np.searchsorted(keys, edges).tolist(), len(keys)], name_of(batch.column("text"))
+                for p in range(parts):
+                    s = slice(cut[p], cut[p + 1])
+                    yield p, name, pack(np.diff(keys[s], prepend=np.uint64(0)), t[s], g[s])
+
+        yield from batched(rows())
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple[int, bytes, bytes]]:
+            for p, (names, payloads) in grouped(batches, "part", ["block", "payload"]):
+                asked = [unpack(x) for x in payloads]
+                keys, at = np.unique(np.concatenate([np.cumsum(k, dtype=np.uint64) for k, _, _ in asked]), return_inverse=True)
+                t, g = (np.bincount(at, np.concatenate([x[i] for x in asked]), len(keys)).astype(np.int64) for i in (1, 2))
+                words = (keys & np.uint64(1)).astype(bool)
+                yield p, b"", np.array([t[words].sum(), g[words].sum(), (words & (g > 0)).sum()], np.int64).tobytes()
+                stop = np.cumsum([0, *(len(k) for k, _, _ in asked)])
+                for i, name in enumerate(names):
+                    own = at[stop[i] : stop[i + 1]]
+                    yield p, name, pack(t[own], g[own])
+
+        yield from batched(rows())
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, "text", block_bytes):
+            rows = batch.select(["doc_id", "text"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema) as out:
+                out.write_batch(rows)
+            yield as_rows([own_row(name_of(batch.column("text")), parts, packed(sink.getvalue().to_pybytes()))])
+
+    answers = written(by_part(docs.mapInArrow(ask, PARTS), parts).mapInArrow(answer, PARTS), "lm-counts")
+    sums = np.zeros(3, np.int64)
+    for row in answers.where(F.octet_length("block") == 0).select("payload").toLocalIterator():  # one a part
+        sums += np.frombuffer(bytes(row["payload"]), np.int64)
+    in_target, in_all, types = sums.tolist()
+
+    def finish(answered: list[bytes], payload: bytes) -> Iterator[pa.RecordBatch]:
+        rows = pa.ipc.open_stream(unpacked(payload)).read_next_batch()
+        _, pair, own, context, starts = bigrams(rows.column("text"))
+        n, counts = np.diff(starts), [unpack(x) for x in answered]
+        losses = []
+        for side, total in ((0, in_target), (1, in_all)):
+            count = np.concatenate([c[side] for c in counts]).astype(float)
+            each = smoothed(count[pair], count[own], count[context], total, types, strength)
+            losses.append(np.add.reduceat(each, starts[:-1]) / n if len(n) else each)
+        columns = [rows.column("doc_id"), pa.array(n.astype(np.int64)), *map(pa.array, losses), pa.array(losses[0] - losses[1])]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+
+    schema = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
+    return returned(answers.where(F.octet_length("block") > 0), docs.mapInArrow(keep, PARTS), finish, schema)

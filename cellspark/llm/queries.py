@@ -14,7 +14,7 @@ from .fingerprint import add_sketch, as_text, edited_text, likeness, with_next
 from .jaccard import ngram_jaccard_join
 from .langid import fit_languages, identify_languages
 from .license_scan import fit_licenses, scan_licenses
-from .lm_score import fit_pairs, score_documents
+from .lm_score import cross_entropy_difference
 from .media import text_media
 from .mixing import mix_sources
 from .sharding import shard_by_bytes
@@ -49,7 +49,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     good = table(spark, sf_dir, "labels").where(F.col("quality") == 1)
-    return score_documents(docs, fit_pairs(docs, good))
+    return cross_entropy_difference(docs, good)
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,77 +1,104 @@
 import math
+import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from cellspark.llm import lm_score
+from cellspark.llm import blocks, lm_score
 
+FOLD = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+TARGET = [1, 2, 4, 4, None, 999]
 
-def test_losses_match_brute_force(spark, docs, plain):
-    target = spark.createDataFrame([(i,) for i in [1, 2, 4, 4, None, 999]], "doc_id long")
-    model = lm_score.fit_pairs(docs, target, vocabulary=50, cells=1 << 20, strength=3.0)
-    got = Counter((r["doc_id"], r["n_tokens"], round(r["target_loss"], 3), round(r["background_loss"], 3)) for r in lm_score.score_documents(docs, model).collect())
-    words = Counter(w for _, t in plain for w in (t or "").lower().split())
-    vocabulary = {w for w, _ in sorted(words.items(), key=lambda x: (-x[1], x[0]))[:50]}
 
-    def ids(t):
-        return ["<s>", *(w if w in vocabulary else "<o>" for w in (t or "").lower().split()), "</s>"]
+def tokens(text):
+    return ["<s>", *re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(FOLD)), "</s>"]
 
-    sides = []
-    for rows in ([(d, t) for d, t in plain if d in (1, 2, 4)], plain):
-        one, two = Counter(), Counter()
-        for _, t in rows:
-            one.update(ids(t))
-            two.update(zip(ids(t), ids(t)[1:]))
-        sides.append((one, two, sum(one.values())))
 
-    def loss(t, side):
-        one, two, total = side
-        x = ids(t)
-        return sum(-math.log((two[a, b] + 3 * (one[b] + 1) / (total + 53)) / (one[a] + 3)) for a, b in zip(x, x[1:])) / (len(x) - 1)
+def counted(rows):
+    one, two = Counter(), Counter()
+    for _, t in rows:
+        one.update(tokens(t)[1:])
+        two.update(zip(tokens(t), tokens(t)[1:]))
+    one["<s>"] = one["</s>"]
+    return one, two
 
-    want = Counter((d, len(ids(t)) - 1, round(loss(t, sides[0]), 3), round(loss(t, sides[1]), 3)) for d, t in plain)
-    close = sum((got & want).values())
-    assert close >= sum(want.values()) - 3  # single precision may round the last digit the other way
+
+def probability(a, b, side, types, strength):
+    one, two = side
+    total = sum(one.values()) - one["<s>"]
+    return (two[a, b] + strength * (one[b] + 1) / (total + types + 1)) / (one[a] + strength)
+
+
+def brute_force(plain, scored, strength):
+    sides = [counted([x for x in plain if x[0] in (1, 2, 4)]), counted(plain)]
+    types = len(sides[1][0]) - ("<s>" in sides[1][0])
+    out = Counter()
+    for d, t in scored:
+        x = tokens(t)
+        loss = [sum(-math.log(probability(a, b, s, types, strength)) for a, b in zip(x, x[1:])) / (len(x) - 1) for s in sides]
+        out[d, len(x) - 1, round(loss[0], 6), round(loss[1], 6)] += 1
+    return out, sides, types
+
+
+def losses(frame):
+    return Counter((r["doc_id"], r["n_tokens"], round(r["target_loss"], 6), round(r["background_loss"], 6)) for r in frame.collect())
+
+
+@pytest.fixture(scope="module")
+def target(spark):
+    return spark.createDataFrame([(i,) for i in TARGET], "doc_id long")
+
+
+def test_losses_match_brute_force(docs, plain, target, monkeypatch):
+    got = losses(lm_score.cross_entropy_difference(docs, target, strength=3.0))
+    want, _, _ = brute_force(plain, plain, 3.0)
+    assert got == want
+    monkeypatch.setattr(lm_score, "MOST_IDS", 0)  # the target is joined instead
+    assert losses(lm_score.cross_entropy_difference(docs, target, strength=3.0)) == want
+
+
+def test_many_small_blocks_and_rows_not_counted(spark, docs, plain, target):
+    more = [(9000, "the of never seen words"), (9001, None), (None, "and to in")]
+    frame = spark.createDataFrame(more, "doc_id long, text string")
+    got = losses(lm_score.cross_entropy_difference(docs, target, uncounted=frame, block_bytes=300))
+    assert got == brute_force(plain, plain + more, 16.0)[0]
+
+
+def test_probabilities_sum_to_one(plain):
+    _, sides, types = brute_force(plain, [], 16.0)
+    words = [w for w in sides[1][0] if w != "<s>"] + ["a word that no text has"]
+    for side in sides:
+        for a in ["<s>", "the", "der", "of", "a word that no text has"]:
+            assert sum(probability(a, b, side, types, 16.0) for b in words) == pytest.approx(1.0)
+
+
+def test_target_is_preferred(spark):
+    rows = [(i, "apples and pears " * 5 if i % 2 else "stocks and bonds " * 5) for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    chosen = spark.createDataFrame([(i,) for i in range(1, 20, 2)], "doc_id long")
+    score = {r["doc_id"]: r["score"] for r in lm_score.cross_entropy_difference(frame, chosen).collect()}
+    assert max(score[i] for i in range(1, 40, 2)) < min(score[i] for i in range(0, 40, 2))
 
 
 def test_empty(spark, no_docs):
-    model = lm_score.fit_pairs(no_docs, no_docs.select("doc_id"))
-    assert lm_score.score_documents(no_docs, model).count() == 0
-    lone = spark.createDataFrame([(1, None)], "doc_id long, text string")
-    (row,) = lm_score.score_documents(lone, model).collect()
-    assert row["n_tokens"] == 1 and row["score"] == pytest.approx(0)
-
-
-def exact(rows, chosen, text, strength):
-    """Both losses of a text, from counts of every word and pair."""
-
-    def ids(t):
-        return ["<s>", *(t or "").lower().split(), "</s>"]
-
-    size = len({w for _, t in rows for w in (t or "").lower().split()}) + 3
-    out = []
-    for some in ([t for d, t in rows if d in chosen], [t for _, t in rows]):
-        one, two = Counter(), Counter()
-        for t in some:
-            one.update(ids(t))
-            two.update(zip(ids(t), ids(t)[1:]))
-        total = sum(one.values())
-        x = ids(text)
-        out.append(sum(-math.log((two[a, b] + strength * (one[b] + 1) / (total + size)) / (one[a] + strength)) for a, b in zip(x, x[1:])) / (len(x) - 1))
-    return out
-
-
-def test_more_pairs_than_cells_and_all_words(spark, docs, plain, monkeypatch):
-    target = spark.createDataFrame([(1,), (2,), (4,), (None,)], "doc_id long")
-    monkeypatch.setattr(lm_score, "OFTEN_WORDS", 8)
-    model = lm_score.fit_pairs(docs, target, cells=16, strength=3.0)
-    new = [(None, "unheard words of the water"), (-1, "the the und")]
-    more = docs.select("doc_id", "text").union(spark.createDataFrame(new, "doc_id long, text string"))
-    got = sorted((r["doc_id"] or 0, r["n_tokens"], round(r["target_loss"], 6), round(r["background_loss"], 6)) for r in lm_score.score_documents(more, model).collect())
-    want = []
-    for d, t in plain + new:
-        x, y = exact(plain, {1, 2, 4}, t, 3.0)
-        want.append((d or 0, len((t or "").split()) + 1, round(x, 6), round(y, 6)))
-    assert len(model.keys) <= 16 < model.pairs.count()
-    assert [r[:2] for r in got] == [r[:2] for r in sorted(want)]
-    assert all(abs(p - q) < 2e-6 for a, b in zip(got, sorted(want)) for p, q in zip(a[2:], b[2:]))
+    assert lm_score.cross_entropy_difference(no_docs, no_docs.select("doc_id")).count() == 0
+    lone = spark.createDataFrame([(1, None), (None, "")], "doc_id long, text string")
+    assert {(r["n_tokens"], r["score"] == r["score"]) for r in lm_score.cross_entropy_difference(lone, lone.select("doc_id")).collect()} == {(1, True)}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 2**63 - 1) | st.integers(0, 300), max_size=50))
+def test_pack(values):
+    a = np.array(values, np.uint64)
+    assert [x.tolist() for x in blocks.unpack(blocks.pack(a, a[:3]))] == [values, values[:3]]
+
+
+def test_blocks_keep_all_rows():
+    batches = [pa.RecordBatch.from_pydict({"text": pa.array(["x" * (i * 7 % 50) if i % 5 else None for i in range(k, k + 40)], pa.string())}) for k in (0, 40)]
+    got = list(blocks.blocks(iter(batches), "text", 120))
+    assert sum((b.column("text").to_pylist() for b in got), []) == sum((b.column("text").to_pylist() for b in batches), [])
+    assert all(sum(len(t or "") for t in b.column("text").to_pylist()) < 120 + 50 for b in got) and len(got) > 5
