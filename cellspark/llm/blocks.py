@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8_buffer
+from .common import utf8_buffer, written
 
 #: Bytes of text in a block, and the square of the bytes of text in a part: parts grow with the root of the input.
 BLOCK, PART = 16_000_000, 1 << 16
@@ -28,6 +28,11 @@ PARTS = "part int, block binary, payload binary"
 _CODEC = pa.Codec("zstd", 1)
 
 
+def steady(df: DataFrame) -> DataFrame:
+    """df, or a written copy if its rows pass an exchange, which may deal and order them otherwise when it runs again."""
+    return written(df, "rows") if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
+
+
 def part_count(docs: DataFrame, text_col: str = "text") -> int:
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     return max(8, round((size / PART) ** 0.5))

@@ -1,6 +1,7 @@
 """Byte-level BPE: Spark's higher-order functions fold ranked merges over the bytes of distinct words.
 
-The tokenizer's ranks become literals of the plan. A word is a string with one character per byte (Latin-1). Within the
+Blocks of texts ask for their distinct words; each word of the whole input is folded once, and the blocks that asked for it
+get its ids back. The tokenizer's ranks become literals of the plan. A word is a string with one character per byte (Latin-1). Within the
 fold, a word is one character per token, the token's id shifted by 256, next to one character per adjacent pair, the rank
 of what the pair merges into. A step merges the first pair of least rank and looks up the two new pairs.
 """
@@ -8,6 +9,7 @@ of what the pair merges into. A step merges the first pair of least rank and loo
 from __future__ import annotations
 
 import base64
+import heapq
 import json
 import zlib
 from collections.abc import Callable, Iterator
@@ -20,21 +22,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from .common import pieces
+from .blocks import PARTS, as_rows, batched, blocks, by_part, grouped, name_of, own_row, pack, packed, part_count, returned, steady, unpack, unpacked
 
 #: Token id 0 is this character; ids stay below the surrogates.
 SHIFT = 256
 #: Private characters: around a word, and the rank of a pair without one.
 EDGE, NO_RANK = "\uf000", "\ue000"
 CELLS = 1 << 14
-#: Texts are cut into blocks of so many bytes; a worker forgets its words beyond so many.
-BLOCK, KNOWN = 2_000_000, 600_000
+#: Bytes of text in a block.
+BLOCK = 32_000_000
 
 
 @lru_cache(maxsize=4)
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
-        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    if SHIFT + max(ranks.values()) >= 0xD800:
+        raise ValueError("token ids stand for characters below the surrogates, which these ranks exceed")
+    return ranks
 
 
 def sign(token_id: int) -> str:
@@ -130,67 +135,209 @@ def word_encoder(path: str) -> Callable[[Column], Column]:
     return encoder
 
 
-def stream(batch: pa.RecordBatch) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema) as out:
-        out.write_batch(batch)
-    return sink.getvalue().to_pybytes()
-
-
-def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
-    """df with ids_col array<int>: the ids of each match of `pattern` in the text, encoded on its own; no special tokens.
-
-    A null or empty text gives no ids. A column of the name ids_col is replaced. Nothing is shuffled: a pass in Python
-    splits blocks of texts into words and lists each block's words that its task has not met before; the fold encodes
-    those; another pass in Python, in the same task, puts the ids of the texts together. Lists are bounded by the block
-    and KNOWN words; whole texts count, a text longer than a block is one block.
+def window_starts(n: int, window: int) -> list[int]:
+    """Where the windows of a word of n bytes begin: each half a window after the one before; the last ends the word."""
+    return [*range(0, n - window, window // 2), n - window] if n > window else [0]
+
+
+def merged_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """What merging makes of a word, in about n log n steps, by a queue of pairs over linked pieces."""
+    stop = list(range(1, len(word) + 1))  # of the piece that starts here
+    back = list(range(-1, len(word) - 1))
+    queue = [(ranks[word[i : i + 2]], i, i + 2) for i in range(len(word) - 1) if word[i : i + 2] in ranks]
+    heapq.heapify(queue)
+    gone = bytearray(len(word))
+    while queue:
+        _, i, end = heapq.heappop(queue)
+        middle = stop[i]
+        if gone[i] or middle >= len(word) or stop[middle] != end or gone[middle]:
+            continue
+        gone[middle], stop[i] = 1, end
+        if end < len(word):
+            back[end] = i
+            if (pair := word[i : stop[end]]) in ranks:
+                heapq.heappush(queue, (ranks[pair], i, stop[end]))
+        if (j := back[i]) >= 0 and (pair := word[j:end]) in ranks:
+            heapq.heappush(queue, (ranks[pair], j, end))
+    out, i = [], 0
+    while i < len(word):
+        out.append(ranks[word[i : stop[i]]])
+        i = stop[i]
+    return out
+
+
+def spliced(parts: list[np.ndarray], starts: list[int], sizes: np.ndarray) -> np.ndarray | None:
+    """The ids of a word from those of its windows, None where two neighbours have no token in common at one place.
+
+    A list of tokens is a word's encoding if every two neighbours in it are the encoding of their bytes. Those of a window
+    are; a token that two windows share has its left neighbour in one and its right one in the other.
+    """
+    edges = [start + np.concatenate([[0], np.cumsum(sizes[ids])]) for ids, start in zip(parts, starts, strict=True)]
+    out, begin = [], 0
+    for i in range(len(parts) - 1):
+        common = np.intersect1d(edges[i], edges[i + 1], assume_unique=True)
+        left, right = np.searchsorted(edges[i], common), np.searchsorted(edges[i + 1], common)
+        shared = np.flatnonzero((np.diff(left) == 1) & (np.diff(right) == 1) & (left[:-1] >= begin))
+        if not len(shared):
+            return None
+        at = shared[len(shared) // 2]
+        out.append(parts[i][begin : left[at]])
+        begin = int(right[at])
+    return np.concatenate([*out, parts[-1][begin:]])
+
+
+def gathered(lists: tuple[np.ndarray, np.ndarray], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of lists (lengths, values one after another), those numbered `at`, in that form."""
+    n, values = lists
+    start, count = (np.cumsum(n) - n)[at], n[at]
+    return count, values[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - start, count)]
+
+
+def asked_of(texts: list[str | None], find: Callable[[str], list[str]], parts: int, window: int, places: bool) -> tuple:
+    """What a block asks, part by part, as (bytes of the words, one after another; their lengths; edges of the parts); and, with
+    `places`, the number of each word of the texts in that order, the end of each text's, and of long words the length, the
+    number of windows, and the numbers of these. Long words are numbered after all others."""
+    number: dict[str, int] = {}
+    at, ends = [], [0]
+    for text in texts:
+        words = find(text) if text else []
+        if places:
+            at.extend([number.setdefault(w, len(number)) for w in words])
+            ends.append(len(at))
+        else:
+            number.update(dict.fromkeys(words))
+    raw = [w.encode() for w in number]
+    long = [i for i, w in enumerate(raw) if len(w) > window]
+    pieces = {w: None for w in raw if len(w) <= window}
+    for i in long:
+        pieces.update(dict.fromkeys(raw[i][s : s + window] for s in window_starts(len(raw[i]), window)))
+    every = list(pieces)
+    part = np.array([zlib.crc32(w) for w in every], np.int64) % parts
+    order = np.argsort(part, kind="stable")
+    every = [every[i] for i in order]
+    sizes, edges = np.array([len(w) for w in every], np.int64), np.searchsorted(part[order], np.arange(parts + 1))
+    if not places:
+        return b"".join(every), sizes, edges
+    new = {w: i for i, w in enumerate(every)}
+    later = {i: len(every) + k for k, i in enumerate(long)}
+    renumber = np.array([later[i] if i in later else new[w] for i, w in enumerate(raw)], np.int64)
+    spans = [[new[raw[i][s : s + window]] for s in window_starts(len(raw[i]), window)] for i in long]
+    flat = np.array([x for span in spans for x in span], np.int64)
+    return renumber[np.array(at, np.int64)] if at else np.zeros(0, np.int64), np.array(ends, np.int64), np.array([len(raw[i]) for i in long], np.int64), np.array([len(x) for x in spans], np.int64), flat
+
+
+def encode(
+    df: DataFrame,
+    ranks_path: str,
+    pattern: str,
+    text_col: str = "text",
+    ids_col: str = "token_ids",
+    keep: list[str] | None = None,
+    window: int | None = None,
+    block_bytes: int = BLOCK,
+) -> DataFrame:
+    """The columns `keep` of df (None: all) and ids_col array<int>: the ids of each match of `pattern` in the text, encoded
+    on its own; no special tokens.
+
+    A null or empty text gives no ids; null ids, repeated rows and other columns stay as they are; a column of the name
+    ids_col is replaced; an empty table gives no rows. Texts are not shuffled unless kept: their words go, packed, from
+    each block to the parts of the words' hashes, where the fold encodes each distinct word of a part once, and ids come
+    back to the block's rows. A word longer than `window` bytes (None: 256, or four times the longest token if that is
+    more) is folded in windows that overlap by half and are joined where two share a token; where two share none, as
+    in one letter written over and over, a queue of pairs merges the word in Python.
     """
-    encoder = word_encoder(ranks_path)
-    kept = [c for c in df.columns if c != ids_col]
+    ranks, encoder = load_ranks(ranks_path), word_encoder(ranks_path)
+    kept = [c for c in (df.columns if keep is None else keep) if c != ids_col]
     schema = df.select(*kept).schema
+    rows = steady(df.select(*kept, F.col(text_col).alias("\ttext")))
+    window = window or max(256, 4 * max(map(len, ranks)))
+    parts = part_count(rows, "\ttext")
+    held = df.sparkSession.sparkContext.broadcast(ranks)  # read only where windows share no token
+    sizes = np.zeros(max(ranks.values()) + 1, np.int32)
+    for token, rank in ranks.items():
+        sizes[rank] = len(token)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = regex.compile(pattern).findall
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> Iterator[tuple[int, bytes, bytes]]:
+            for batch in blocks(batches, "\ttext", block_bytes):
+                column = batch.column("\ttext")
+                body, n, edges = asked_of(column.to_pylist(), find, parts, window, False)
+                ends, name = np.concatenate([[0], np.cumsum(n)]), name_of(column)
+                for p in range(parts):
+                    s, e = int(edges[p]), int(edges[p + 1])
+                    yield p, name, packed((e - s).to_bytes(8, "little") + n[s:e].astype(np.uint32).tobytes() + body[ends[s] : ends[e]])
+
+        yield from batched(out())
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p, (names, payloads) in grouped(batches, "part", ["block", "payload"]):
+            lists = []
+            for body in map(unpacked, payloads):
+                n = int.from_bytes(body[:8], "little")
+                ends = np.concatenate([[0], np.cumsum(np.frombuffer(body, np.uint32, n, 8))]).astype(np.int32)
+                lists.append(pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(body[8 + 4 * n :])]))
+            known = pa.concat_arrays(lists).dictionary_encode()
+            words = [w.decode("latin-1") for w in known.dictionary.to_pylist()]
+            at = pack(known.indices.to_numpy().astype(np.int64), np.array([len(x) for x in lists], np.int64))
+            columns = [pa.array([p], pa.int32()), pa.array([names], pa.list_(pa.binary())), pa.array([at], pa.binary()), pa.array([words], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "names", "at", "words"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> Iterator[tuple[int, bytes, bytes]]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    lists = batch.column("ids").slice(i, 1).flatten()
+                    ids = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten().to_numpy(zero_copy_only=False)
+                    at, asked = unpack(batch.column("at")[i].as_py())
+                    ends = np.concatenate([[0], np.cumsum(asked)]).astype(np.int64)
+                    for k, name in enumerate(batch.column("names")[i].as_py()):
+                        yield batch.column("part")[i].as_py(), name, pack(*gathered(ids, at[ends[k] : ends[k + 1]].astype(np.int64)))
+
+        yield from batched(out())
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
-        number: dict[str, int] = {}
-        for part in pieces(batches, text_col, BLOCK):
-            afresh = len(number) > KNOWN
-            if afresh:
-                number.clear()
-            before = len(number)
-            places, ends = [], [0]
-            for text in part.column(text_col).to_pylist():
-                words = find(text) if text else []
-                places.extend([number.setdefault(w, len(number)) for w in words])
-                ends.append(len(places))
-            new = [w.encode().decode("latin-1") for w in list(number)[before:]]
-            packed = [np.array(places, np.int32).tobytes(), np.array(ends, np.int64).tobytes(), stream(part)]
-            yield pa.RecordBatch.from_arrays([pa.array([afresh]), pa.array([new], pa.list_(pa.string())), *(pa.array([p], pa.binary()) for p in packed)], ["afresh", "words", "places", "ends", "rows"])
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, starts = np.zeros(1 << 16, np.int32), [0]
-        for batch in batches:
-            for i in range(batch.num_rows):
-                if batch.column("afresh")[i].as_py():
-                    starts = [0]
-                lists = batch.column("ids").slice(i, 1).flatten()
-                new = lists.flatten().to_numpy(zero_copy_only=False)
-                while starts[-1] + len(new) > len(ids):
-                    ids = np.concatenate([ids, np.zeros(len(ids), np.int32)])
-                ids[starts[-1] : starts[-1] + len(new)] = new
-                starts.extend((starts[-1] + np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))).tolist())
-                at = np.array(starts, np.int64)
-                places = np.frombuffer(batch.column("places")[i].as_py(), np.int32)
-                ends = np.frombuffer(batch.column("ends")[i].as_py(), np.int64)
-                count = at[places + 1] - at[places]
-                stop = np.concatenate([[0], np.cumsum(count)])
-                flat = ids[np.arange(stop[-1]) - np.repeat(stop[:-1] - at[places], count)]
-                rows = pa.ipc.open_stream(batch.column("rows")[i].as_py()).read_next_batch()
-                lists = pa.ListArray.from_arrays(pa.array(stop[ends].astype(np.int32)), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), lists], [*kept, ids_col])
-
-    blocks = df.select(*kept).mapInArrow(split, "afresh boolean, words array<string>, places binary, ends binary, rows binary")
-    blocks = blocks.select("afresh", encoder(F.col("words")).alias("ids"), "places", "ends", "rows")
-    return blocks.mapInArrow(join, schema.add(ids_col, ArrayType(IntegerType())))
+        for batch in blocks(batches, "\ttext", block_bytes):
+            column = batch.column("\ttext")
+            places = pack(*asked_of(column.to_pylist(), find, parts, window, True))
+            sink = pa.BufferOutputStream()
+            some = batch.select(kept)
+            with pa.ipc.new_stream(sink, some.schema) as stream:
+                stream.write_batch(some)
+            yield as_rows([own_row(name_of(column), parts, len(places).to_bytes(8, "little") + places + packed(sink.getvalue().to_pybytes()))])
+
+    def finish(answered: list[bytes], payload: bytes) -> Iterator[pa.RecordBatch]:
+        cut = 8 + int.from_bytes(payload[:8], "little")
+        places, ends, long, windows, spans = (x.astype(np.int64) for x in unpack(payload[8:cut]))
+        some = pa.ipc.open_stream(unpacked(payload[cut:])).read_next_batch()
+        got = [unpack(x) for x in answered]
+        n, ids = (np.concatenate([x[i] for x in got]).astype(t) for i, t in ((0, np.int64), (1, np.int32)))
+        if len(long):
+            last = np.concatenate([[0], np.cumsum(windows)])
+            whole = []
+            for k, size in enumerate(long.tolist()):
+                count, flat = gathered((n, ids), spans[last[k] : last[k + 1]])
+                each = np.split(flat, np.cumsum(count)[:-1])
+                word = spliced(each, window_starts(size, window), sizes)
+                if word is None:
+                    token = {rank: t for t, rank in held.value.items()}
+                    cuts = zip(each, np.diff([*window_starts(size, window), size]).tolist(), strict=True)
+                    word = np.array(merged_word(b"".join(b"".join(map(token.__getitem__, x.tolist()))[:step] for x, step in cuts), held.value), np.int32)
+                whole.append(word)
+            n, ids = np.concatenate([n, [len(w) for w in whole]]), np.concatenate([ids, *whole])
+        for start in range(0, some.num_rows, 1024):
+            stop = min(start + 1024, some.num_rows)
+            count, flat = gathered((n, ids), places[ends[start] : ends[stop]])
+            tokens = np.concatenate([[0], np.cumsum(count)])
+            lists = pa.ListArray.from_arrays(pa.array(tokens[ends[start : stop + 1] - ends[start]].astype(np.int32)), pa.array(flat, pa.int32()))
+            rows = some.slice(start, stop - start)
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), lists], [*kept, ids_col])
+
+    words = by_part(rows.mapInArrow(ask, PARTS), parts).mapInArrow(distinct, "part int, names array<binary>, at binary, words array<string>")
+    answers = words.select("part", "names", "at", encoder(F.col("words")).alias("ids")).mapInArrow(answer, PARTS)
+    return returned(answers, rows.mapInArrow(own, PARTS), finish, schema.add(ids_col, ArrayType(IntegerType())))
 
 
 def decode(df: DataFrame, ranks_path: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK, PARTS, as_rows, batched, blocks, by_part, grouped, name_of, own_row, pack, packed, part_count, returned, unpack, unpacked
+from .blocks import BLOCK, PARTS, as_rows, batched, blocks, by_part, grouped, name_of, own_row, pack, packed, part_count, returned, steady, unpack, unpacked
 from .common import texts, written
 from .shingles import mixed, word_hashes
 
@@ -89,6 +89,7 @@ def cross_entropy_difference(
         docs = docs.union(texts(uncounted, id_col, text_col, F.lit(NEITHER).alias("side")))
     docs, held = marked(docs, target.select(F.col(id_col).cast("long").alias("doc_id")))
     ids = df.sparkSession.sparkContext.broadcast(held)  # of checked size
+    docs = steady(docs)
     parts = part_count(docs)
     edges = (np.arange(1, parts, dtype=object) * (1 << 64) // parts).astype(np.uint64)
 

@@ -102,7 +102,7 @@ RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_t
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = decode(encode(docs, RANKS, PATTERN), RANKS)
+    done = decode(encode(docs, RANKS, PATTERN, keep=["doc_id"]), RANKS)
     return done.select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),

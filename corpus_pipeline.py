@@ -50,8 +50,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, token_ids, and whether decoding the ids gives the text's bytes again."""
-    done = decode(encode(docs.select("doc_id", "lang", "source", "text"), RANKS, PATTERN), RANKS)
-    same = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    digest = F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)
+    done = decode(encode(docs.select("doc_id", "lang", "source", "text", digest.alias("digest")), RANKS, PATTERN, keep=["doc_id", "lang", "source", "digest"]), RANKS)
+    same = F.sha2("decoded", 256) == F.col("digest")
     return done.select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", same.alias("round_trip"))
 
 

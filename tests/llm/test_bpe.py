@@ -1,8 +1,11 @@
+import random
 from collections import Counter
 
 import public_tokenizers
 import pytest
 import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from cellspark.llm import bpe
 
@@ -21,13 +24,37 @@ def test_ids_and_round_trip(docs, plain, own):
     assert found == Counter((d, tuple(own.encode_ordinary(t or "")), (t or "").encode()) for d, t in plain)
 
 
-def test_blocks_and_forgetting(spark, own, monkeypatch):
-    monkeypatch.setattr(bpe, "BLOCK", 40)
-    texts = [f"word{i % 7} straße {i} naïve-{i}ly  \n\tend" for i in range(60)]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+def test_many_blocks_keep_and_repeats(spark, own):
+    texts = [f"word{i % 7} straße {i} naïve-{i}ly  \n\tend" for i in range(60)] + ["same"] * 20
+    df = spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = bpe.encode(df, PATH, PATTERN, keep=["doc_id"], block_bytes=40)
+    assert got.columns == ["doc_id", "token_ids"]
+    assert Counter((r["doc_id"], tuple(r["token_ids"])) for r in got.collect()) == Counter((i // 2, tuple(own.encode_ordinary(t))) for i, t in enumerate(texts))
+
+
+def test_long_words(spark, own):
+    rng = random.Random(3)
+    letters = "etaoinshrdlu" * 3 + "bcfgjkmpqvwxyzéß"
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for n in (511, 512, 513, 700, 1025, 20_000)]
+    texts += ["a" * 3000, "ab" * 1000 + "c", "x" + "ha" * 900, "=" * 5000, " " * 3000 + "end", "q" * 513 + " and " + "é" * 999]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["token_ids"] for r in bpe.encode(df, PATH, PATTERN).collect()}
     assert got == {i: own.encode_ordinary(t) for i, t in enumerate(texts)}
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="abehnt ér", min_size=1, max_size=60).filter(str.strip))
+def test_queue_of_pairs(text):
+    ranks = bpe.load_ranks(PATH)
+    word = text.encode()
+    assert bpe.merged_word(word, ranks) == [ranks[t] for t in bpe.merged(word, ranks)]
+
+
+def test_too_many_ids(tmp_path):
+    (tmp_path / "ranks").write_text("YQ== 0\nYg== 60000\n")
+    with pytest.raises(ValueError, match="surrogates"):
+        bpe.load_ranks(str(tmp_path / "ranks"))
+
+
 def test_empty(no_docs):
     assert bpe.decode(bpe.encode(no_docs, PATH, PATTERN), PATH).count() == 0
