@@ -150,7 +150,7 @@ def long_lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 
 def set_rows(docs: DataFrame, width: int, percent: int, ranks: np.ndarray, bounds: tuple[int, int]) -> DataFrame:
-    """Per row: doc_id, n (size of its set), node (a 128-bit digest of the set), sigs, odd (parities of its hashes)."""
+    """Per row: doc_id, text_hash, n (size of its set), node (a 128-bit digest of the set), sigs, odd (parities of its hashes)."""
     bits = len(ranks).bit_length() - 1
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,10 +160,10 @@ def set_rows(docs: DataFrame, width: int, percent: int, ranks: np.ndarray, bound
             sets = [(tokens[s:e], rank[s:e]) for s, e in zip(first[:-1], first[1:], strict=True)]
             sigs = long_lists([signatures(*x, bounds, percent) if len(x[0]) else x[0] for x in sets])
             nodes, odd = [digest(x) for x, _ in sets], [parities(x) for x, _ in sets]
-            columns = [part.column("doc_id"), pa.array(np.diff(first)), pa.array(nodes, pa.binary()), sigs, pa.array(odd, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "node", "sigs", "odd"])
+            columns = [part.column("doc_id"), part.column("text_hash"), pa.array(np.diff(first)), pa.array(nodes, pa.binary()), sigs, pa.array(odd, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n", "node", "sigs", "odd"])
 
-    return docs.mapInArrow(make, "doc_id long, n long, node binary, sigs array<long>, odd array<long>")
+    return docs.mapInArrow(make, "doc_id long, text_hash long, n long, node binary, sigs array<long>, odd array<long>")
 
 
 def id_bit(ids: pa.Array) -> np.ndarray:
@@ -281,7 +281,8 @@ def ngram_jaccard_join(
     percent: int = 80,
     cell_bits: int | None = None,
 ) -> DataFrame:
-    """Returns doc_id, n_shingles and component_id, the least id that links reach; exact.
+    """Returns doc_id, n_shingles and component_id, the least id that links reach; exact. Besides, component is a number that
+    each component has alone, also where ids repeat (null for an empty set), and text_hash the xxhash64 of the text.
 
     Words are `[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased; a set holds the distinct `width`-word shingles,
     of a shorter text the whole sequence. Two rows link when 100 * intersection >= percent * union. Null and empty texts
@@ -298,7 +299,7 @@ def ngram_jaccard_join(
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         cell_bits = min(24, max(16, (size // 32).bit_length()))
     ranks, bounds = token_ranks(docs, width, cell_bits)
-    rows = written(set_rows(docs, width, percent, ranks, bounds), "sets")
+    rows = written(set_rows(docs.withColumn("text_hash", F.xxhash64("text")), width, percent, ranks, bounds), "sets")
     nodes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(F.any_value(c).alias(c) for c in ("n", "odd", "sigs")))
     nodes = written(nodes.withColumn("k", F.monotonically_increasing_id()), "nodes")  # from here on, k names a node
     marks = nodes.select("k", F.explode("sigs").alias("sig"))
@@ -332,6 +333,7 @@ def ngram_jaccard_join(
     comps = connected(links).withColumnRenamed("node", "k")
     comps = nodes.select("k", "node", "doc_id").join(comps, "k", "left").select("node", "doc_id", F.coalesce("comp", "k").alias("comp"))
     least = written(comps.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "least")
-    named = written(comps.join(least.hint("merge"), "comp").select("node", "component_id"), "named")
-    every = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(named.hint("merge"), "node", "left")
-    return every.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = written(comps.join(least.hint("merge"), "comp").select("node", "component_id", F.col("comp").alias("component")), "named")
+    every = rows.select("doc_id", "text_hash", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(named.hint("merge"), "node", "left")
+    component_id = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return every.select("doc_id", F.col("n").alias("n_shingles"), component_id.alias("component_id"), "component", "text_hash")

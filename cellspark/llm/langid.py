@@ -87,8 +87,8 @@ def fit_languages(
     centroids: int = 4,
     margin: float = 0.5,
 ) -> LanguageModel:
-    """Learn from at most per_language texts of each language, those whose hashed id is least; their vectors
-    (32 kB each) go to the driver. Texts without a language, or without text, don't count. A language rejects what is
+    """Learn from at most per_language texts of each language, those whose hashed id is least; their trigram
+    counts (some kB each) go to the driver. Texts without a language, or without text, don't count. A language rejects what is
     less similar to its nearest centroid, for its length, than `margin` times its least similar training text."""
     rows = texts(labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()), id_col, text_col, F.col(lang_col).alias("lang"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -106,22 +106,28 @@ def fit_languages(
         for batch in batches:
             for part in (batch.slice(i, ROWS) for i in range(0, batch.num_rows, ROWS)):
                 counted = trigram_counts(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array([v.tobytes() for v in counted], pa.binary())], ["lang", "v"])
-
-    got = sorted((r["lang"], bytes(r["v"])) for r in few.mapInArrow(vectors, "lang string, v binary").collect())
-    tf = np.stack([np.frombuffer(v, np.float32) for _, v in got])
-    of = np.array([lang for lang, _ in got])
-    keep = tf.sum(1) > 0
-    tf, of = tf[keep], of[keep]
-    idf = (np.log((1 + len(tf)) / (1 + (tf > 0).sum(0))) + 0.1).astype(np.float32)
-    vec = unit(np.sqrt(tf) * idf)
+                cells = [np.flatnonzero(v) for v in counted]
+                columns = [part.column("lang"), *(pa.array([x.tobytes() for x in out], pa.binary()) for out in ([c.astype(np.uint16) for c in cells], [v[c] for v, c in zip(counted, cells, strict=True)]))]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "cells", "n"])
+
+    got = sorted((r["lang"], bytes(r["cells"]), bytes(r["n"])) for r in few.mapInArrow(vectors, "lang string, cells binary, n binary").collect() if r["cells"])
+    seen = np.zeros(DIMS)
+    for _, cells, _ in got:
+        seen[np.frombuffer(cells, np.uint16)] += 1
+    idf = (np.log((1 + len(got)) / (1 + seen)) + 0.1).astype(np.float32)
     languages = tuple(sorted(counts))
     centres, owner, least = [np.zeros((0, DIMS), np.float32)], [np.zeros(0, int)], [np.zeros(0)]
-    for i, lang in enumerate(languages):
-        if (own := of == lang).any():
-            centres.append(cluster(vec[own], centroids).astype(np.float32))
-            owner.append(np.full(len(centres[-1]), i))
-            least.append(np.full(len(centres[-1]), margin * for_length((vec[own] @ centres[-1].T).max(1), tf[own]).min()))
+    for i, lang in enumerate(languages):  # dense for one language at a time
+        own = [x for x in got if x[0] == lang]
+        if not own:
+            continue
+        tf = np.zeros((len(own), DIMS), np.float32)
+        for row, (_, cells, n) in zip(tf, own, strict=True):
+            row[np.frombuffer(cells, np.uint16)] = np.frombuffer(n, np.float32)
+        vec = unit(np.sqrt(tf) * idf)
+        centres.append(cluster(vec, centroids).astype(np.float32))
+        owner.append(np.full(len(centres[-1]), i))
+        least.append(np.full(len(centres[-1]), margin * for_length((vec @ centres[-1].T).max(1), tf).min()))
     return LanguageModel(languages, np.concatenate(centres), np.concatenate(owner), np.concatenate(least), idf)
 
 

@@ -91,7 +91,7 @@ def mix_sources(
     most_sources: int | None = None,
     bucket_rows: int = 1024,
 ) -> DataFrame:
-    """Interleave the blocks of all sources to target weights; returns doc_id, source, block, slot, place.
+    """Interleave the blocks of all sources to target weights; returns doc_id, source, block, slot, place and text_hash (the text's xxhash64).
 
     weights gives each source's target, 1 where it says nothing; without it, a source's number of rows to the power of
     temperature. A source's rows are ordered by their hashed id and cut into blocks of block_rows; place is the row's
@@ -126,7 +126,7 @@ def mix_sources(
     inside = Window.partitionBy("k", "bucket").orderBy("turn", "doc_id", "tie")
     ranked = rows.withColumn("at", F.row_number().over(inside) - 1).join(sums, ["k", "bucket"])
     rank = F.col("start") + F.col("at")
-    ranked = ranked.select("doc_id", "source", "k", F.floor(rank / block_rows).alias("block"), (rank % block_rows).alias("in_block"))
+    ranked = ranked.select("doc_id", "source", "tie", "k", F.floor(rank / block_rows).alias("block"), (rank % block_rows).alias("in_block"))
 
     turns, ends = schedule(blocks, targets)
     # A source's blocks take its slots in order. All blocks but a source's last, which ends a phase, are full, so a slot's
@@ -141,7 +141,7 @@ def mix_sources(
     when = written(spark.createDataFrame(when), "schedule")
     # By sorting at all sizes: a key has at most block_rows rows.
     placed = ranked.join(when.hint("merge"), ["k", "block"])
-    return placed.select("doc_id", "source", "block", "slot", (F.col("first") + F.col("in_block")).cast("long").alias("place"))
+    return placed.select("doc_id", "source", "block", "slot", (F.col("first") + F.col("in_block")).cast("long").alias("place"), F.col("tie").alias("text_hash"))
 
 
 def deviation(parts: list[int], turn: list[int]) -> Fraction:

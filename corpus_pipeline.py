@@ -21,35 +21,51 @@ from cellspark.llm.toxicity import fit_toxicity, keep_civil
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+#: Stands for a null id in keys; names of columns that no table has.
+NO_ID, ID, HASH, COPY, PLACE = -(1 << 63), "\tid", "\thash", "\tcopy", "\tplace"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with keys of a row: its id (null: the least long) and its text's hash. Rows with one id and other texts differ."""
+    return docs.withColumn(ID, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn(HASH, F.xxhash64(F.coalesce("text", F.lit(""))))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter, and those too far, for their length, from every language's centroids."""
+    """Drops documents without a letter (so null and empty texts), and those too far, for their length, from every
+    language's centroids. An empty table stays empty; where no document names its language, all stay."""
     return keep_identified(docs, fit_languages(docs))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that score 0.5 or more; the model learns from the labels of the documents at hand."""
+    """Drops documents that score 0.5 or more; the model learns from the labels of the documents at hand. Null texts score
+    as empty ones. Without labels, or labels of one kind only, nothing is told apart and the score of that kind holds."""
     return keep_civil(docs, fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the least id of each component of near copies (five words, Jaccard 0.8 or more). Of rows
-    with one id one stays."""
-    groups = ngram_jaccard_join(docs, width=5, percent=80)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["kept"]), "left_semi").dropDuplicates(["doc_id"])
+    """Keeps one document, that of the least id (null last), of each component of near copies (five words, Jaccard 0.8 or
+    more). Texts without words are of no component and stay; rows with equal id and text become one."""
+    rows = ngram_jaccard_join(docs, width=5, percent=80)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    kept = rows.where("component IS NOT NULL").groupBy("component").agg(first).select("first.doc_id", "first.text_hash")
+    kept = kept.union(rows.where("component IS NULL").select("doc_id", "text_hash").distinct())
+    kept = written(kept.select(F.coalesce("doc_id", F.lit(NO_ID)).alias(ID), F.col("text_hash").alias(HASH)), "kept")
+    return keyed(docs).join(kept.hint("merge"), [ID, HASH], "left_semi").dropDuplicates([ID, HASH]).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the mixture, sources weighted by the root of their size."""
-    places = mix_sources(docs).select(F.col("doc_id").alias("id"), "place")
-    places = places.withColumn("copy", F.row_number().over(Window.partitionBy("id").orderBy("place")))
-    numbered = docs.withColumn("copy_", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
-    both = numbered.join(places, numbered["doc_id"].eqNullSafe(places["id"]) & (F.col("copy_") == F.col("copy")))
-    return both.repartitionByRange("place").sortWithinPartitions("place").select(*docs.columns)
+    """All documents in the order of the mixture, sources weighted by the root of their size. A null source is one of its
+    own; rows that repeat each keep their place; an empty table stays empty."""
+    number = F.row_number().over(Window.partitionBy(ID, HASH).orderBy(PLACE))
+    places = mix_sources(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias(ID), F.col("text_hash").alias(HASH), F.col("place").alias(PLACE))
+    places = places.withColumn(COPY, number)
+    numbered = keyed(docs).withColumn(COPY, F.row_number().over(Window.partitionBy(ID, HASH).orderBy(F.lit(0))))
+    both = numbered.join(places.hint("merge"), [ID, HASH, COPY])
+    return both.repartitionByRange(PLACE).sortWithinPartitions(PLACE).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, token_ids, and whether decoding the ids gives the text's bytes again."""
+    """doc_id, lang, source, n_tokens, token_ids, and whether decoding the ids gives the text's bytes again (null: none)."""
     digest = F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)
     done = decode(encode(docs.select("doc_id", "lang", "source", "text", digest.alias("digest")), RANKS, PATTERN, keep=["doc_id", "lang", "source", "digest"]), RANKS)
     same = F.sha2("decoded", 256) == F.col("digest")
