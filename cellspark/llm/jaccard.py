@@ -7,11 +7,12 @@ k tokens of some group of class k; class-k tokens fall into small groups, class
 linked sets share a single rare token, or a pair or triple of frequent tokens of one group, within both prefixes. Those
 are the signatures.
 
-Few nodes of one signature are compared pair by pair. Many, such as the near copies of one text, form a cell: each set x
-is replaced by its difference E(x) from what most of a few members of the cell have. |x - y| + |y - x| is the same for the
-sets and for their differences, whatever the centre. A hub, the member nearest the centre, links to all that the triangle
-inequality lets it; every other link of the cell has a token in both differences, which are short, and whose first common
-token stands early in both. So work grows with the edits that copies share and not with the number of pairs of copies.
+Of a signature's nodes, those stay for which sizes and parities of hashes allow a link with another one. They form a
+cell: each set x is replaced by its difference E(x) from what most of a few members of the cell have. |x - y| + |y - x| is
+the same for the sets and for their differences, whatever the centre. A hub, the member nearest the centre, links to all
+that the triangle inequality lets it; every other link of the cell has a token in both differences, which are short, and
+whose first common token stands early in both. So rows grow with the edits that copies share and not with the number of
+pairs of copies.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import pack, unpack
 from .common import pieces, texts, written
 from .components import connected
 from .shingles import mixed, shingle_hashes
@@ -33,8 +35,9 @@ from .shingles import mixed, shingle_hashes
 FILTER_BITS = 23
 #: Cells of the parities that bound from below how many tokens two sets don't share.
 PARITIES = 512
-#: Signatures of more nodes than this make a cell; members from which a cell's centre is drawn.
-CROWD, DRAWN = 3, 5
+#: Nodes of a signature that are held against each other by parities (of more, all stay); members from which a cell's
+#: centre is drawn.
+CROWD, DRAWN = 512, 15
 #: Sets with a token's cell in more sets than this, beyond what chance gives, have a frequent, a very frequent token.
 FREQUENT, VERY_FREQUENT = 16, 256
 #: Stands for a null id where ids are keys.
@@ -99,8 +102,8 @@ def signatures(tokens: np.ndarray, ranks: np.ndarray, bounds: tuple[int, int], p
 
 def token_ranks(docs: DataFrame, width: int, bits: int) -> tuple[np.ndarray, tuple[int, int]]:
     """For each of the 2**bits hash cells, the rank (8 * log2 of the count, rounded down) of the sets that hold a token of
-    the cell, over all rows; and the least ranks of the frequent and the very frequent. Each task sends 2**bits bytes,
-    which tasks by slice of cells add up as they stream in; 2**bits bytes go to the driver and the workers."""
+    the cell, over all rows; and the least ranks of the frequent and the very frequent. Each task sends 2**bits counts,
+    packed, which tasks by slice of cells add up as they stream in; 2**bits bytes go to the driver and the workers."""
     slices = 256
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,15 +113,13 @@ def token_ranks(docs: DataFrame, width: int, bits: int) -> tuple[np.ndarray, tup
             total += np.bincount(cell, minlength=1 << bits).astype(np.uint32)
         if total.any():
             for i, some in enumerate(np.split(total, slices)):
-                kind = np.uint8 if some.max() < 256 else np.uint32
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([some.astype(kind).tobytes()])], ["slice", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([pack(some)])], ["slice", "n"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, n in zip(batch.column("slice").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                some = np.frombuffer(n, np.uint8 if len(n) == (1 << bits) // slices else np.uint32)
-                total[i] = total.get(i, 0) + some.astype(np.uint64)
+                total[i] = total.get(i, 0) + unpack(n)[0]
         for i, n in total.items():
             rank = np.floor(8 * np.log2(1.0 + n)).astype(np.uint8).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([rank]), pa.array([int(n.sum())])], ["slice", "n", "total"])
@@ -133,10 +134,15 @@ def token_ranks(docs: DataFrame, width: int, bits: int) -> tuple[np.ndarray, tup
     return ranks.reshape(-1), (int(8 * np.log2(chance + FREQUENT)), int(8 * np.log2(chance + VERY_FREQUENT)))
 
 
-def parities(tokens: np.ndarray) -> np.ndarray:
-    """For each of PARITIES hash cells, whether an odd number of tokens falls into it, as 64-bit words."""
-    odd = np.bincount(((tokens >> np.uint64(8)) & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1
-    return np.packbits(odd.astype(bool)).view(np.int64)
+def parities(tokens: np.ndarray, cells: int = PARITIES) -> bytes:
+    """For each of some hash cells, a power of two, whether an odd number of tokens falls into it, as bits."""
+    odd = np.bincount(((tokens >> np.uint64(8)) & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def wide(n: int) -> int:
+    """So many cells that sets of n tokens that have little in common differ in more of them than linked ones may."""
+    return max(PARITIES, 1 << max(0, n.bit_length() - 1))
 
 
 def digest(tokens: np.ndarray) -> bytes:
@@ -150,7 +156,7 @@ def long_lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 
 def set_rows(docs: DataFrame, width: int, percent: int, ranks: np.ndarray, bounds: tuple[int, int]) -> DataFrame:
-    """Per row: doc_id, text_hash, n (size of its set), node (a 128-bit digest of the set), sigs, odd (parities of its hashes)."""
+    """Per row: doc_id, text_hash, n (size of its set), node (a 128-bit digest of the set), sigs, odd and wide (parities of its hashes)."""
     bits = len(ranks).bit_length() - 1
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,11 +165,11 @@ def set_rows(docs: DataFrame, width: int, percent: int, ranks: np.ndarray, bound
             rank = ranks[(tokens >> np.uint64(64 - bits)).astype(np.int64)]
             sets = [(tokens[s:e], rank[s:e]) for s, e in zip(first[:-1], first[1:], strict=True)]
             sigs = long_lists([signatures(*x, bounds, percent) if len(x[0]) else x[0] for x in sets])
-            nodes, odd = [digest(x) for x, _ in sets], [parities(x) for x, _ in sets]
-            columns = [part.column("doc_id"), part.column("text_hash"), pa.array(np.diff(first)), pa.array(nodes, pa.binary()), sigs, pa.array(odd, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n", "node", "sigs", "odd"])
+            nodes, odd, more = [digest(x) for x, _ in sets], [parities(x) for x, _ in sets], [parities(x, wide(len(x))) for x, _ in sets]
+            columns = [part.column("doc_id"), part.column("text_hash"), pa.array(np.diff(first)), pa.array(nodes, pa.binary()), sigs, pa.array(odd, pa.binary()), pa.array(more, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n", "node", "sigs", "odd", "wide"])
 
-    return docs.mapInArrow(make, "doc_id long, text_hash long, n long, node binary, sigs array<long>, odd array<long>")
+    return docs.mapInArrow(make, "doc_id long, text_hash long, n long, node binary, sigs array<long>, odd binary, wide binary")
 
 
 def id_bit(ids: pa.Array) -> np.ndarray:
@@ -206,11 +212,75 @@ def far_apart(unlike: Column, n: Column, m: Column, percent: int) -> Column:
     return unlike * (100 + percent) > (n + m) * (100 - percent)
 
 
-def near_enough(a: str, b: str, percent: int) -> Column:
-    """Whether sizes and parities allow a link: a cell of unequal parity holds a token that one set lacks."""
-    unlike = sum((F.bit_count(F.get(f"odd{a}", F.lit(i)).bitwiseXOR(F.get(f"odd{b}", F.lit(i)))) for i in range(PARITIES // 64)), F.lit(0))
-    n, m = F.col(f"n{a}"), F.col(f"n{b}")
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & ~far_apart(unlike, n, m, percent)
+def folded(odd: list[bytes], size: int) -> np.ndarray:
+    """Parities over `size` bytes of cells, from those over as many or more."""
+    out = []
+    for x in odd:
+        v = np.frombuffer(x, np.uint8)
+        while len(v) > size:
+            v = v[: len(v) // 2] ^ v[len(v) // 2 :]
+        out.append(v)
+    return np.stack(out).view(np.uint64)
+
+
+def hopeful(rows: DataFrame, key: str, percent: int) -> DataFrame:
+    """Of (key, k, n, odd, size), the (key, k) whose sizes and parities allow a link with another node of the key: a cell of
+    unequal parity holds a token that one set lacks. A key of more than CROWD nodes keeps all, and a task holds no more
+    rows of one than that."""
+
+    def near(n: np.ndarray, odd: np.ndarray, m: np.ndarray, other: np.ndarray) -> np.ndarray:
+        unlike = np.bitwise_count(odd ^ other).sum(-1, dtype=np.int64)
+        return (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent) & (unlike * (100 + percent) <= (n + m) * (100 - percent))
+
+    def any_near(n: np.ndarray, odd: list[bytes]) -> np.ndarray:
+        keep, sizes = np.zeros(len(n), bool), np.array([len(x) for x in odd])
+        for size in np.unique(sizes):  # pairs of which the lesser has parities of that size
+            at = np.flatnonzero(sizes >= size)
+            cells = folded([odd[i] for i in at], size)
+            own = np.flatnonzero(sizes[at] == size)
+            for i in own.tolist():
+                hits = near(n[at[i]], cells[i], n[at], cells)
+                hits[i] = False
+                keep[at[hits]] = True
+                keep[at[i]] |= hits.any()
+        return keep
+
+    def chosen(of: np.ndarray, n: np.ndarray, odd: list[bytes]) -> np.ndarray:
+        keep = np.zeros(len(of), bool)
+        starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        size = np.diff(np.append(starts, len(of)))
+        alike = np.array([len(x) for x in odd]) == PARITIES // 8
+        two = starts[size == 2]
+        two = two[alike[two] & alike[two + 1]]
+        if len(two):
+            a, b = (np.frombuffer(b"".join([odd[i] for i in at]), np.uint64).reshape(len(at), -1) for at in (two, two + 1))
+            keep[two] = keep[two + 1] = near(n[two], a, n[two + 1], b)
+        done = np.zeros(len(of), bool)
+        done[two] = True
+        for s, g in zip(starts.tolist(), size.tolist(), strict=True):
+            if g > 1 and not done[s]:
+                keep[s : s + g] = any_near(n[s : s + g], odd[s : s + g])
+        return keep
+
+    def kept(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = chosen(batch.column(key).to_numpy(), batch.column("n").to_numpy(), batch.column("odd").to_pylist())
+        return batch.select([key, "k"]).filter(pa.array(keep, pa.bool_()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rest = batch if rest is None else pa.concat_batches([rest, batch])
+            of = rest.column(key).to_numpy()
+            whole = int(np.searchsorted(of, of[-1]))  # the last key may go on
+            yield kept(rest.slice(0, whole))
+            rest = rest.slice(whole)
+        if rest is not None:
+            yield kept(rest)
+
+    some = rows.where(F.col("size") <= CROWD).select(key, "k", "n", "odd").repartition(key).sortWithinPartitions(key)
+    return some.mapInArrow(run, f"{key} long, k long").union(rows.where(F.col("size") > CROWD).select(key, "k"))
 
 
 def centres(samples: DataFrame) -> DataFrame:
@@ -279,7 +349,7 @@ def ngram_jaccard_join(
     text_col: str = "text",
     width: int = 5,
     percent: int = 80,
-    cell_bits: int | None = None,
+    cell_bits: int = 22,
 ) -> DataFrame:
     """Returns doc_id, n_shingles and component_id, the least id that links reach; exact. Besides, component is a number that
     each component has alone, also where ids repeat (null for an empty set), and text_hash the xxhash64 of the text.
@@ -290,45 +360,31 @@ def ngram_jaccard_join(
     id and different texts are different documents. A null id reaches others and is reached, but is never the least one;
     where no other is reached, component_id is null. An empty table gives no rows; other columns are not carried.
 
-    Equal sets are one node, so copies cost one row each. Pairs of nodes of a signature that CROWD nodes have at most are
-    verified on the whole sets; the nodes of any other signature form a cell (see above), named by that of its nodes with
-    the most such signatures, so that the signatures of a group of copies name one cell. Nothing is capped.
+    Equal sets are one node, so copies cost one row each. The nodes of a signature form a cell (see above), named by that of
+    them with the most signatures, so that the signatures of a group of copies name one cell. Nothing is capped.
     """
     docs = texts(df, id_col, text_col)
-    if cell_bits is None:  # about eight bytes of text a cell and token
-        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        cell_bits = min(24, max(16, (size // 32).bit_length()))
     ranks, bounds = token_ranks(docs, width, cell_bits)
     rows = written(set_rows(docs.withColumn("text_hash", F.xxhash64("text")), width, percent, ranks, bounds), "sets")
-    nodes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(F.any_value(c).alias(c) for c in ("n", "odd", "sigs")))
+    nodes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(F.any_value(c).alias(c) for c in ("n", "odd", "wide", "sigs")))
     nodes = written(nodes.withColumn("k", F.monotonically_increasing_id()), "nodes")  # from here on, k names a node
     marks = nodes.select("k", F.explode("sigs").alias("sig"))
     sizes = marks.groupBy("sig").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    marks = written(marks.join(sizes.hint("merge"), "sig").select("k", "sig", "size"), "marks")
-    crowds = marks.where(F.col("size") > CROWD).select("sig", "k")
+    marks = marks.join(sizes.hint("merge"), "sig").select("k", "sig", "size").join(nodes.select("k", "n", "odd").hint("merge"), "k")
+    crowds = written(hopeful(marks, "sig", percent), "marks")
     weights = crowds.groupBy("k").agg(F.count(F.lit(1)).alias("weight"))
     crowds = written(crowds.join(weights, "k"), "crowds")
     leaders = written(crowds.groupBy("sig").agg(F.max(F.struct("weight", "k")).getField("k").alias("cell")), "leaders")
-    cells = written(crowds.join(leaders.hint("merge"), "sig").groupBy("cell", "k").agg(F.max("weight").alias("weight")), "cells")
-
-    # Pairs of signatures with few nodes, but for those of one cell.
-    own = nodes.select("k", "n", "odd").join(cells.groupBy("k").agg(F.min("cell").alias("cell")), "k", "left")
-    of = marks.where(F.col("size") <= CROWD).select("k", "sig").join(own, "k").select("k", "sig", "n", "odd", "cell")
-    a, b = of.toDF("a", "sig", "na", "odda", "ca"), of.toDF("b", "sig", "nb", "oddb", "cb")
-    pairs = a.join(b, "sig").where((F.col("a") < F.col("b")) & near_enough("a", "b", percent) & ~F.coalesce(F.col("ca") == F.col("cb"), F.lit(False)))
-    pairs = written(pairs.select("a", "b").distinct(), "pairs")
-
-    ends = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).union(cells.select("k")).distinct()
-    sets = written(sets_of(docs, nodes.select("doc_id", "node", "k").join(ends, "k"), width), "tokens")
-    unlike = F.col("na") + F.col("nb") - 2 * F.size(F.array_intersect("ta", "tb"))
-    both = pairs.join(sets.toDF("a", "na", "ta"), "a").join(sets.toDF("b", "nb", "tb"), "b")
-    links = both.where(~far_apart(unlike, F.col("na"), F.col("nb"), percent)).select("a", "b")
-
-    place = F.row_number().over(Window.partitionBy("cell").orderBy(F.desc("weight"), "k"))
+    cells = written(crowds.join(leaders.hint("merge"), "sig").select("cell", "k").distinct(), "named-cells")
+    members = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("size"))
+    members = cells.join(members.hint("merge"), "cell").join(nodes.select("k", "n", F.col("wide").alias("odd")).hint("merge"), "k")
+    cells = written(hopeful(members, "cell", percent), "cells")
+    sets = written(sets_of(docs, nodes.select("doc_id", "node", "k").join(cells.select("k").distinct(), "k"), width), "tokens")
+    place = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("k"), "k"))  # any members, lest they share an odd token
     drawn = cells.withColumn("place", place).where(F.col("place") <= DRAWN).select("cell", "k")
     centre = written(centres(drawn.join(sets, "k").select("cell", "tokens")), "centres")
     members = cells.select("cell", "k").join(sets, "k").join(centre.hint("merge"), "cell")
-    links = written(links.union(cell_links(members, ranks, percent)), "links")
+    links = written(cell_links(members, ranks, percent), "links")
 
     comps = connected(links).withColumnRenamed("node", "k")
     comps = nodes.select("k", "node", "doc_id").join(comps, "k", "left").select("node", "doc_id", F.coalesce("comp", "k").alias("comp"))

@@ -10,6 +10,8 @@ from cellspark.llm import jaccard
 from cellspark.llm.components import connected
 from cellspark.llm.shingles import shingle_hashes
 
+COLUMNS = ["doc_id", "n_shingles", "component_id"]
+
 
 def word_sets(rows, width):
     fold = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -36,7 +38,7 @@ def brute_force(rows, width, percent):
 
 @pytest.mark.parametrize(("width", "percent"), [(4, 85), (5, 80), (1, 50)])
 def test_matches_brute_force(docs, plain, width, percent):
-    got = jaccard.ngram_jaccard_join(docs, width=width, percent=percent, cell_bits=12).collect()
+    got = jaccard.ngram_jaccard_join(docs, width=width, percent=percent, cell_bits=12).select(*COLUMNS).collect()
     assert sorted(map(tuple, got)) == brute_force(plain, width, percent)
 
 
@@ -92,7 +94,7 @@ def test_near_copies_and_shared_ids(crowded, width, percent, monkeypatch):
     for (at, _, comp), (i, _) in zip(expected, rows, strict=True):
         least[comp] = min((x for x in (least.get(comp), i) if x is not None), default=None)
     wanted = sorted(((rows[at][0], n, least[comp]) for at, n, comp in expected), key=str)
-    got = jaccard.ngram_jaccard_join(frame, width=width, percent=percent, cell_bits=16).collect()
+    got = jaccard.ngram_jaccard_join(frame, width=width, percent=percent, cell_bits=16).select(*COLUMNS).collect()
     assert sorted(map(tuple, got), key=str) == wanted
 
 
