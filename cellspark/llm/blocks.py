@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import utf8_buffer, written
 
 #: Bytes of text in a block, and the square of the bytes of text in a part: parts grow with the root of the input.
-BLOCK, PART = 16_000_000, 1 << 16
+BLOCK, PART = 8_000_000, 1 << 16
 #: In place of a part, a block's own rows; they sort after its answers.
 OWN = 1 << 30
 PARTS = "part int, block binary, payload binary"

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import BLOCK, PARTS, as_rows, batched, blocks, by_part, grouped, name_of, own_row, pack, packed, part_count, returned, steady, unpack, unpacked
-from .common import texts, written
+from .common import pieces, texts, written
 from .shingles import mixed, word_hashes
 
 #: Hashes that stand for a text's start and its end, which are no words.
@@ -21,11 +21,18 @@ MOST_IDS = 1 << 22
 BOTH, BACKGROUND, NEITHER = 2, 1, 0
 
 
+def texts_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """word_hashes of few MB at a time, as it needs many bytes for each of the text."""
+    some = [word_hashes(part.column(0)) for part in pieces([pa.RecordBatch.from_arrays([column], ["text"])], most=1_500_000)]
+    first = np.concatenate([[0], *(f[1:] - f[:-1] for _, f in some)]) if some else np.zeros(1, np.int64)
+    return np.concatenate([w for w, _ in some]) if some else np.zeros(0, np.uint64), np.cumsum(first)
+
+
 def bigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of all texts, one after another: the distinct keys of words and of word pairs, ascending; where among them each
     token's pair, its own word and the word before it are; and the first token of each text. A key is a 64-bit hash, odd
     for words. A text's last token is END; the word before its first one is START, whose count is that of END."""
-    words, first = word_hashes(column)
+    words, first = texts_hashes(column)
     n = len(first) - 1
     ends = first[1:] + np.arange(n)  # each text gets one token more
     then = np.insert(words, first[1:], END)
