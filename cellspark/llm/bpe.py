@@ -1,17 +1,14 @@
 """Byte-level BPE: Spark's higher-order functions fold ranked merges over the bytes of distinct words.
 
-Blocks of texts ask for their distinct words; each word of the whole input is folded once, and the blocks that asked for it
-get its ids back. The tokenizer's ranks become literals of the plan. A word is a string with one character per byte (Latin-1). Within the
-fold, a word is one character per token, the token's id shifted by 256, next to one character per adjacent pair, the rank
-of what the pair merges into. A step merges the first pair of least rank and looks up the two new pairs.
+The tokenizer's ranks become literals of the plan. Within the fold, a word is an array of its adjacent pairs of tokens, one
+long each: the rank of what the pair merges into, then both token ids. A step takes the first pair of least rank, puts
+the merged token in its place and looks up the two new pairs. Around a word stand edges that merge with nothing.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
-import json
-import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -22,38 +19,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from .blocks import PARTS, as_rows, batched, blocks, by_part, grouped, name_of, own_row, pack, packed, part_count, returned, steady, unpack, unpacked
+from .common import pieces
 
-#: Token id 0 is this character; ids stay below the surrogates.
-SHIFT = 256
-#: Private characters: around a word, and the rank of a pair without one.
-EDGE, NO_RANK = "\uf000", "\ue000"
-CELLS = 1 << 14
-#: Bytes of text in a block.
-BLOCK = 32_000_000
+#: Token ids, ranks among them, are below the edge; a pair that merges into nothing has the rank NO_RANK.
+EDGE, NO_RANK = 0xFFFE, 0xFFFF
+#: Of the table of pairs: multiplier of a key of 32 bits, whose product stays a long, and bits of its buckets, of which
+#: each has a shift of its own.
+SPREAD, BUCKET_BITS = 0x5851F42D, 16
+#: Texts are cut into blocks of so many bytes; a worker forgets its words beyond so many.
+BLOCK, KNOWN = 2_000_000, 400_000
 
 
 @lru_cache(maxsize=4)
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    if SHIFT + max(ranks.values()) >= 0xD800:
-        raise ValueError("token ids stand for characters below the surrogates, which these ranks exceed")
+    if max(ranks.values()) >= EDGE:
+        raise ValueError("ranks must fit in two bytes")
     return ranks
 
 
-def sign(token_id: int) -> str:
-    return chr(SHIFT + token_id)
-
-
-def cells(entries: dict[str, str]) -> Column:
-    """The entries as a literal array of small maps, the cells of a hash table by CRC-32."""
-    table: list[dict[str, str]] = [{} for _ in range(CELLS)]
-    for key, value in entries.items():
-        table[zlib.crc32(key.encode()) % CELLS][key] = value
-    return F.from_json(F.lit(json.dumps(table, ensure_ascii=False, separators=(",", ":"))), "array<map<string,string>>")
-
-
 def merged(token: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     """What merging alone makes of a token's bytes."""
     parts = [token[i : i + 1] for i in range(len(token))]
@@ -65,74 +50,81 @@ def merged(token: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     return parts
 
 
-@lru_cache(maxsize=4)
-def unmerged(path: str) -> dict[str, str]:
-    """Tokens that merging alone doesn't reach; a word that is one of them is that token nevertheless."""
-    ranks = load_ranks(path)
-    return {token.decode("latin-1"): sign(rank) for token, rank in ranks.items() if len(merged(token, ranks)) > 1}
-
-
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def found(table: Column, key: Column) -> Column:
-    return F.get(table, (F.crc32(key.cast("binary")) % CELLS).cast("int"))[key]
-
-
-def pair_rank(table: Column, pair: Column) -> Column:
-    """What a pair of tokens merges into, or NO_RANK."""
-    return F.coalesce(found(table, pair), F.lit(NO_RANK))
+@lru_cache(maxsize=4)
+def unmerged(path: str) -> dict[bytes, int]:
+    """Tokens that merging alone doesn't reach; a word that is one of them is that token nevertheless."""
+    ranks = load_ranks(path)
+    return {token: rank for token, rank in ranks.items() if len(merged(token, ranks)) > 1}
 
 
-def word_encoder(path: str) -> Callable[[Column], Column]:
-    """A function from a column array<string> of words (a character per byte) to array<array<int>> of token ids."""
-    ranks, merges = load_ranks(path), {}
+@lru_cache(maxsize=2)
+def pair_table(path: str) -> tuple[list[int], list[int]]:
+    """The pairs of tokens that merge, as a hash table without collisions: shifts by bucket, and entries
+    rank << 32 | left << 16 | right, -1 where free. Buckets are placed from the fullest on, each at the first shift
+    that finds all its places free."""
+    ranks = load_ranks(path)
+    keys, values = [], []
     for token, rank in ranks.items():
         for cut in range(1, len(token)):
             left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
             if left is not None and right is not None:
-                merges[sign(left) + sign(right)] = sign(rank)
-    of_byte = "".join(sign(ranks[bytes([b])]) for b in range(256))
-    whole = unmerged(path)
-    one, two, none = F.lit(1), F.lit(2), F.lit(NO_RANK)
-
-    def encode(words: Column, pairs: Column, tokens: Column) -> Column:
-        def step(state: Column, _: Column) -> Column:
-            ids, between = state["ids"], state["between"]
-
-            def merge(token: Column) -> Column:
+                keys.append(left << 16 | right)
+                values.append(rank << 32 | left << 16 | right)
+    size = 1 << max(8, (2 * len(keys)).bit_length())
+    h = np.array(keys, np.int64) * np.int64(SPREAD)
+    bucket = (h >> 31) & ((1 << BUCKET_BITS) - 1)
+    at = (h >> 13) & (size - 1)
+    order = np.argsort(bucket, kind="stable")
+    groups = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if keys else []
+    shifts, entries = [0] * (1 << BUCKET_BITS), np.full(size, -1, np.int64)
+    value = np.array(values, np.int64)
+    for group in sorted(groups, key=len, reverse=True):
+        own = at[group]
+        shift = next(s for s in range(size) if len(set(((own ^ s * 7919) & (size - 1)).tolist())) == len(own) and (entries[(own ^ s * 7919) & (size - 1)] < 0).all())
+        shifts[int(bucket[group[0]])] = shift * 7919 & (size - 1)
+        entries[(own ^ shift * 7919) & (size - 1)] = value[group]
+    return shifts, entries.tolist()
+
+
+def longs(values: list[int]) -> Column:
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def fold(path: str, words: Column) -> Column:
+    """words array<array<long>>, the pairs of each word's bytes as left << 16 | right, with the ranks of all merges done."""
+    shifts, entries = pair_table(path)
+    size, none = len(entries), NO_RANK << 32
+
+    def encode(tables: Column) -> Column:
+        def ranked(keys: Column) -> Column:
+            def found(key: Column) -> Column:
+                h = key * F.lit(SPREAD)
+                shift = F.get(tables["shifts"], F.shiftright(h, 31).bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).cast("int"))
+                return F.get(tables["entries"], F.shiftright(h, 13).bitwiseXOR(shift).bitwiseAND(F.lit(size - 1)).cast("int"))
+
+            return F.zip_with(keys, F.transform(keys, found), lambda key, entry: F.when(entry.bitwiseAND(F.lit(0xFFFFFFFF)) == key, entry).otherwise(key + F.lit(none)))
+
+        def step(pairs: Column, _: Column) -> Column:
+            def merge(least: Column) -> Column:
                 def at(k: Column) -> Column:
-                    new = F.array(F.concat(ids.substr(k - 1, one), token), F.concat(token, ids.substr(k + 2, one)))
-                    ranked = F.array_join(F.transform(new, lambda pair: pair_rank(pairs, pair)), "")
-                    return F.struct(F.overlay(ids, token, k, two).alias("ids"), F.overlay(between, ranked, k - 1, F.lit(3)).alias("between"))
-
-                return F.when(token >= none, state).otherwise(bound(F.call_function("instr", between, token), at))
+                    token = F.shiftright(least, 32)
+                    left = F.get(pairs, k - 2).bitwiseAND(F.lit(0xFFFF0000))
+                    right = F.get(pairs, k).bitwiseAND(F.lit(0xFFFF))
+                    new = ranked(F.array(left.bitwiseOR(token), F.shiftleft(token, 16).bitwiseOR(right)))
+                    return F.concat(F.slice(pairs, F.lit(1), k - 2), new, F.slice(pairs, k + 2, F.size(pairs)))
 
-            return bound(F.array_min(F.split(between, "")), merge)
+                return F.when(least >= F.lit(none), pairs).otherwise(bound(F.array_position(pairs, least).cast("int"), at))
 
-        def folded(ids: Column) -> Column:  # between two characters that are no tokens, so that each pair has neighbours
-            n = F.length(ids)
-            between = F.transform(F.sequence(one, n - 1), lambda i: pair_rank(pairs, ids.substr(i, two)))
-            start = F.struct(ids.alias("ids"), F.array_join(between, "").alias("between"))
-            done = F.aggregate(F.sequence(one, F.greatest(n - 3, one)), start, step, lambda state: state["ids"])
-            return F.substring(done, two, F.length(done) - 2)
+            return bound(F.array_min(pairs), merge)
 
-        def word(w: Column) -> Column:
-            padded = F.concat(F.lit(EDGE), F.translate(w, "".join(map(chr, range(256))), of_byte), F.lit(EDGE))
-            ids = bound(padded, folded)
-            if whole:
-                ids = F.coalesce(found(tokens, w), ids)
-            return F.transform(F.split(ids, ""), lambda c: F.ascii(c) - SHIFT)
+        return F.transform(words, lambda keys: F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(keys) - 2, F.lit(1))), ranked(keys), step))
 
-        return F.transform(words, word)
-
-    def encoder(words: Column) -> Column:
-        literals = F.struct(cells(merges).alias("pairs"), cells(whole).alias("tokens"))
-        return bound(literals, lambda t: encode(words, t["pairs"], t["tokens"]))
-
-    return encoder
+    return bound(F.struct(longs(shifts).alias("shifts"), longs(entries).alias("entries")), encode)
 
 
 def window_starts(n: int, window: int) -> list[int]:
@@ -186,44 +178,24 @@ def spliced(parts: list[np.ndarray], starts: list[int], sizes: np.ndarray) -> np
     return np.concatenate([*out, parts[-1][begin:]])
 
 
-def gathered(lists: tuple[np.ndarray, np.ndarray], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of lists (lengths, values one after another), those numbered `at`, in that form."""
-    n, values = lists
-    start, count = (np.cumsum(n) - n)[at], n[at]
-    return count, values[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - start, count)]
-
-
-def asked_of(texts: list[str | None], find: Callable[[str], list[str]], parts: int, window: int, places: bool) -> tuple:
-    """What a block asks, part by part, as (bytes of the words, one after another; their lengths; edges of the parts); and, with
-    `places`, the number of each word of the texts in that order, the end of each text's, and of long words the length, the
-    number of windows, and the numbers of these. Long words are numbered after all others."""
-    number: dict[str, int] = {}
-    at, ends = [], [0]
-    for text in texts:
-        words = find(text) if text else []
-        if places:
-            at.extend([number.setdefault(w, len(number)) for w in words])
-            ends.append(len(at))
-        else:
-            number.update(dict.fromkeys(words))
-    raw = [w.encode() for w in number]
-    long = [i for i, w in enumerate(raw) if len(w) > window]
-    pieces = {w: None for w in raw if len(w) <= window}
-    for i in long:
-        pieces.update(dict.fromkeys(raw[i][s : s + window] for s in window_starts(len(raw[i]), window)))
-    every = list(pieces)
-    part = np.array([zlib.crc32(w) for w in every], np.int64) % parts
-    order = np.argsort(part, kind="stable")
-    every = [every[i] for i in order]
-    sizes, edges = np.array([len(w) for w in every], np.int64), np.searchsorted(part[order], np.arange(parts + 1))
-    if not places:
-        return b"".join(every), sizes, edges
-    new = {w: i for i, w in enumerate(every)}
-    later = {i: len(every) + k for k, i in enumerate(long)}
-    renumber = np.array([later[i] if i in later else new[w] for i, w in enumerate(raw)], np.int64)
-    spans = [[new[raw[i][s : s + window]] for s in window_starts(len(raw[i]), window)] for i in long]
-    flat = np.array([x for span in spans for x in span], np.int64)
-    return renumber[np.array(at, np.int64)] if at else np.zeros(0, np.int64), np.array(ends, np.int64), np.array([len(raw[i]) for i in long], np.int64), np.array([len(x) for x in spans], np.int64), flat
+def byte_pairs(words: list[bytes], ids: np.ndarray) -> pa.ListArray:
+    """Per word, its pairs of byte tokens as left << 16 | right, from an edge to an edge."""
+    sizes = np.array([len(w) for w in words], np.int64)
+    ends = np.cumsum(sizes + 2)
+    flat = np.full(int(ends[-1]) if len(words) else 0, EDGE, np.int64)
+    inner = np.ones(len(flat), bool)
+    inner[ends - 1] = inner[ends - 2 - sizes] = False
+    flat[inner] = ids[np.frombuffer(b"".join(words), np.uint8)]
+    pairs = (flat[:-1] << 16) | flat[1:]
+    pairs = np.delete(pairs, ends[:-1] - 1) if len(words) else pairs[:0]
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes + 1)]).astype(np.int32)), pa.array(pairs, pa.int64()))
+
+
+def packed_rows(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
 
 def encode(
@@ -240,104 +212,100 @@ def encode(
     on its own; no special tokens.
 
     A null or empty text gives no ids; null ids, repeated rows and other columns stay as they are; a column of the name
-    ids_col is replaced; an empty table gives no rows. Texts are not shuffled unless kept: their words go, packed, from
-    each block to the parts of the words' hashes, where the fold encodes each distinct word of a part once, and ids come
-    back to the block's rows. A word longer than `window` bytes (None: 256, or four times the longest token if that is
-    more) is folded in windows that overlap by half and are joined where two share a token; where two share none, as
-    in one letter written over and over, a queue of pairs merges the word in Python.
+    ids_col is replaced; an empty table gives no rows. Nothing is shuffled: a pass in Python splits blocks of texts into
+    words and lists each block's words that its task has not met before; the fold encodes those; another pass in Python,
+    in the same task, puts the ids of the texts together. Lists are bounded by the block and KNOWN words; whole texts
+    count, a text longer than a block is one block. A word longer than `window` bytes (None: 256, or four times the
+    longest token if that is more) is folded in windows that overlap by half and are joined where two share a token; where
+    two share none, as in one letter written over and over, a queue of pairs merges the word in Python.
     """
-    ranks, encoder = load_ranks(ranks_path), word_encoder(ranks_path)
+    ranks, whole = load_ranks(ranks_path), unmerged(ranks_path)
     kept = [c for c in (df.columns if keep is None else keep) if c != ids_col]
     schema = df.select(*kept).schema
-    rows = steady(df.select(*kept, F.col(text_col).alias("\ttext")))
     window = window or max(256, 4 * max(map(len, ranks)))
-    parts = part_count(rows, "\ttext")
     held = df.sparkSession.sparkContext.broadcast(ranks)  # read only where windows share no token
-    sizes = np.zeros(max(ranks.values()) + 1, np.int32)
+    lengths = np.zeros(max(ranks.values()) + 1, np.int32)
     for token, rank in ranks.items():
-        sizes[rank] = len(token)
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = regex.compile(pattern).findall
+        lengths[rank] = len(token)
+    of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+    text = "\ttext"  # apart from the columns kept
 
-        def out() -> Iterator[tuple[int, bytes, bytes]]:
-            for batch in blocks(batches, "\ttext", block_bytes):
-                column = batch.column("\ttext")
-                body, n, edges = asked_of(column.to_pylist(), find, parts, window, False)
-                ends, name = np.concatenate([[0], np.cumsum(n)]), name_of(column)
-                for p in range(parts):
-                    s, e = int(edges[p]), int(edges[p + 1])
-                    yield p, name, packed((e - s).to_bytes(8, "little") + n[s:e].astype(np.uint32).tobytes() + body[ends[s] : ends[e]])
-
-        yield from batched(out())
-
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p, (names, payloads) in grouped(batches, "part", ["block", "payload"]):
-            lists = []
-            for body in map(unpacked, payloads):
-                n = int.from_bytes(body[:8], "little")
-                ends = np.concatenate([[0], np.cumsum(np.frombuffer(body, np.uint32, n, 8))]).astype(np.int32)
-                lists.append(pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(body[8 + 4 * n :])]))
-            known = pa.concat_arrays(lists).dictionary_encode()
-            words = [w.decode("latin-1") for w in known.dictionary.to_pylist()]
-            at = pack(known.indices.to_numpy().astype(np.int64), np.array([len(x) for x in lists], np.int64))
-            columns = [pa.array([p], pa.int32()), pa.array([names], pa.list_(pa.binary())), pa.array([at], pa.binary()), pa.array([words], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, ["part", "names", "at", "words"])
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out() -> Iterator[tuple[int, bytes, bytes]]:
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    lists = batch.column("ids").slice(i, 1).flatten()
-                    ids = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten().to_numpy(zero_copy_only=False)
-                    at, asked = unpack(batch.column("at")[i].as_py())
-                    ends = np.concatenate([[0], np.cumsum(asked)]).astype(np.int64)
-                    for k, name in enumerate(batch.column("names")[i].as_py()):
-                        yield batch.column("part")[i].as_py(), name, pack(*gathered(ids, at[ends[k] : ends[k + 1]].astype(np.int64)))
-
-        yield from batched(out())
-
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
-        for batch in blocks(batches, "\ttext", block_bytes):
-            column = batch.column("\ttext")
-            places = pack(*asked_of(column.to_pylist(), find, parts, window, True))
-            sink = pa.BufferOutputStream()
-            some = batch.select(kept)
-            with pa.ipc.new_stream(sink, some.schema) as stream:
-                stream.write_batch(some)
-            yield as_rows([own_row(name_of(column), parts, len(places).to_bytes(8, "little") + places + packed(sink.getvalue().to_pybytes()))])
-
-    def finish(answered: list[bytes], payload: bytes) -> Iterator[pa.RecordBatch]:
-        cut = 8 + int.from_bytes(payload[:8], "little")
-        places, ends, long, windows, spans = (x.astype(np.int64) for x in unpack(payload[8:cut]))
-        some = pa.ipc.open_stream(unpacked(payload[cut:])).read_next_batch()
-        got = [unpack(x) for x in answered]
-        n, ids = (np.concatenate([x[i] for x in got]).astype(t) for i, t in ((0, np.int64), (1, np.int32)))
-        if len(long):
-            last = np.concatenate([[0], np.cumsum(windows)])
-            whole = []
-            for k, size in enumerate(long.tolist()):
-                count, flat = gathered((n, ids), spans[last[k] : last[k + 1]])
-                each = np.split(flat, np.cumsum(count)[:-1])
-                word = spliced(each, window_starts(size, window), sizes)
-                if word is None:
-                    token = {rank: t for t, rank in held.value.items()}
-                    cuts = zip(each, np.diff([*window_starts(size, window), size]).tolist(), strict=True)
-                    word = np.array(merged_word(b"".join(b"".join(map(token.__getitem__, x.tolist()))[:step] for x, step in cuts), held.value), np.int32)
-                whole.append(word)
-            n, ids = np.concatenate([n, [len(w) for w in whole]]), np.concatenate([ids, *whole])
-        for start in range(0, some.num_rows, 1024):
-            stop = min(start + 1024, some.num_rows)
-            count, flat = gathered((n, ids), places[ends[start] : ends[stop]])
-            tokens = np.concatenate([[0], np.cumsum(count)])
-            lists = pa.ListArray.from_arrays(pa.array(tokens[ends[start : stop + 1] - ends[start]].astype(np.int32)), pa.array(flat, pa.int32()))
-            rows = some.slice(start, stop - start)
-            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), lists], [*kept, ids_col])
-
-    words = by_part(rows.mapInArrow(ask, PARTS), parts).mapInArrow(distinct, "part int, names array<binary>, at binary, words array<string>")
-    answers = words.select("part", "names", "at", encoder(F.col("words")).alias("ids")).mapInArrow(answer, PARTS)
-    return returned(answers, rows.mapInArrow(own, PARTS), finish, schema.add(ids_col, ArrayType(IntegerType())))
+        number: dict[str, int] = {}
+        for part in pieces(batches, text, block_bytes):
+            afresh = len(number) > KNOWN
+            if afresh:
+                number.clear()
+            before = len(number)
+            places, ends = [], [0]
+            for t in part.column(text).to_pylist():
+                words = find(t) if t else []
+                places.extend([number.setdefault(w, len(number)) for w in words])
+                ends.append(len(places))
+            new = [w.encode() for w in list(number)[before:]]
+            long = [(i, w) for i, w in enumerate(new) if len(w) > window]
+            given = [(i, whole[w]) for i, w in enumerate(new) if w in whole] if whole else []
+            short = [w if len(w) <= window else b"" for w in new]
+            short += [w[s : s + window] for _, w in long for s in window_starts(len(w), window)]
+            columns = [
+                pa.array([[int(afresh), len(new)]], pa.list_(pa.int64())),
+                pa.array([[x for i, w in long for x in (i, len(w))] + [x for i, rank in given for x in (i, -1 - rank)]], pa.list_(pa.int64())),
+                pa.ListArray.from_arrays(pa.array([0, len(short)], pa.int32()), byte_pairs(short, of_byte)),
+                *(pa.array([x], pa.binary()) for x in (np.array(places, np.int32).tobytes(), np.array(ends, np.int64).tobytes(), packed_rows(part.select(kept)))),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["head", "long", "words", "places", "ends", "rows"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sizes = [], []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                afresh, new = batch.column("head")[i].as_py()
+                if afresh:
+                    ids, sizes = [], []
+                lists = batch.column("words").slice(i, 1).flatten()
+                pairs = lists.flatten().to_numpy(zero_copy_only=False)
+                count = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                inner = np.ones(len(pairs), bool)
+                inner[np.cumsum(count) - count] = False  # the pair of the edge and the first token
+                values, count = ((pairs >> 16) & 0xFFFF)[inner].astype(np.int32), count - 1
+                long = batch.column("long")[i].as_py()
+                if long:
+                    each = np.split(values, np.cumsum(count)[:-1]) if len(count) else []
+                    at = new
+                    for k, size in zip(long[::2], long[1::2], strict=True):
+                        if size < 0:
+                            each[k] = np.array([-1 - size], np.int32)
+                            continue
+                        starts = window_starts(size, window)
+                        each[k] = joined(each[at : at + len(starts)], starts, size)
+                        at += len(starts)
+                    each = each[:new]
+                    values, count = np.concatenate(each) if each else values[:0], np.array([len(x) for x in each], np.int64)
+                ids.append(values)
+                sizes.append(count)
+                flat, n = np.concatenate(ids), np.concatenate(sizes)
+                ids, sizes = [flat], [n]
+                places = np.frombuffer(batch.column("places")[i].as_py(), np.int32)
+                ends = np.frombuffer(batch.column("ends")[i].as_py(), np.int64)
+                count = n[places]
+                stop = np.concatenate([[0], np.cumsum(count)])
+                out = flat[np.arange(stop[-1]) - np.repeat(stop[:-1] - (np.cumsum(n) - n)[places], count)]
+                rows = pa.ipc.open_stream(batch.column("rows")[i].as_py()).read_next_batch()
+                lists = pa.ListArray.from_arrays(pa.array(stop[ends].astype(np.int32)), pa.array(out, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), lists], [*kept, ids_col])
+
+    def joined(parts: list[np.ndarray], starts: list[int], size: int) -> np.ndarray:
+        word = spliced(parts, starts, lengths)
+        if word is not None:
+            return word
+        token = {rank: t for t, rank in held.value.items()}
+        cuts = zip(parts, np.diff([*starts, size]).tolist(), strict=True)
+        return np.array(merged_word(b"".join(b"".join(map(token.__getitem__, x.tolist()))[:step] for x, step in cuts), held.value), np.int32)
+
+    blocks = df.select(*kept, F.col(text_col).alias(text)).mapInArrow(split, "head array<long>, long array<long>, words array<array<long>>, places binary, ends binary, rows binary")
+    blocks = blocks.select("head", "long", fold(ranks_path, F.col("words")).alias("words"), "places", "ends", "rows")
+    return blocks.mapInArrow(join, schema.add(ids_col, ArrayType(IntegerType())))
 
 
 def decode(df: DataFrame, ranks_path: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:

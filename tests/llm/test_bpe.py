@@ -1,3 +1,4 @@
+import base64
 import random
 from collections import Counter
 
@@ -51,10 +52,20 @@ def test_queue_of_pairs(text):
 
 
 def test_too_many_ids(tmp_path):
-    (tmp_path / "ranks").write_text("YQ== 0\nYg== 60000\n")
-    with pytest.raises(ValueError, match="surrogates"):
+    (tmp_path / "ranks").write_text("YQ== 0\nYg== 65534\n")
+    with pytest.raises(ValueError, match="two bytes"):
         bpe.load_ranks(str(tmp_path / "ranks"))
 
 
+def test_whole_words_that_merging_misses(spark, tmp_path):
+    """`abc` is a token, but neither `ab` nor `bc` is, so merging alone cannot reach it."""
+    ranks = {bytes([b]): b for b in range(256)} | {b"abc": 256, b"xy": 257}
+    (tmp_path / "ranks").write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % r for t, r in ranks.items()))
+    df = spark.createDataFrame([(1, "abc abcd xyabc"), (2, "xy xyz abc")], "doc_id long, text string")
+    got = {r["doc_id"]: r["token_ids"] for r in bpe.encode(df, str(tmp_path / "ranks"), r"\w+|\s+").collect()}
+    library = tiktoken.Encoding("small", pat_str=r"\w+|\s+", mergeable_ranks=ranks, special_tokens={})
+    assert got == {1: library.encode_ordinary("abc abcd xyabc"), 2: library.encode_ordinary("xy xyz abc")}
+
+
 def test_empty(no_docs):
     assert bpe.decode(bpe.encode(no_docs, PATH, PATTERN), PATH).count() == 0
