@@ -27,7 +27,9 @@ EDGE, NO_RANK = 0xFFFE, 0xFFFF
 #: each has a shift of its own.
 SPREAD, BUCKET_BITS = 0x5851F42D, 16
 #: Texts are cut into blocks of so many bytes; a worker forgets its words beyond so many.
-BLOCK, KNOWN = 2_000_000, 400_000
+BLOCK, KNOWN = 2_000_000, 700_000
+#: Input partitions that one task may take, where there are more than twice as many as cores: it meets more words again.
+TOGETHER = 4
 
 
 @lru_cache(maxsize=4)
@@ -63,10 +65,10 @@ def unmerged(path: str) -> dict[bytes, int]:
 
 
 @lru_cache(maxsize=2)
-def pair_table(path: str) -> tuple[list[int], list[int]]:
-    """The pairs of tokens that merge, as a hash table without collisions: shifts by bucket, and entries
-    rank << 32 | left << 16 | right, -1 where free. Buckets are placed from the fullest on, each at the first shift
-    that finds all its places free."""
+def pair_table(path: str) -> tuple[int, list[int], list[int]]:
+    """The pairs of tokens that merge, as a hash table without collisions: the multiplier, shifts by bucket, and entries
+    rank << 32 | left << 16 | right, -1 where free. The multiplier is the first that parts the keys of each bucket; buckets
+    are placed from the fullest on, each at the first shift that finds all its places free."""
     ranks = load_ranks(path)
     keys, values = [], []
     for token, rank in ranks.items():
@@ -76,9 +78,11 @@ def pair_table(path: str) -> tuple[list[int], list[int]]:
                 keys.append(left << 16 | right)
                 values.append(rank << 32 | left << 16 | right)
     size = 1 << max(8, (2 * len(keys)).bit_length())
-    h = np.array(keys, np.int64) * np.int64(SPREAD)
-    bucket = (h >> 31) & ((1 << BUCKET_BITS) - 1)
-    at = (h >> 13) & (size - 1)
+    for spread in range(SPREAD, 1 << 31, 2):
+        h = np.array(keys, np.int64) * np.int64(spread)
+        bucket, at = (h >> 31) & ((1 << BUCKET_BITS) - 1), (h >> 13) & (size - 1)
+        if len(np.unique(bucket * size + at)) == len(keys):
+            break
     order = np.argsort(bucket, kind="stable")
     groups = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if keys else []
     shifts, entries = [0] * (1 << BUCKET_BITS), np.full(size, -1, np.int64)
@@ -88,7 +92,7 @@ def pair_table(path: str) -> tuple[list[int], list[int]]:
         shift = next(s for s in range(size) if len(set(((own ^ s * 7919) & (size - 1)).tolist())) == len(own) and (entries[(own ^ s * 7919) & (size - 1)] < 0).all())
         shifts[int(bucket[group[0]])] = shift * 7919 & (size - 1)
         entries[(own ^ shift * 7919) & (size - 1)] = value[group]
-    return shifts, entries.tolist()
+    return spread, shifts, entries.tolist()
 
 
 def longs(values: list[int]) -> Column:
@@ -96,14 +100,14 @@ def longs(values: list[int]) -> Column:
 
 
 def fold(path: str, words: Column) -> Column:
-    """words array<array<long>>, the pairs of each word's bytes as left << 16 | right, with the ranks of all merges done."""
-    shifts, entries = pair_table(path)
+    """words array<array<long>>, the pairs of each word's bytes as rank << 32 | left << 16 | right, with all merges done."""
+    spread, shifts, entries = pair_table(path)
     size, none = len(entries), NO_RANK << 32
 
     def encode(tables: Column) -> Column:
         def ranked(keys: Column) -> Column:
             def found(key: Column) -> Column:
-                h = key * F.lit(SPREAD)
+                h = key * F.lit(spread)
                 shift = F.get(tables["shifts"], F.shiftright(h, 31).bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).cast("int"))
                 return F.get(tables["entries"], F.shiftright(h, 13).bitwiseXOR(shift).bitwiseAND(F.lit(size - 1)).cast("int"))
 
@@ -122,7 +126,7 @@ def fold(path: str, words: Column) -> Column:
 
             return bound(F.array_min(pairs), merge)
 
-        return F.transform(words, lambda keys: F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(keys) - 2, F.lit(1))), ranked(keys), step))
+        return F.transform(words, lambda pairs: F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(pairs) - 2, F.lit(1))), pairs, step))
 
     return bound(F.struct(longs(shifts).alias("shifts"), longs(entries).alias("entries")), encode)
 
@@ -178,15 +182,26 @@ def spliced(parts: list[np.ndarray], starts: list[int], sizes: np.ndarray) -> np
     return np.concatenate([*out, parts[-1][begin:]])
 
 
-def byte_pairs(words: list[bytes], ids: np.ndarray) -> pa.ListArray:
-    """Per word, its pairs of byte tokens as left << 16 | right, from an edge to an edge."""
+def byte_table(path: str) -> np.ndarray:
+    """rank << 32 | left << 16 | right of each pair of bytes, at 257 * left + right; 256 stands for an edge."""
+    ranks = load_ranks(path)
+    ids = np.array([*(ranks[bytes([b])] for b in range(256)), EDGE], np.int64)
+    merges = np.full((257, 257), NO_RANK, np.int64)
+    for token, rank in ranks.items():
+        if len(token) == 2:
+            merges[token[0], token[1]] = rank
+    return (merges << 32 | ids[:, None] << 16 | ids[None, :]).reshape(-1)
+
+
+def byte_pairs(words: list[bytes], table: np.ndarray) -> pa.ListArray:
+    """Per word, its pairs of byte tokens with their ranks, from an edge to an edge."""
     sizes = np.array([len(w) for w in words], np.int64)
     ends = np.cumsum(sizes + 2)
-    flat = np.full(int(ends[-1]) if len(words) else 0, EDGE, np.int64)
+    flat = np.full(int(ends[-1]) if len(words) else 0, 256, np.int64)
     inner = np.ones(len(flat), bool)
     inner[ends - 1] = inner[ends - 2 - sizes] = False
-    flat[inner] = ids[np.frombuffer(b"".join(words), np.uint8)]
-    pairs = (flat[:-1] << 16) | flat[1:]
+    flat[inner] = np.frombuffer(b"".join(words), np.uint8)
+    pairs = table[flat[:-1] * 257 + flat[1:]]
     pairs = np.delete(pairs, ends[:-1] - 1) if len(words) else pairs[:0]
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes + 1)]).astype(np.int32)), pa.array(pairs, pa.int64()))
 
@@ -212,10 +227,10 @@ def encode(
     on its own; no special tokens.
 
     A null or empty text gives no ids; null ids, repeated rows and other columns stay as they are; a column of the name
-    ids_col is replaced; an empty table gives no rows. Nothing is shuffled: a pass in Python splits blocks of texts into
-    words and lists each block's words that its task has not met before; the fold encodes those; another pass in Python,
-    in the same task, puts the ids of the texts together. Lists are bounded by the block and KNOWN words; whole texts
-    count, a text longer than a block is one block. A word longer than `window` bytes (None: 256, or four times the
+    ids_col is replaced; an empty table gives no rows. Nothing is shuffled, but up to TOGETHER input partitions are one
+    task: a pass in Python splits blocks of texts into words and lists each block's words that its task has not met before;
+    the fold encodes those; another pass in Python, in the same task, puts the ids of the texts together. Lists are bounded
+    by the block and KNOWN words; whole texts count, a text longer than a block is one block. A word longer than `window` bytes (None: 256, or four times the
     longest token if that is more) is folded in windows that overlap by half and are joined where two share a token; where
     two share none, as in one letter written over and over, a queue of pairs merges the word in Python.
     """
@@ -227,7 +242,7 @@ def encode(
     lengths = np.zeros(max(ranks.values()) + 1, np.int32)
     for token, rank in ranks.items():
         lengths[rank] = len(token)
-    of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+    table = byte_table(ranks_path)
     text = "\ttext"  # apart from the columns kept
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,7 +266,7 @@ def encode(
             columns = [
                 pa.array([[int(afresh), len(new)]], pa.list_(pa.int64())),
                 pa.array([[x for i, w in long for x in (i, len(w))] + [x for i, rank in given for x in (i, -1 - rank)]], pa.list_(pa.int64())),
-                pa.ListArray.from_arrays(pa.array([0, len(short)], pa.int32()), byte_pairs(short, of_byte)),
+                pa.ListArray.from_arrays(pa.array([0, len(short)], pa.int32()), byte_pairs(short, table)),
                 *(pa.array([x], pa.binary()) for x in (np.array(places, np.int32).tobytes(), np.array(ends, np.int64).tobytes(), packed_rows(part.select(kept)))),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["head", "long", "words", "places", "ends", "rows"])
@@ -303,7 +318,10 @@ def encode(
         cuts = zip(parts, np.diff([*starts, size]).tolist(), strict=True)
         return np.array(merged_word(b"".join(b"".join(map(token.__getitem__, x.tolist()))[:step] for x, step in cuts), held.value), np.int32)
 
-    blocks = df.select(*kept, F.col(text_col).alias(text)).mapInArrow(split, "head array<long>, long array<long>, words array<array<long>>, places binary, ends binary, rows binary")
+    rows = df.select(*kept, F.col(text_col).alias(text))
+    # A word is folded once in a task, so a task of more input folds fewer words in all.
+    tasks = max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows.rdd.getNumPartitions() // TOGETHER))
+    blocks = rows.coalesce(tasks).mapInArrow(split, "head array<long>, long array<long>, words array<array<long>>, places binary, ends binary, rows binary")
     blocks = blocks.select("head", "long", fold(ranks_path, F.col("words")).alias("words"), "places", "ends", "rows")
     return blocks.mapInArrow(join, schema.add(ids_col, ArrayType(IntegerType())))
 
