@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8_buffer, written
+from .common import released, utf8_buffer, written
 
 #: Bytes of text in a block, and the square of the bytes of text in a part: parts grow with the root of the input.
 BLOCK, PART = 8_000_000, 1 << 16
@@ -146,7 +146,7 @@ def returned(answers: DataFrame, own: DataFrame, finish: Callable[[list[bytes],
                     raise RuntimeError("a block was cut in another way when it was made again; give rows that a scan or a written table yields")
                 yield from finish(answered, payload[4:])
 
-    return answers.select("part", "block", "payload").union(own).repartition("block").sortWithinPartitions("block", "part").mapInArrow(run, schema)
+    return answers.select("part", "block", "payload").union(own).repartition("block").sortWithinPartitions("block", "part").mapInArrow(released(run), schema)
 
 
 def own_row(block: bytes, answers: int, payload: bytes) -> tuple[int, bytes, bytes]:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from .common import pieces
+from .common import pieces, released
 
 #: Token ids, ranks among them, are below the edge; a pair that merges into nothing has the rank NO_RANK.
 EDGE, NO_RANK = 0xFFFE, 0xFFFF
@@ -321,9 +321,9 @@ def encode(
     rows = df.select(*kept, F.col(text_col).alias(text))
     # A word is folded once in a task, so a task of more input folds fewer words in all.
     tasks = max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows.rdd.getNumPartitions() // TOGETHER))
-    blocks = rows.coalesce(tasks).mapInArrow(split, "head array<long>, long array<long>, words array<array<long>>, places binary, ends binary, rows binary")
+    blocks = rows.coalesce(tasks).mapInArrow(released(split), "head array<long>, long array<long>, words array<array<long>>, places binary, ends binary, rows binary")
     blocks = blocks.select("head", "long", fold(ranks_path, F.col("words")).alias("words"), "places", "ends", "rows")
-    return blocks.mapInArrow(join, schema.add(ids_col, ArrayType(IntegerType())))
+    return blocks.mapInArrow(released(join), schema.add(ids_col, ArrayType(IntegerType())))
 
 
 def decode(df: DataFrame, ranks_path: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import pack, unpack
-from .common import pieces, texts, written
+from .common import pieces, released, texts, written
 from .components import connected
 from .shingles import mixed, shingle_hashes
 
@@ -124,9 +124,9 @@ def token_ranks(docs: DataFrame, width: int, bits: int) -> tuple[np.ndarray, tup
             rank = np.floor(8 * np.log2(1.0 + n)).astype(np.uint8).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([rank]), pa.array([int(n.sum())])], ["slice", "n", "total"])
 
-    parts = docs.select("text").mapInArrow(count, "slice int, n binary").repartition(slices, "slice")
+    parts = docs.select("text").mapInArrow(released(count), "slice int, n binary").repartition(slices, "slice")
     ranks, total = np.zeros((slices, (1 << bits) // slices), np.uint8), 0
-    for row in parts.mapInArrow(add, "slice int, n binary, total long").collect():
+    for row in parts.mapInArrow(released(add), "slice int, n binary, total long").collect():
         ranks[row["slice"]] = np.frombuffer(row["n"], np.uint8)
         total += row["total"]
     chance = total / (1 << bits)
@@ -169,7 +169,7 @@ def set_rows(docs: DataFrame, width: int, percent: int, ranks: np.ndarray, bound
             columns = [part.column("doc_id"), part.column("text_hash"), pa.array(np.diff(first)), pa.array(nodes, pa.binary()), sigs, pa.array(odd, pa.binary()), pa.array(more, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n", "node", "sigs", "odd", "wide"])
 
-    return docs.mapInArrow(make, "doc_id long, text_hash long, n long, node binary, sigs array<long>, odd binary, wide binary")
+    return docs.mapInArrow(released(make), "doc_id long, text_hash long, n long, node binary, sigs array<long>, odd binary, wide binary")
 
 
 def id_bit(ids: pa.Array) -> np.ndarray:
@@ -187,7 +187,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             bit = id_bit(batch.column(0))
             yield pa.RecordBatch.from_arrays([pa.array((bit >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (bit & np.uint64(63))).view(np.int64))], ["word", "bits"])
 
-    words = wanted.select("doc_id").mapInArrow(place, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).collect()
+    words = wanted.select("doc_id").mapInArrow(released(place), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).collect()
     held = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
     for row in words:
         held[row["word"]] = row["bits"] % (1 << 64)
@@ -201,7 +201,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             columns = [part.column("doc_id").fill_null(NO_ID), pa.array([digest(x) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), long_lists(sets)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "tokens"])
 
-    made = docs.mapInArrow(make, "doc_id long, node binary, n long, tokens array<long>")
+    made = docs.mapInArrow(released(make), "doc_id long, node binary, n long, tokens array<long>")
     wanted = wanted.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "node", "k")
     # Repeated rows of one id and text are alike; as the join, this is dealt by (doc_id, node).
     return made.join(wanted.hint("merge"), ["doc_id", "node"]).dropDuplicates(["doc_id", "node"]).select("k", "n", "tokens")
@@ -280,7 +280,7 @@ def hopeful(rows: DataFrame, key: str, percent: int) -> DataFrame:
             yield kept(rest)
 
     some = rows.where(F.col("size") <= CROWD).select(key, "k", "n", "odd").repartition(key).sortWithinPartitions(key)
-    return some.mapInArrow(run, f"{key} long, k long").union(rows.where(F.col("size") > CROWD).select(key, "k"))
+    return some.mapInArrow(released(run), f"{key} long, k long").union(rows.where(F.col("size") > CROWD).select(key, "k"))
 
 
 def centres(samples: DataFrame) -> DataFrame:
@@ -303,7 +303,7 @@ def centres(samples: DataFrame) -> DataFrame:
         if held:
             yield row()
 
-    return samples.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "cell long, centre array<long>")
+    return samples.repartition("cell").sortWithinPartitions("cell").mapInArrow(released(run), "cell long, centre array<long>")
 
 
 def differences(members: DataFrame, ranks: np.ndarray) -> DataFrame:
@@ -318,7 +318,7 @@ def differences(members: DataFrame, ranks: np.ndarray) -> DataFrame:
                 out.append(e[np.lexsort((e, ranks[(e >> np.uint64(64 - bits)).astype(np.int64)]))])
             yield pa.RecordBatch.from_arrays([batch.column("cell"), batch.column("k"), batch.column("n"), pa.array([len(e) for e in out], pa.int64()), long_lists(out)], ["cell", "k", "n", "m", "e"])
 
-    return members.mapInArrow(run, "cell long, k long, n long, m long, e array<long>")
+    return members.mapInArrow(released(run), "cell long, k long, n long, m long, e array<long>")
 
 
 def cell_links(members: DataFrame, ranks: np.ndarray, percent: int) -> DataFrame:

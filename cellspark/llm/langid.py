@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pieces, texts, utf8_buffer
+from .common import pieces, released, texts, utf8_buffer
 
 #: Hash buckets of the byte trigrams; rows of a block of counts.
 DIMS, ROWS = 8192, 512
@@ -110,7 +110,7 @@ def fit_languages(
                 columns = [part.column("lang"), *(pa.array([x.tobytes() for x in out], pa.binary()) for out in ([c.astype(np.uint16) for c in cells], [v[c] for v, c in zip(counted, cells, strict=True)]))]
                 yield pa.RecordBatch.from_arrays(columns, ["lang", "cells", "n"])
 
-    got = sorted((r["lang"], bytes(r["cells"]), bytes(r["n"])) for r in few.mapInArrow(vectors, "lang string, cells binary, n binary").collect() if r["cells"])
+    got = sorted((r["lang"], bytes(r["cells"]), bytes(r["n"])) for r in few.mapInArrow(released(vectors), "lang string, cells binary, n binary").collect() if r["cells"])
     seen = np.zeros(DIMS)
     for _, cells, _ in got:
         seen[np.frombuffer(cells, np.uint16)] += 1
@@ -163,7 +163,7 @@ def identify_languages(df: DataFrame, model: LanguageModel, id_col: str = "doc_i
                 lang, score, no = predict(model, part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lang, pa.string()), pa.array(score), pa.array(no)], ["doc_id", "lang_pred", "score", "rejected"])
 
-    return texts(df, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return texts(df, id_col, text_col).mapInArrow(released(run), "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def keep_identified(df: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
@@ -177,4 +177,4 @@ def keep_identified(df: DataFrame, model: LanguageModel, text_col: str = "text")
                 column = part.column(text_col).fill_null("")
                 yield part.filter(pa.array(~predict(model, column)[2]))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(released(run), df.schema)

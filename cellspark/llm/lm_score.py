@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import BLOCK, PARTS, as_rows, batched, blocks, by_part, grouped, name_of, own_row, pack, packed, part_count, returned, steady, unpack, unpacked
-from .common import pieces, texts, written
+from .common import pieces, released, texts, written
 from .shingles import mixed, word_hashes
 
 #: Hashes that stand for a text's start and its end, which are no words.
@@ -145,7 +145,7 @@ def cross_entropy_difference(
                 out.write_batch(rows)
             yield as_rows([own_row(name_of(batch.column("text")), parts, packed(sink.getvalue().to_pybytes()))])
 
-    answers = written(by_part(docs.mapInArrow(ask, PARTS), parts).mapInArrow(answer, PARTS), "lm-counts")
+    answers = written(by_part(docs.mapInArrow(released(ask), PARTS), parts).mapInArrow(released(answer), PARTS), "lm-counts")
     sums = np.zeros(3, np.int64)
     for row in answers.where(F.octet_length("block") == 0).select("payload").toLocalIterator():  # one a part
         sums += np.frombuffer(bytes(row["payload"]), np.int64)
@@ -164,4 +164,4 @@ def cross_entropy_difference(
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
     schema = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
-    return returned(answers.where(F.octet_length("block") > 0), docs.mapInArrow(keep, PARTS), finish, schema)
+    return returned(answers.where(F.octet_length("block") > 0), docs.mapInArrow(released(keep), PARTS), finish, schema)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from .common import pieces, shared_dir, texts
+from .common import pieces, released, shared_dir, texts
 
 #: Pixels of a row.
 WIDTH = 192
@@ -206,7 +206,7 @@ def store_texts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(r) for r in raw], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     df.sparkSession.dataSource.register(MediaArchives)
-    texts(df, id_col, text_col).mapInArrow(images, MEMBERS).write.format("media_archives").mode("append").save(path)
+    texts(df, id_col, text_col).mapInArrow(released(images), MEMBERS).write.format("media_archives").mode("append").save(path)
 
 
 def load_media(spark: SparkSession, path: str, **options: str) -> DataFrame:
@@ -242,7 +242,7 @@ def media_features(media: DataFrame) -> DataFrame:
             names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.mapInArrow(released(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def text_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
