@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from .blocks import pack, unpack
 from .common import pieces, released
 
 #: Token ids, ranks among them, are below the edge; a pair that merges into nothing has the rank NO_RANK.
@@ -206,6 +207,11 @@ def byte_pairs(words: list[bytes], table: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes + 1)]).astype(np.int32)), pa.array(pairs, pa.int64()))
 
 
+def grown(a: np.ndarray, n: int) -> np.ndarray:
+    """a, or a copy of twice its length or more, with room for n."""
+    return a if len(a) >= n else np.concatenate([a, np.zeros(max(len(a), n - len(a)), a.dtype)])
+
+
 def packed_rows(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema) as out:
@@ -267,17 +273,17 @@ def encode(
                 pa.array([[int(afresh), len(new)]], pa.list_(pa.int64())),
                 pa.array([[x for i, w in long for x in (i, len(w))] + [x for i, rank in given for x in (i, -1 - rank)]], pa.list_(pa.int64())),
                 pa.ListArray.from_arrays(pa.array([0, len(short)], pa.int32()), byte_pairs(short, table)),
-                *(pa.array([x], pa.binary()) for x in (np.array(places, np.int32).tobytes(), np.array(ends, np.int64).tobytes(), packed_rows(part.select(kept)))),
+                *(pa.array([x], pa.binary()) for x in (pack(np.array(places, np.int64)), np.array(ends, np.int64).tobytes(), packed_rows(part.select(kept)))),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["head", "long", "words", "places", "ends", "rows"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sizes = [], []
+        ids, ends_of, known, used = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), 0, 0
         for batch in batches:
             for i in range(batch.num_rows):
                 afresh, new = batch.column("head")[i].as_py()
                 if afresh:
-                    ids, sizes = [], []
+                    known = used = 0
                 lists = batch.column("words").slice(i, 1).flatten()
                 pairs = lists.flatten().to_numpy(zero_copy_only=False)
                 count = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -297,15 +303,16 @@ def encode(
                         at += len(starts)
                     each = each[:new]
                     values, count = np.concatenate(each) if each else values[:0], np.array([len(x) for x in each], np.int64)
-                ids.append(values)
-                sizes.append(count)
-                flat, n = np.concatenate(ids), np.concatenate(sizes)
-                ids, sizes = [flat], [n]
-                places = np.frombuffer(batch.column("places")[i].as_py(), np.int32)
+                ids, ends_of = grown(ids, used + len(values)), grown(ends_of, known + new)
+                ids[used : used + len(values)] = values
+                ends_of[known : known + new] = used + np.cumsum(count)
+                known, used = known + new, used + len(values)
+                places = unpack(batch.column("places")[i].as_py())[0].astype(np.int64)
                 ends = np.frombuffer(batch.column("ends")[i].as_py(), np.int64)
-                count = n[places]
+                start = np.where(places > 0, ends_of[places - 1], 0)
+                count = ends_of[places] - start
                 stop = np.concatenate([[0], np.cumsum(count)])
-                out = flat[np.arange(stop[-1]) - np.repeat(stop[:-1] - (np.cumsum(n) - n)[places], count)]
+                out = ids[np.arange(stop[-1]) - np.repeat(stop[:-1] - start, count)]
                 rows = pa.ipc.open_stream(batch.column("rows")[i].as_py()).read_next_batch()
                 lists = pa.ListArray.from_arrays(pa.array(stop[ends].astype(np.int32)), pa.array(out, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), lists], [*kept, ids_col])
