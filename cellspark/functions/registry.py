@@ -7,6 +7,8 @@ import json
 from collections.abc import Callable
 from typing import Any
 
+from pyspark.sql import functions as F
+
 #: A bundle of relations by name; transforms take one and give one.
 Relations = dict[str, Any]
 Transform = Callable[..., Relations]
@@ -68,23 +70,44 @@ def chain(config: dict | None) -> Callable[[Relations], Relations]:
     return run
 
 
-def cache_key(config: dict | None) -> str:
-    """Names of the steps and a digest of their parameters: the folder of a chain's results."""
+def make_hash(value: Any) -> int:
+    """A number below 2**32 - 1 from the SHA-1 of a value's text."""
+    return int(hashlib.sha1(str(value).encode()).hexdigest(), 16) % ((1 << 32) - 1)
+
+
+def content_key(relations: Relations) -> str:
+    """A digest of all rows of the relations, in any order: sums of two hashes, and counts, one aggregate each."""
+    parts = []
+    for name in sorted(relations):
+        df = relations[name]
+        columns = [F.to_json(F.struct(c)) for c in sorted(df.columns)]
+        sums = [F.sum(F.xxhash64(F.lit(seed), *columns).cast("decimal(38,0)")) for seed in (1, 2)]
+        parts.append((name, sorted(df.dtypes), *map(str, df.agg(F.count(F.lit(1)), *sums).first())))
+    return hashlib.sha1(json.dumps(plain(parts)).encode()).hexdigest()[:16]
+
+
+def cache_key(config: dict | None, content: str = "") -> str:
+    """Names of the steps and a digest of their parameters and of the data: the folder of a chain's results."""
     steps = steps_of(config)
-    digest = hashlib.sha1(json.dumps(plain([list(s) for s in steps]), sort_keys=True).encode()).hexdigest()
+    digest = hashlib.sha1(json.dumps([content, plain([list(s) for s in steps])], sort_keys=True).encode()).hexdigest()
     return f"{'_'.join(name for name, _ in steps) or 'raw'}/{digest[:16]}"
 
 
 def cached(spark, base: str, relations: Relations, config: dict | None) -> Relations:
-    """The chain's results as Parquet below base, made where they are missing. Each relation is written whole before the
-    list of relations, so a folder without the list counts as missing."""
+    """The chain's results as Parquet below base, made where they are missing: for these relations, as other rows under the
+    same base give another folder. Each relation is written whole before the list of relations, which holds the
+    parameters too, so a folder without the list counts as missing; one with other parameters is an error."""
     fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    root = f"{base.rstrip('/')}/{cache_key(config)}"
+    root = f"{base.rstrip('/')}/{cache_key(config, content_key(relations))}"
+    manifest = json.dumps(plain([list(s) for s in steps_of(config)]), sort_keys=True)
     files = fs_path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not files.exists(fs_path(f"{root}/_relations")):
         made = chain(config)(relations)
         for name, df in made.items():
             df.write.mode("overwrite").parquet(f"{root}/{name}")
-        spark.createDataFrame([(n,) for n in sorted(made)], "name string").coalesce(1).write.mode("overwrite").parquet(f"{root}/_relations")
-    names = [r["name"] for r in spark.read.parquet(f"{root}/_relations").collect()]
+        spark.createDataFrame([(n, manifest) for n in sorted(made)], "name string, parameters string").coalesce(1).write.mode("overwrite").parquet(f"{root}/_relations")
+    listed = spark.read.parquet(f"{root}/_relations").collect()
+    if any(r["parameters"] != manifest for r in listed):
+        raise ValueError(f"{root} holds results of other parameters")
+    names = [r["name"] for r in listed]
     return {n: spark.read.parquet(f"{root}/{n}") for n in names}

@@ -31,6 +31,11 @@ def one_hot_degrees(degree: DataFrame, most: int) -> DataFrame:
     return degree.select("node", checked.alias("x"))
 
 
+def hashed(*columns: str | Column) -> Column:
+    """A hash whose differences are longs, as dense_ids asks."""
+    return F.shiftright(F.xxhash64(*columns), 1)
+
+
 def dense_ids(df: DataFrame, id_col: str, out_col: str, rows: int = 4096) -> DataFrame:
     """df's distinct ids with 0, 1, .. in ascending order, by counts of id ranges and ranks within each."""
     ids = df.select(id_col).distinct()
@@ -136,10 +141,12 @@ def rwse(nodes: DataFrame, edges: DataFrame, steps: int) -> DataFrame:
     do not."""
     out = edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
     move = edges.select("src", "dst").distinct().join(out.toDF("src", "degree"), "src").select("src", "dst", (1 / F.col("degree")).alias("p"))
+    move = written(move, "moves")
     power, found = move, []
     for k in range(1, steps + 1):
         if k > 1:
             power = power.toDF("src", "mid", "p").join(move.toDF("mid", "dst", "q"), "mid").groupBy("src", "dst").agg(F.sum(F.col("p") * F.col("q")).alias("p"))
+            power = written(power, "power") if k < steps else power  # read by its diagonal and by the next step
         found.append(power.where("src = dst").select(F.col("src").alias("node"), F.lit(k).alias("step"), "p"))
     every = found[0]
     for f in found[1:]:

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: The market segments of the customer table.
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -28,14 +32,24 @@ def sparse_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bought_together(baskets(spark, sf_dir), 2)
 
 
-def small_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = table(spark, sf_dir, "part").where("p_size <= 10")
-    return parts.select(F.col("p_partkey").alias("node"), F.col("p_retailprice").alias("x"), F.col("p_type").alias("y"), F.col("p_size").alias("size"))
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts as nodes (node, x, y, size)."""
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.col("p_retailprice").alias("x"), F.col("p_type").alias("y"), F.col("p_size").alias("size"))
+
+
+def dense_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that any order holds together; w counts the orders."""
+    return bought_together(baskets(spark, sf_dir))
 
 
-def clustered_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Small parts that some order holds together; w counts the orders."""
-    return bought_together(baskets(spark, sf_dir).join(small_parts(spark, sf_dir).select("node"), "node", "left_semi").select("he", "node"))
+def trade(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A connected graph of few nodes: nations, and market segments numbered from 100 on, joined by customers; w counts
+    them."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("src"), "c_mktsegment")
+    names = F.array(*(F.lit(s) for s in SEGMENTS))
+    edges = rows.groupBy("src", (F.array_position(names, F.col("c_mktsegment")) + 99).alias("dst")).agg(F.count(F.lit(1)).alias("w"))
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    return nodes, edges
 
 
 def customer_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,3 +58,11 @@ def customer_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = baskets(spark, sf_dir).join(orders, "he").select("graph_id", "node").distinct()
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.col("p_retailprice").alias("x"))
     return nodes.join(parts, "node").select("graph_id", "node", "x")
+
+
+def customer_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(graph_id, src < dst): the pairs of parts that some order of the customer holds."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("he"), F.col("o_custkey").alias("graph_id"))
+    members = baskets(spark, sf_dir).join(orders, "he")
+    a, b = members.toDF("he", "src", "graph_id"), members.select("he", F.col("node").alias("dst"))
+    return a.join(b, "he").where("src < dst").select("graph_id", "src", "dst").distinct()

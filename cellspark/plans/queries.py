@@ -13,6 +13,7 @@ from ..operators import graph as gr
 from ..operators import hypergraph as hy
 from ..operators import points as pt
 from . import graphs as gs
+from .storage import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -20,8 +21,8 @@ ORACLES: dict[str, str] = {}
 
 #: Common table expressions of the oracles.
 BASKETS = "m AS (SELECT DISTINCT l_orderkey AS he, l_partkey AS node FROM lineitem)"
-SPARSE = f"{BASKETS}, e AS (SELECT a.node AS src, b.node AS dst, count(*) AS w FROM m a JOIN m b ON a.he = b.he AND a.node < b.node GROUP BY 1, 2 HAVING count(*) >= 2), v AS (SELECT p_partkey AS node FROM part)"
-SMALL = f"{BASKETS}, v AS (SELECT p_partkey AS node, p_retailprice AS x, p_type AS y FROM part WHERE p_size <= 10), sm AS (SELECT he, node FROM m SEMI JOIN v USING (node)), e AS (SELECT a.node AS src, b.node AS dst, count(*) AS w FROM sm a JOIN sm b ON a.he = b.he AND a.node < b.node GROUP BY 1, 2)"
+SPARSE = f"{BASKETS}, e AS (SELECT a.node AS src, b.node AS dst, count(*) AS w FROM m a JOIN m b ON a.he = b.he AND a.node < b.node GROUP BY 1, 2 HAVING count(*) >= 2), v AS (SELECT p_partkey AS node, p_retailprice AS x, p_type AS y FROM part)"
+DENSE = f"{BASKETS}, v AS (SELECT p_partkey AS node, p_retailprice AS x, p_type AS y FROM part), e AS (SELECT a.node AS src, b.node AS dst, count(*) AS w FROM m a JOIN m b ON a.he = b.he AND a.node < b.node GROUP BY 1, 2)"
 BOTH = "s AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
 TRI = "t AS (SELECT x.src AS a, x.dst AS b, y.dst AS c FROM e x JOIN e y ON x.src = y.src AND x.dst < y.dst JOIN e z ON z.src = x.dst AND z.dst = y.dst)"
 # Signed incidence between edges and triangles, and nodes and edges; keys as text.
@@ -39,66 +40,70 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def small(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return gs.small_parts(spark, d), gs.clustered_graph(spark, d)
+def dense(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return gs.parts(spark, d), written(gs.dense_graph(spark, d), "dense")
 
 
 def sparse(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return gs.table(spark, d, "part").select(F.col("p_partkey").alias("node")), gs.sparse_graph(spark, d)
+    return gs.parts(spark, d), written(gs.sparse_graph(spark, d), "sparse")
 
 
 def cells(spark: SparkSession, d: str, dim: int = 2) -> DataFrame:
-    nodes, edges = small(spark, d)
-    return cx.clique_lifting(nodes, edges, dim)
+    """The clique complex of the dense graph, written once, as operators read it several times."""
+    return written(cx.clique_lifting(*dense(spark, d), dim), "cells")
+
+
+def sparse_cells(spark: SparkSession, d: str, dim: int = 2) -> DataFrame:
+    return written(cx.clique_lifting(*sparse(spark, d), dim), "cells")
 
 
 def shown(m: DataFrame) -> DataFrame:
     return m.select(cx.text("row").alias("r"), cx.text("col").alias("c"), F.col("val").cast("double").alias("val"))
 
 
-@query("clique_lifting_projection_sum", f"WITH {SMALL}, {TRI} SELECT a || '-' || b || '-' || c AS cell, round(2 * (p.x + q.x + r.x), 4) AS x FROM t JOIN v p ON p.node = a JOIN v q ON q.node = b JOIN v r ON r.node = c")
+@query("clique_lifting_projection_sum", f"WITH {DENSE}, {TRI} SELECT a || '-' || b || '-' || c AS cell, round(2 * (p.x + q.x + r.x), 4) AS x FROM t JOIN v p ON p.node = a JOIN v q ON q.node = b JOIN v r ON r.node = c")
 def clique_lifting_projection_sum(spark, d):
     c = cells(spark, d)
-    x0 = gs.small_parts(spark, d).select(F.array("node").alias("cell"), "x")
+    x0 = gs.parts(spark, d).select(F.array("node").alias("cell"), "x")
     x2 = cx.projection_sum(cx.projection_sum(x0, cx.incidence(c, 1)), cx.incidence(c, 2))
     return x2.select(cx.text("cell").alias("cell"), F.round("x", 4).alias("x"))
 
 
-@query("concatenation_rank1", f"WITH {SMALL} SELECT src || '-' || dst AS cell, round(p.x, 4) AS first, round(q.x, 4) AS second FROM e JOIN v p ON p.node = src JOIN v q ON q.node = dst")
+@query("concatenation_rank1", f"WITH {DENSE} SELECT src || '-' || dst AS cell, round(p.x, 4) AS first, round(q.x, 4) AS second FROM e JOIN v p ON p.node = src JOIN v q ON q.node = dst")
 def concatenation_rank1(spark, d):
-    x0 = gs.small_parts(spark, d).select(F.array("node").alias("cell"), F.array("x").alias("x"))
+    x0 = gs.parts(spark, d).select(F.array("node").alias("cell"), F.array("x").alias("x"))
     got = cx.concatenation(x0, cx.incidence(cells(spark, d), 1))
     return got.select(cx.text("cell").alias("cell"), F.round(F.get("x", F.lit(0)), 4).alias("first"), F.round(F.get("x", F.lit(1)), 4).alias("second"))
 
 
-@query("set_lifting_rank2", f"WITH {SMALL}, {TRI} SELECT a || '-' || b || '-' || c AS cell, a || '-' || b || '-' || c AS x FROM t")
+@query("set_lifting_rank2", f"WITH {DENSE}, {TRI} SELECT a || '-' || b || '-' || c AS cell, a || '-' || b || '-' || c AS x FROM t")
 def set_lifting_rank2(spark, d):
     return cx.set_lifting(cells(spark, d), 2).select(cx.text("cell").alias("cell"), cx.text("x").alias("x"))
 
 
-@query("clique_tetrahedra", f"WITH {SMALL}, {TRI} SELECT a || '-' || b || '-' || c || '-' || z.dst AS cell FROM t JOIN e x ON x.src = a JOIN e y ON y.src = b AND y.dst = x.dst JOIN e z ON z.src = c AND z.dst = x.dst")
+@query("clique_tetrahedra", f"WITH {DENSE}, {TRI} SELECT a || '-' || b || '-' || c || '-' || z.dst AS cell FROM t JOIN e x ON x.src = a JOIN e y ON y.src = b AND y.dst = x.dst JOIN e z ON z.src = c AND z.dst = x.dst")
 def clique_tetrahedra(spark, d):
     return cells(spark, d, 3).where("rank = 3").select(cx.text("key").alias("cell"))
 
 
-@query("maximal_triangles", f"WITH {SMALL}, {TRI}, k AS (SELECT a, b, c, z.dst AS f FROM t JOIN e x ON x.src = a JOIN e y ON y.src = b AND y.dst = x.dst JOIN e z ON z.src = c AND z.dst = x.dst), i AS (SELECT a, b, c FROM k UNION SELECT a, b, f FROM k UNION SELECT a, c, f FROM k UNION SELECT b, c, f FROM k) SELECT a || '-' || b || '-' || c AS cell FROM (SELECT * FROM t EXCEPT SELECT * FROM i)")
+@query("maximal_triangles", f"WITH {DENSE}, {TRI}, k AS (SELECT a, b, c, z.dst AS f FROM t JOIN e x ON x.src = a JOIN e y ON y.src = b AND y.dst = x.dst JOIN e z ON z.src = c AND z.dst = x.dst), i AS (SELECT a, b, c FROM k UNION SELECT a, b, f FROM k UNION SELECT a, c, f FROM k UNION SELECT b, c, f FROM k) SELECT a || '-' || b || '-' || c AS cell FROM (SELECT * FROM t EXCEPT SELECT * FROM i)")
 def maximal_triangles(spark, d):
     return cx.maximal_triangles(cells(spark, d, 3)).select(cx.text("key").alias("cell"))
 
 
-@query("coface_cells", f"WITH {SMALL}, {TRI}, f AS (SELECT a || '-' || b || '-' || c AS id, unnest([a || '-' || b, a || '-' || c, b || '-' || c]) AS side, a, b, c FROM t), n AS (SELECT f.id, unnest([g.a, g.b, g.c]) AS node FROM f JOIN f g USING (side)) SELECT DISTINCT string_agg(node::VARCHAR, '-' ORDER BY node) AS cell FROM (SELECT DISTINCT id, node FROM n) GROUP BY id")
+@query("coface_cells", f"WITH {SPARSE}, {TRI}, f AS (SELECT a || '-' || b || '-' || c AS id, unnest([a || '-' || b, a || '-' || c, b || '-' || c]) AS side, a, b, c FROM t), n AS (SELECT f.id, unnest([g.a, g.b, g.c]) AS node FROM f JOIN f g USING (side)) SELECT DISTINCT string_agg(node::VARCHAR, '-' ORDER BY node) AS cell FROM (SELECT DISTINCT id, node FROM n) GROUP BY id")
 def coface_cells(spark, d):
-    return cx.coface_lifting(cells(spark, d)).select(cx.text("key").alias("cell"))
+    return cx.coface_lifting(sparse_cells(spark, d)).select(cx.text("key").alias("cell"))
 
 
-@query("incidence_1_signed", f"WITH {SMALL}, {B1} SELECT r, c, val::DOUBLE AS val FROM b1")
+@query("incidence_1_signed", f"WITH {SPARSE}, {B1} SELECT r, c, val::DOUBLE AS val FROM b1")
 def incidence_1(spark, d):
-    return shown(cx.incidence(cells(spark, d), 1, True))
+    return shown(cx.incidence(sparse_cells(spark, d), 1, True))
 
 
-@query("incidence_2_signed", f"WITH {SMALL}, {TRI}, {B2} SELECT r, c, val::DOUBLE AS val FROM b2")
+@query("incidence_2_signed", f"WITH {SPARSE}, {TRI}, {B2} SELECT r, c, val::DOUBLE AS val FROM b2")
 def incidence_2(spark, d):
-    return shown(cx.incidence(cells(spark, d), 2, True))
+    return shown(cx.incidence(sparse_cells(spark, d), 2, True))
 
 
 def squared(b: str, up: bool, signed: bool) -> str:
@@ -114,18 +119,18 @@ for _name, _ctes, _b, _up in (
     ("down_laplacian-2", f"{TRI}, {B2}", "b2", False),
 ):
     for _signed in (False, True):
-        query(_name.replace("-", "_") + "_signed" * _signed, f"WITH {SMALL}, {_ctes} {squared(_b, _up, _signed)}")(lambda spark, d, n=_name, s=_signed: shown(cx.neighborhood(cells(spark, d), n, s)))
+        query(_name.replace("-", "_") + "_signed" * _signed, f"WITH {SPARSE}, {_ctes} {squared(_b, _up, _signed)}")(lambda spark, d, n=_name, s=_signed: shown(cx.neighborhood(sparse_cells(spark, d), n, s)))
     _off = _name.replace("laplacian", "adjacency")
-    query(_off.replace("-", "_"), f"WITH {SMALL}, {_ctes}, q AS ({squared(_b, _up, True)}) SELECT r, c, 1.0::DOUBLE AS val FROM q WHERE r <> c")(lambda spark, d, n=_off: shown(cx.neighborhood(cells(spark, d), n)))
+    query(_off.replace("-", "_"), f"WITH {SPARSE}, {_ctes}, q AS ({squared(_b, _up, True)}) SELECT r, c, 1.0::DOUBLE AS val FROM q WHERE r <> c")(lambda spark, d, n=_off: shown(cx.neighborhood(sparse_cells(spark, d), n)))
 
-query("hodge_laplacian_1_signed", f"WITH {SMALL}, {TRI}, {B1}, {B2}, u AS ({squared('b2', True, True)}), w AS ({squared('b1', False, True)}) SELECT r, c, sum(val)::DOUBLE AS val FROM (SELECT * FROM u UNION ALL SELECT * FROM w) GROUP BY 1, 2 HAVING sum(val) <> 0")(lambda spark, d: shown(cx.neighborhood(cells(spark, d), "hodge_laplacian-1", True)))
-query("two_step_down_incidence_2", f"WITH {SMALL}, {TRI} SELECT unnest([a, b, c])::VARCHAR AS r, a || '-' || b || '-' || c AS c, 1.0::DOUBLE AS val FROM t")(lambda spark, d: shown(cx.neighborhood(cells(spark, d), "2-down_incidence-2")))
-query("two_step_up_adjacency_0", f"WITH {SMALL}, {TRI}, p AS (SELECT a, b FROM t UNION SELECT a, c FROM t UNION SELECT b, c FROM t) SELECT a::VARCHAR AS r, b::VARCHAR AS c, 1.0::DOUBLE AS val FROM (SELECT a, b FROM p UNION SELECT b, a FROM p)")(lambda spark, d: shown(cx.neighborhood(cells(spark, d), "2-up_adjacency-0")))
+query("hodge_laplacian_1_signed", f"WITH {SPARSE}, {TRI}, {B1}, {B2}, u AS ({squared('b2', True, True)}), w AS ({squared('b1', False, True)}) SELECT r, c, sum(val)::DOUBLE AS val FROM (SELECT * FROM u UNION ALL SELECT * FROM w) GROUP BY 1, 2 HAVING sum(val) <> 0")(lambda spark, d: shown(cx.neighborhood(sparse_cells(spark, d), "hodge_laplacian-1", True)))
+query("two_step_down_incidence_2", f"WITH {SPARSE}, {TRI} SELECT unnest([a, b, c])::VARCHAR AS r, a || '-' || b || '-' || c AS c, 1.0::DOUBLE AS val FROM t")(lambda spark, d: shown(cx.neighborhood(sparse_cells(spark, d), "2-down_incidence-2")))
+query("two_step_up_adjacency_0", f"WITH {SPARSE}, {TRI}, p AS (SELECT a, b FROM t UNION SELECT a, c FROM t UNION SELECT b, c FROM t) SELECT a::VARCHAR AS r, b::VARCHAR AS c, 1.0::DOUBLE AS val FROM (SELECT a, b FROM p UNION SELECT b, a FROM p)")(lambda spark, d: shown(cx.neighborhood(sparse_cells(spark, d), "2-up_adjacency-0")))
 
 
-@query("node_degrees", f"WITH {SMALL} SELECT v.node, count(e.src) AS degree FROM v LEFT JOIN e ON e.src = v.node GROUP BY 1")
+@query("node_degrees", f"WITH {DENSE} SELECT v.node, count(e.src) AS degree FROM v LEFT JOIN e ON e.src = v.node GROUP BY 1")
 def node_degrees(spark, d):
-    return gr.degrees(*small(spark, d))
+    return gr.degrees(*dense(spark, d))
 
 
 @query("one_hot_degrees", f"WITH {SPARSE}, {BOTH}, g AS (SELECT v.node, count(s.src) AS k FROM v LEFT JOIN s ON s.src = v.node GROUP BY 1) SELECT node, array_to_string(list_transform(range(0, 65), lambda i: CASE WHEN i = k THEN '1' ELSE '0' END), '') AS x FROM g")
@@ -166,14 +171,14 @@ def line_graph(spark, d):
     return cx.line_graph(sparse(spark, d)[1]).select(cx.text("row").alias("r"), cx.text("col").alias("c"))
 
 
-@query("forman_ricci", f"WITH {SMALL}, s AS (SELECT node, sum(1 / sqrt(w)) AS k FROM (SELECT src AS node, w FROM e UNION ALL SELECT dst, w FROM e) GROUP BY 1) SELECT src, dst, round(2 - w * (1 / sqrt(w) * (a.k - 1 / sqrt(w)) + 1 / sqrt(w) * (b.k - 1 / sqrt(w))), 6) AS curvature FROM e JOIN s a ON a.node = src JOIN s b ON b.node = dst")
+@query("forman_ricci", f"WITH {DENSE}, s AS (SELECT node, sum(1 / sqrt(w)) AS k FROM (SELECT src AS node, w FROM e UNION ALL SELECT dst, w FROM e) GROUP BY 1) SELECT src, dst, round(2 - w * (1 / sqrt(w) * (a.k - 1 / sqrt(w)) + 1 / sqrt(w) * (b.k - 1 / sqrt(w))), 6) AS curvature FROM e JOIN s a ON a.node = src JOIN s b ON b.node = dst")
 def forman_ricci(spark, d):
-    return gr.forman_curvature(small(spark, d)[1]).withColumn("curvature", F.round("curvature", 6))
+    return gr.forman_curvature(dense(spark, d)[1]).withColumn("curvature", F.round("curvature", 6))
 
 
-@query("forman_quantile_components", f"WITH RECURSIVE {SMALL}, g AS (SELECT node, count(*) AS k FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY 1), f AS (SELECT src, dst, 4 - a.k - b.k AS q FROM e JOIN g a ON a.node = src JOIN g b ON b.node = dst), h AS (SELECT src, dst FROM f WHERE q <= (SELECT quantile_cont(q, 0.6) FROM f)), s AS (SELECT src, dst FROM h UNION SELECT dst, src FROM h), r AS (SELECT node, node AS seen FROM v UNION SELECT r.node, s.dst FROM r JOIN s ON s.src = r.seen) SELECT node, min(seen) AS comp FROM r GROUP BY 1")
+@query("forman_quantile_components", f"WITH RECURSIVE {SPARSE}, g AS (SELECT node, count(*) AS k FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY 1), f AS (SELECT src, dst, 4 - a.k - b.k AS q FROM e JOIN g a ON a.node = src JOIN g b ON b.node = dst), h AS (SELECT src, dst FROM f WHERE q <= (SELECT quantile_cont(q, 0.6) FROM f)), s AS (SELECT src, dst FROM h UNION SELECT dst, src FROM h), r AS (SELECT node, node AS seen FROM v UNION SELECT r.node, s.dst FROM r JOIN s ON s.src = r.seen) SELECT node, min(seen) AS comp FROM r GROUP BY 1")
 def forman_quantile_components(spark, d):
-    nodes, edges = small(spark, d)
+    nodes, edges = sparse(spark, d)
     bent = gr.forman_curvature(edges.withColumn("w", F.lit(1.0)))
     bar = bent.agg(F.percentile("curvature", F.lit(0.6)).alias("bar"))
     kept = bent.crossJoin(F.broadcast(bar)).where("curvature <= bar + 1e-9")  # one row
@@ -186,14 +191,14 @@ def rwse_4(spark, d):
     return gr.rwse(nodes, gr.symmetric(edges), 4).withColumn("p", F.round("p", 6))
 
 
-@query("clustering_coefficient", f"WITH {SMALL}, {BOTH}, {TRI}, g AS (SELECT v.node, count(s.src) AS k FROM v LEFT JOIN s ON s.src = v.node GROUP BY 1), n AS (SELECT unnest([a, b, c]) AS node FROM t), c AS (SELECT node, count(*) AS t FROM n GROUP BY 1) SELECT node, round(CASE WHEN k > 1 THEN 2.0 * coalesce(t, 0) / (k * (k - 1)) ELSE 0 END, 6)::DOUBLE AS coefficient FROM g LEFT JOIN c USING (node)")
+@query("clustering_coefficient", f"WITH {DENSE}, {BOTH}, {TRI}, g AS (SELECT v.node, count(s.src) AS k FROM v LEFT JOIN s ON s.src = v.node GROUP BY 1), n AS (SELECT unnest([a, b, c]) AS node FROM t), c AS (SELECT node, count(*) AS t FROM n GROUP BY 1) SELECT node, round(CASE WHEN k > 1 THEN 2.0 * coalesce(t, 0) / (k * (k - 1)) ELSE 0 END, 6)::DOUBLE AS coefficient FROM g LEFT JOIN c USING (node)")
 def clustering_coefficient(spark, d):
-    return gr.clustering(*small(spark, d)).withColumn("coefficient", F.round("coefficient", 6))
+    return gr.clustering(*dense(spark, d)).withColumn("coefficient", F.round("coefficient", 6))
 
 
-@query("degree_centrality", f"WITH {SMALL}, {BOTH} SELECT v.node, round(count(s.src) / ((SELECT count(*) FROM v) - 1), 6)::DOUBLE AS centrality FROM v LEFT JOIN s ON s.src = v.node GROUP BY 1")
+@query("degree_centrality", f"WITH {DENSE}, {BOTH} SELECT v.node, round(count(s.src) / ((SELECT count(*) FROM v) - 1), 6)::DOUBLE AS centrality FROM v LEFT JOIN s ON s.src = v.node GROUP BY 1")
 def degree_centrality(spark, d):
-    nodes, edges = small(spark, d)
+    nodes, edges = dense(spark, d)
     n = nodes.agg(F.count(F.lit(1)).alias("n"))
     return gr.degrees(nodes, gr.symmetric(edges)).crossJoin(F.broadcast(n)).select("node", F.round(F.col("degree") / (F.col("n") - 1), 6).alias("centrality"))
 
@@ -203,14 +208,14 @@ def pagerank_10(spark, d):
     return gr.pagerank(*sparse(spark, d)).withColumn("rank", F.round("rank", 9))
 
 
-@query("gcn_propagate", f"WITH {SMALL}, s AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e UNION ALL SELECT node, node FROM v), g AS (SELECT src, count(*) AS k FROM s GROUP BY 1) SELECT s.dst AS node, round(sum(v.x / sqrt(a.k)) / sqrt(any_value(b.k)), 4) AS x FROM s JOIN v ON v.node = s.src JOIN g a ON a.src = s.src JOIN g b ON b.src = s.dst GROUP BY 1")
+@query("gcn_propagate", f"WITH {DENSE}, s AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e UNION ALL SELECT node, node FROM v), g AS (SELECT src, count(*) AS k FROM s GROUP BY 1) SELECT s.dst AS node, round(sum(v.x / sqrt(a.k)) / sqrt(any_value(b.k)), 4) AS x FROM s JOIN v ON v.node = s.src JOIN g a ON a.src = s.src JOIN g b ON b.src = s.dst GROUP BY 1")
 def gcn_propagate(spark, d):
-    return gr.gcn_propagate(*small(spark, d)).withColumn("x", F.round("x", 4))
+    return gr.gcn_propagate(*dense(spark, d)).withColumn("x", F.round("x", 4))
 
 
-@query("modularity_entries", f"WITH {SMALL}, {BOTH}, g AS (SELECT src, count(*) AS k FROM s GROUP BY 1), n AS (SELECT count(*) / 2 AS m FROM s) SELECT s.src, s.dst, round(1 - a.k * b.k / (2 * m), 6)::DOUBLE AS b FROM s JOIN g a ON a.src = s.src JOIN g b ON b.src = s.dst CROSS JOIN n")
+@query("modularity_entries", f"WITH {DENSE}, {BOTH}, g AS (SELECT src, count(*) AS k FROM s GROUP BY 1), n AS (SELECT count(*) / 2 AS m FROM s) SELECT s.src, s.dst, round(1 - a.k * b.k / (2 * m), 6)::DOUBLE AS b FROM s JOIN g a ON a.src = s.src JOIN g b ON b.src = s.dst CROSS JOIN n")
 def modularity_entries(spark, d):
-    nodes, edges = small(spark, d)
+    nodes, edges = dense(spark, d)
     both = gr.symmetric(edges)
     deg = both.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("k"))
     m = both.agg((F.count(F.lit(1)) / 2).alias("m"))

@@ -25,27 +25,32 @@ def triangulations(spark: SparkSession, path: str, dim: int = 2) -> tuple[DataFr
 
 
 def counties(stats: DataFrame, links: DataFrame, target: str = "Election") -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of county tables: decimal commas become points, what is no number becomes the column's mean, links
-    and counties without each other go, as do self-loops; counties are renumbered 0, 1, .. and links go both ways.
+    """(nodes, edges) of county tables: decimal commas of incomes become points, what is no number becomes the column's
+    mean. Links stay between known counties, counties that occur as a link's source and as one's end; self-loops go;
+    counties without a link go, the rest are renumbered 0, 1, .. and links go both ways.
 
-    nodes has node, x (the columns but the target's) and y; the target `Election` is (DEM - GOP) / (DEM + GOP).
+    nodes has node, x (the columns but the target's, the election's last) and y; `Election` is (DEM - GOP) / (DEM + GOP).
     """
-    numbers = stats.select(*(F.expr(f"try_cast(regexp_replace(cast(`{c}` AS string), ',', '.') AS double)").alias(c) for c in COUNTY))
+    point = "regexp_replace(cast(`MedianIncome` AS string), ',', '.')"
+    numbers = stats.select(*(F.expr(f"try_cast({point if c == 'MedianIncome' else f'cast(`{c}` AS string)'} AS double)").alias(c) for c in COUNTY))
     means = numbers.agg(*(F.avg(c).alias(f"mean_{c}") for c in COUNTY[1:]))
     numbers = numbers.where("FIPS IS NOT NULL").crossJoin(F.broadcast(means))  # one row
     numbers = numbers.select(F.col("FIPS").cast("long").alias("fips"), *(F.coalesce(c, f"mean_{c}").alias(c) for c in COUNTY[1:]))
-    pairs = links.select(F.col("SRC").cast("long").alias("src"), F.col("DST").cast("long").alias("dst")).where("src <> dst")
-    known = numbers.select("fips")
-    pairs = pairs.join(known, pairs["src"] == known["fips"], "left_semi")
-    pairs = pairs.join(known, pairs["dst"] == known["fips"], "left_semi")
-    both = symmetric(pairs)
+    pairs = links.select(F.col("SRC").cast("long").alias("src"), F.col("DST").cast("long").alias("dst"))
+    for end in ("src", "dst"):
+        pairs = pairs.join(numbers.select(F.col("fips").alias(end)), end, "left_semi")
+    kept = numbers.select("fips")
+    for end in ("src", "dst"):
+        kept = kept.join(pairs.select(F.col(end).alias("fips")), "fips", "left_semi")
+    both = symmetric(pairs.where("src <> dst"))
+    for end in ("src", "dst"):
+        both = both.join(kept.select(F.col("fips").alias(end)), end, "left_semi")
+    both = both.select("src", "dst")
     ids = dense_ids(both.select(F.col("src").alias("fips")), "fips", "node")
     edges = both.join(ids.toDF("src", "s"), "src").join(ids.toDF("dst", "d"), "dst").select(F.col("s").alias("src"), F.col("d").alias("dst"))
-    election = target == "Election"
-    y = (F.col("DEM") - F.col("GOP")) / (F.col("DEM") + F.col("GOP")) if election else F.col(target)
-    used = [c for c in COUNTY[3:] if c != target]
-    nodes = numbers.join(ids, "fips").select("node", F.array(*used).alias("x"), y.alias("y"))
-    return nodes, edges
+    every = numbers.withColumn("Election", (F.col("DEM") - F.col("GOP")) / (F.col("DEM") + F.col("GOP")))
+    used = [c for c in [*COUNTY[3:], "Election"] if c != target]
+    return every.join(ids, "fips").select("node", F.array(*used).alias("x"), F.col(target).alias("y")), edges
 
 
 def hypergraph_content(spark: SparkSession, content: str, edges: str) -> tuple[DataFrame, DataFrame]:
