@@ -68,7 +68,7 @@ def utf8_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]] if len(offsets) else raw[:0], (offsets - offsets[0]) if len(offsets) else np.zeros(1, np.int64)
 
 
-def pieces(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = 3_000_000, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = 1_500_000, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
     """Batches cut so that each holds about `most` bytes of text and at most `rows` rows, or one row."""
     for batch in batches:
         if not batch.num_rows:

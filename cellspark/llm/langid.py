@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import pieces, released, texts, utf8_buffer
 
 #: Hash buckets of the byte trigrams; rows of a block of counts.
-DIMS, ROWS = 8192, 512
+DIMS, ROWS = 8192, 256
 
 _FOLD = np.full(256, 32, np.uint8)  # lower-case letters and bytes over 127 stand for themselves, the rest for a space
 _FOLD[128:] = np.arange(128, 256)
@@ -159,7 +159,7 @@ def identify_languages(df: DataFrame, model: LanguageModel, id_col: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces([batch], most=4_000_000, rows=ROWS):
+            for part in pieces([batch], rows=ROWS):
                 lang, score, no = predict(model, part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lang, pa.string()), pa.array(score), pa.array(no)], ["doc_id", "lang_pred", "score", "rejected"])
 
