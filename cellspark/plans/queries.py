@@ -203,7 +203,10 @@ def degree_centrality(spark, d):
     return gr.degrees(nodes, gr.symmetric(edges)).crossJoin(F.broadcast(n)).select("node", F.round(F.col("degree") / (F.col("n") - 1), 6).alias("centrality"))
 
 
-@query("pagerank_10")
+PAGERANK = [f"r{i} AS (SELECT v.node, k, 0.15::DOUBLE / n + 0.85::DOUBLE * (coalesce(g.s, 0) + (SELECT coalesce(sum(r), 0) FROM r{i - 1} WHERE k IS NULL) / n) AS r FROM w v CROSS JOIN c LEFT JOIN (SELECT s.dst, sum(r.r / r.k) AS s FROM s JOIN r{i - 1} r ON r.node = s.src GROUP BY 1) g ON g.dst = v.node)" for i in range(1, 11)]
+
+
+@query("pagerank_10", f"WITH {SPARSE}, {BOTH}, d AS (SELECT src, count(*) AS k FROM s GROUP BY 1), w AS (SELECT v.node, d.k FROM v LEFT JOIN d ON d.src = v.node), c AS (SELECT count(*) AS n FROM v), r0 AS (SELECT node, k, 1.0::DOUBLE / n AS r FROM w CROSS JOIN c), {', '.join(PAGERANK)} SELECT node, round(r, 9) AS rank FROM r10")
 def pagerank_10(spark, d):
     return gr.pagerank(*sparse(spark, d)).withColumn("rank", F.round("rank", 9))
 
@@ -256,11 +259,6 @@ def mean_scatter(spark, d):
     return hy.mean_scatter(gs.baskets(spark, d), x).withColumn("x", F.round("x", 4))
 
 
-@query("containment_rank")
-def containment_rank(spark, d):
-    return hy.containment_rank(gs.baskets(spark, d))
-
-
 def cloud(spark: SparkSession, d: str) -> DataFrame:
     return gs.table(spark, d, "embeddings").select(F.col("vec_id").alias("node"), F.col("embedding").cast("array<double>").alias("x"))
 
@@ -278,11 +276,6 @@ def radius_graph(spark, d):
     return pt.radius(cloud(spark, d), 1.2).withColumn("distance", F.round("distance", 6))
 
 
-@query("voronoi")
-def voronoi(spark, d):
-    return pt.voronoi(cloud(spark, d), 0.02)
-
-
 def said(spark: SparkSession, d: str) -> DataFrame:
     docs, labels = gs.table(spark, d, "documents"), gs.table(spark, d, "labels")
     return docs.join(labels, "doc_id").select(F.col("quality").alias("y"), F.when(F.col("n_chars") > 800, 1).otherwise(0).alias("pred"), F.col("n_chars").cast("double").alias("score"))
