@@ -16,6 +16,7 @@ def shard_by_bytes(
     row_overhead: int = 8,
     slack: float = 0.01,
     bucket_digits: int = 3,
+    salts: int = 1024,
 ) -> DataFrame:
     """Put every row into one of n_shards contiguous shards of near equal bytes.
 
@@ -25,8 +26,8 @@ def shard_by_bytes(
     weighs at most `slack` of a shard goes whole to the shard of its middle; in a heavier one each row goes to the
     shard of its own middle, so that a text that makes up a third of the rows spreads over shards.
 
-    Skew: texts are counted with partial aggregation before any window, so a window over distinct texts never sees
-    copies; n copies of one text are ranked in about sqrt(n) salts of sqrt(n) rows.
+    Skew: rows are dealt by text and salt throughout, so the copies of one text spread over `salts` keys, and texts are
+    counted with partial aggregation before any window; windows see a text once, or once a salt.
 
     Returns doc_id, size (UTF-8 bytes + row_overhead), text_crc32, text_md5, shard (0 ..), slot (0 .. without gaps in
     each shard). A null text counts as empty; a null id is kept, its salt is that of null; repeated rows each get a slot;
@@ -39,10 +40,13 @@ def shard_by_bytes(
             (F.octet_length("text") + F.lit(row_overhead)).cast("long").alias("size"),
             F.crc32(body).alias("text_crc32"),
             F.md5(body).alias("text_md5"),
+            F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt"),
         ),
         "shard-rows",
     )
-    groups = rows.groupBy("text_md5").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    parts = rows.groupBy("text_md5", "salt").agg(F.count(F.lit(1)).alias("sn"), F.sum("size").alias("sb"))
+    parts = written(parts, "shard-parts")  # a text has at most `salts` rows here
+    groups = parts.groupBy("text_md5").agg(F.sum("sn").alias("n"), F.sum("sb").alias("bytes"))
     groups = groups.withColumn("bucket", F.substring("text_md5", 1, bucket_digits))
 
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -68,17 +72,15 @@ def shard_by_bytes(
         "total",
         (F.col("in_rank") + F.col("bucket_rank")).alias("group_rank"),
         (F.col("in_start") + F.col("bucket_start")).alias("group_start"),
-        F.ceil(F.sqrt("n")).alias("salts"),
     )
-    placed = rows.join(groups, "text_md5").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")))
 
     # Copies of a text: rank inside a salt, plus the rows of the salts before it.
-    salts = placed.where("salts > 1").groupBy("text_md5", "salt").agg(F.count(F.lit(1)).alias("sn"))
     up_to = Window.partitionBy("text_md5").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    salts = salts.select("text_md5", "salt", F.coalesce(F.sum("sn").over(up_to), F.lit(0)).alias("salt_rank"))
-    ranked = placed.withColumn("in_salt", F.row_number().over(Window.partitionBy("text_md5", "salt").orderBy("doc_id")) - 1)
-    ranked = ranked.join(salts, ["text_md5", "salt"], "left")
-    rank = F.col("in_salt") + F.coalesce("salt_rank", F.lit(0))
+    parts = parts.select("text_md5", "salt", F.coalesce(F.sum("sn").over(up_to), F.lit(0)).alias("salt_rank"))
+    parts = written(parts.join(groups, "text_md5"), "shard-groups")
+    in_salt = F.row_number().over(Window.partitionBy("text_md5", "salt").orderBy("doc_id")) - 1
+    ranked = rows.join(parts.hint("merge"), ["text_md5", "salt"]).withColumn("in_salt", in_salt)
+    rank = F.col("in_salt") + F.col("salt_rank")
     whole_group = F.col("bytes") * n_shards <= F.col("total") * slack
     twice_middle = F.when(whole_group, F.col("group_start") * 2 + F.col("bytes")).otherwise(
         (F.col("group_start") + rank * F.col("size")) * 2 + F.col("size")

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import hashlib
 import zlib
 
@@ -31,3 +33,30 @@ def test_a_hot_text_spreads(spark):
 
 def test_empty(no_docs):
     assert shard_by_bytes(no_docs).count() == 0
+
+
+def test_matches_a_plain_rerun(docs):
+    """Shards and slots from the definition: rows in the order of digest, salt and id, cut where the middles fall."""
+    from pyspark.sql import functions as F
+
+    body = F.coalesce("text", F.lit(""))
+    rows = [tuple(r) for r in docs.select(F.md5(F.encode(body, "UTF-8")), F.pmod(F.xxhash64("doc_id"), F.lit(1024)), "doc_id", F.octet_length(body) + 8).collect()]
+    rows.sort()
+    total = sum(r[3] for r in rows)
+    start, at, expected, slots = 0, 0, [], Counter()
+    while at < len(rows):
+        group = [r for r in rows[at:] if r[0] == rows[at][0]]
+        weight = sum(r[3] for r in group)
+        for k, r in enumerate(group):
+            twice = 2 * start + weight if weight * 5 <= total * 0.01 else 2 * (start + k * r[3]) + r[3]
+            shard = min(4, twice * 5 // (2 * total))
+            expected.append((r[2], r[3], shard, slots[shard]))
+            slots[shard] += 1
+        start, at = start + weight, at + len(group)
+    got = shard_by_bytes(docs, n_shards=5).select("doc_id", "size", "shard", "slot").collect()
+    assert sorted(map(tuple, got)) == sorted(expected)
+
+
+def test_plan_has_no_python(docs):
+    plan = shard_by_bytes(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
