@@ -1,4 +1,4 @@
-"""Document fingerprints: every shingle hash, or those below a fixed share of all hashes (DataFrame operations only)."""
+"""Document fingerprints: every shingle hash below a fixed share of all hashes (DataFrame operations only)."""
 
 from __future__ import annotations
 
@@ -20,10 +20,8 @@ def word_hash_list(text: Column) -> Column:
 
 
 def sketch_of(hashes: Column, width: int, share: float) -> Column:
-    """Ascending distinct shingle hashes below `share` of the range, and always the least one; no words, no hashes.
-
-    With a share of 1 these are all hashes, so containment is exact. A lesser share estimates it, and tells nothing of a
-    text without a hash below the share: a longer text that holds the same shingle may not keep its hash.
+    """below: ascending distinct shingle hashes below `share` of the range, and no other; least: the least hash of all, null
+    without words. Apart from it, a sketch says nothing of a text without a hash below the threshold.
 
     hashes must be a column of its own, since each shingle reads it `width` times.
     """
@@ -32,16 +30,13 @@ def sketch_of(hashes: Column, width: int, share: float) -> Column:
         n >= width,
         F.transform(F.sequence(F.lit(0), n - width), lambda i: F.xxhash64(*(F.get(hashes, i + k) for k in range(width)))),
     ).otherwise(F.when(n > 0, F.array(F.xxhash64(F.array_join(hashes.cast("array<string>"), " ")))).otherwise(F.array().cast("array<bigint>")))
-    if share >= 1:
-        return F.array_sort(F.array_distinct(shingles))
-    below = F.lit(LEAST + int(share * (1 << 64)))
-    return F.get(
-        F.transform(
-            F.array(shingles),
-            lambda s: F.array_sort(F.array_union(F.filter(s, lambda h: h < below), F.when(F.size(s) > 0, F.array(F.array_min(s))).otherwise(F.array().cast("array<bigint>")))),
-        ),
-        F.lit(0),
-    )
+    below = F.lit(min(LEAST + int(share * (1 << 64)), -LEAST - 1))
+
+    def both(s: Column) -> Column:
+        kept = s if share >= 1 else F.filter(s, lambda h: h < below)
+        return F.struct(F.array_sort(F.array_distinct(kept)).alias("below"), F.array_min(s).alias("least"))
+
+    return F.get(F.transform(F.array(shingles), both), F.lit(0))
 
 
 def add_sketch(df: DataFrame, text_col: str, out_col: str, width: int, share: float) -> DataFrame:
@@ -49,22 +44,32 @@ def add_sketch(df: DataFrame, text_col: str, out_col: str, width: int, share: fl
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Containment of the smaller sketch in the larger, 0 to 1; two empty ones are alike, an empty one is unlike others."""
-    least = F.least(F.size(a), F.size(b))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when(least == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / least)
+    """Containment of the smaller text in the larger, 0 to 1, estimated as that of the smaller sketch in the larger. Where a
+    sketch is empty, whether the least hashes are the same; two texts without words are alike, one is unlike others."""
+    least = F.least(F.size(a["below"]), F.size(b["below"]))
+    same = F.when(a["least"].eqNullSafe(b["least"]), 1.0).otherwise(0.0)
+    return F.when(least == 0, same).otherwise(F.size(F.array_intersect(a["below"], b["below"])) / least)
+
+
+def merged(a: Column, b: Column) -> Column:
+    """The sketch of two texts' shingles together, from their sketches of one width and share."""
+    return F.struct(F.array_sort(F.array_union(a["below"], b["below"])).alias("below"), F.least(a["least"], b["least"]).alias("least"))
 
 
 def as_text(sketch: Column) -> Column:
-    """The hashes as 16 hexadecimal digits each; merging two fingerprints is the union of their hashes."""
-    return F.lower(F.array_join(F.transform(sketch, lambda h: F.lpad(F.hex(h), 16, "0")), ""))
+    """The hashes as 16 hexadecimal digits each; of an empty sketch the least hash after a sign."""
+    digits = F.lower(F.array_join(F.transform(sketch["below"], lambda h: F.lpad(F.hex(h), 16, "0")), ""))
+    return F.when(F.size(sketch["below"]) > 0, digits).otherwise(F.coalesce(F.concat(F.lit("+"), F.lower(F.lpad(F.hex(sketch["least"]), 16, "0"))), F.lit("")))
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, share: float = 1.0) -> DataFrame:
-    """Returns doc_id and sketch (array of longs) for every row, of its whole text; no shuffle.
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, share: float = 0.5) -> DataFrame:
+    """Returns doc_id and sketch (below: array of longs, least: long) for every row, of its whole text; no shuffle.
 
-    Shingles are `width` words; a text with fewer words is one shingle. Null texts count as empty and have no hashes.
-    Sketches of one width and share merge by union, and containment between very unequal texts is the share of the
-    smaller one's hashes that the larger one has; an estimate where share is below 1. Other columns are not carried.
+    Shingles are `width` words; a text with fewer words is one shingle. Null texts count as empty and have no hashes;
+    null ids are kept; repeated rows get equal sketches; an empty table gives no rows; other columns are not carried.
+    The threshold is the same for all texts, so sketches of one width and share merge by union into that of the joined
+    shingles, and containment between very unequal texts is estimated by the share of the smaller one's hashes that the
+    larger one has.
     """
     return add_sketch(texts(df, id_col, text_col), "text", "sketch", width, share).select("doc_id", "sketch")
 

@@ -80,7 +80,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
-def op9_fingerprint(spark: SparkSession, sf_dir: str, width: int = 5, share: float = 1.0) -> DataFrame:
+def op9_fingerprint(spark: SparkSession, sf_dir: str, width: int = 5, share: float = 0.5) -> DataFrame:
     pairs = with_next(texts(table(spark, sf_dir, "documents"), "doc_id", "text"), "text").withColumn("edited", edited_text(F.col("text"), F.col("next_text")))
     # Sketches outweigh their texts, so they are made after the shuffle, the next text's once more.
     for name, sketch in (("text", "sketch"), ("next_text", "next_sketch"), ("edited", "edited_sketch")):
