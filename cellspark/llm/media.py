@@ -29,6 +29,8 @@ from .common import pieces, released, shared_dir, texts
 WIDTH = 192
 #: Fixed value: the first bytes of every PNG file.
 PNG_SIGNATURE = b"\x89PNG\r\n\x1a\n"
+#: Hadoop's names of file systems, and those that Arrow knows.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "gs": "gs"}
 MEMBERS = "doc_id long, n_bytes long, media binary"
 
 
@@ -36,7 +38,10 @@ def file_system(path: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a path or URI, and the path in it."""
     if path.startswith("file:"):
         path = path.removeprefix("file:").replace("//", "", 1) if path.startswith("file://") else path.removeprefix("file:")
-    return (pafs.LocalFileSystem(), path) if "://" not in path else pafs.FileSystem.from_uri(path)
+    if "://" not in path:
+        return pafs.LocalFileSystem(), path
+    scheme, rest = path.split("://", 1)
+    return pafs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}")
 
 
 def chunk(kind: bytes, body: bytes) -> bytes:
@@ -117,6 +122,23 @@ class Range(InputPartition):
     stop: int
 
 
+class Handles:
+    """One open file at a time, opened again after a failure."""
+
+    def __init__(self, files: pafs.FileSystem, path: str) -> None:
+        self.files, self.path, self.handle = files, path, None
+
+    def current(self) -> pa.NativeFile:
+        if self.handle is None:
+            self.handle = self.files.open_input_file(self.path)
+        return self.handle
+
+    def close(self) -> None:
+        if self.handle is not None:
+            self.handle.close()
+        self.handle = None
+
+
 class ArchiveReader(DataSourceReader):
     def __init__(self, path: str, options: dict[str, str]) -> None:
         self.path = path
@@ -139,31 +161,40 @@ class ArchiveReader(DataSourceReader):
             return
         files, path = file_system(self.path)
         path = f"{path}/{partition.archive}"
-        with files.open_input_file(path) as handle, zipfile.ZipFile(handle) as archive:  # reads the directory at its end
-            members = [m for m in archive.infolist() if partition.start <= m.header_offset < partition.stop]
+        with files.open_input_file(path) as handle:
+            with zipfile.ZipFile(handle) as archive:  # reads the directory at its end
+                members = [m for m in archive.infolist() if partition.start <= m.header_offset < partition.stop]
         rows, held = [], 0
-        for member in members:
-            doc_id, size = member.filename.removesuffix(".png").split("_")[1:]
-            rows.append((int(doc_id) if doc_id else None, int(size), self.member(files, path, member)))
-            held += member.file_size
-            if held >= self.batch_bytes:
-                yield self.batch(rows)
-                rows, held = [], 0
+        handles = Handles(files, path)
+        try:
+            for member in members:
+                doc_id, size = member.filename.removesuffix(".png").split("_")[1:]
+                rows.append((int(doc_id) if doc_id else None, int(size), self.member(handles, member)))
+                held += member.file_size
+                if held >= self.batch_bytes:
+                    yield self.batch(rows)
+                    rows, held = [], 0
+        finally:
+            handles.close()
         if rows:
             yield self.batch(rows)
 
-    def member(self, files: pafs.FileSystem, path: str, member: zipfile.ZipInfo) -> bytes | None:
-        """One member's bytes at its offset, by a new handle at each try; the directory's checksum must hold."""
+    def member(self, handles: Handles, member: zipfile.ZipInfo) -> bytes | None:
+        """One member's bytes at its offset, by the handle of the range, by a new one at each further try. A short read, a
+        wrong header and a wrong checksum are failures alike."""
         for left in range(self.tries - 1, -1, -1):
             try:
-                with files.open_input_file(path) as handle:
-                    head = handle.read_at(30, member.header_offset)
-                    skip = sum(struct.unpack_from("<HH", head, 26))
-                    body = handle.read_at(member.file_size, member.header_offset + 30 + skip)
-                if head[:4] != b"PK\x03\x04" or zlib.crc32(body) != member.CRC:
-                    raise OSError(f"damaged member {member.filename} of {path} at {member.header_offset}")
+                handle = handles.current()
+                head = handle.read_at(30, member.header_offset)
+                if len(head) < 30 or head[:4] != b"PK\x03\x04":
+                    raise OSError(f"damaged header of {member.filename} of {handles.path} at {member.header_offset}")
+                skip = sum(struct.unpack_from("<HH", head, 26))
+                body = handle.read_at(member.file_size, member.header_offset + 30 + skip)
+                if len(body) != member.file_size or zlib.crc32(body) != member.CRC:
+                    raise OSError(f"damaged member {member.filename} of {handles.path} at {member.header_offset}")
                 return body
             except OSError:
+                handles.close()
                 if not left and not self.keep_failed:
                     raise
                 time.sleep(0.05 * (self.tries - left) if left else 0)

@@ -1,4 +1,5 @@
 import hashlib
+import zipfile
 import zlib
 from collections import Counter
 
@@ -47,3 +48,44 @@ def test_a_damaged_member_fails_alone(spark, tmp_path):
 
 def test_empty(no_docs):
     assert media.text_media(no_docs).count() == 0
+
+
+class Flaky:
+    """A file system whose reads come short, or fail, the first times."""
+
+    def __init__(self, raw, short):
+        self.raw, self.short, self.opened = raw, short, 0
+
+    def open_input_file(self, path):
+        self.opened += 1
+        return self
+
+    def read_at(self, n, at):
+        if self.short:
+            kind = self.short.pop()
+            if kind == "error":
+                raise OSError("lost")
+            return self.raw[at : at + n][: -kind]
+        return self.raw[at : at + n]
+
+    def close(self):
+        pass
+
+
+@pytest.mark.parametrize(("short", "opened"), [([], 1), ([5], 2), ([1, 29], 3), (["error", 3, "error"], 4)])
+def test_retries_of_one_member(tmp_path, short, opened):
+    path = tmp_path / "a.zip"
+    with zipfile.ZipFile(path, "w") as archive:
+        archive.writestr("0_7_5.png", b"hello world" * 9)
+        archive.writestr("1_8_5.png", b"other")
+    files = Flaky(path.read_bytes(), short)
+    reader = media.ArchiveReader("", {})
+    first, second = zipfile.ZipFile(path).infolist()
+    handles = media.Handles(files, "a.zip")
+    assert reader.member(handles, first) == b"hello world" * 9 and files.opened == opened
+    assert reader.member(handles, second) == b"other" and files.opened == opened
+
+
+def test_names_of_file_systems():
+    assert media.SCHEMES["s3a"] == "s3"
+    assert media.file_system("file:///tmp/x")[1] == "/tmp/x"
