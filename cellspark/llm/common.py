@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -12,13 +13,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no spark.checkpoint.dir, as in tests.
-LOCAL_SCRATCH = "/tmp/cellspark-scratch"
-
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name below spark.checkpoint.dir; Spark removes the folder when the session ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
+    """A new folder name below spark.checkpoint.dir; Spark removes the folder when the session ends. Without that setting, a
+    session of this machine alone gets a folder of its own; on a cluster that is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="cellspark-")
+        spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/cellspark-{name}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)

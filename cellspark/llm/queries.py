@@ -53,7 +53,7 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_join(table(spark, sf_dir, "documents"), width=4, percent=85)
+    return ngram_jaccard_join(table(spark, sf_dir, "documents"), width=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
 def crc_of_id() -> Column:
@@ -124,4 +124,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": op10_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLES: dict[str, str] = {
+    "op5_ngram_jaccard": f"WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents), "
+    "s AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))) END AS k FROM w), "
+    "x AS (SELECT r, len(k) AS n, unnest(k) AS g FROM s), "
+    "p AS (SELECT a.r AS i, b.r AS j FROM x a JOIN x b ON a.g = b.g AND a.r <> b.r GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))), "
+    "c AS (SELECT r, r AS seen FROM s UNION SELECT c.r, p.j FROM c JOIN p ON p.i = c.seen), "
+    "l AS (SELECT c.r, min(t.doc_id) AS component_id FROM c JOIN s t ON t.r = c.seen GROUP BY 1) "
+    "SELECT doc_id, len(k) AS n_shingles, component_id FROM s JOIN l USING (r)",
+}
