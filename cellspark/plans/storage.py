@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no spark.checkpoint.dir, as in tests.
-LOCAL_SCRATCH = "/tmp/cellspark-scratch"
+
+def shared_base(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Without that setting, a session of this machine alone gets a folder of its own; on a cluster
+    that is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="cellspark-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written and read back, so that its lineage is cut and a lost executor costs nothing."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
-    path = f"{base.rstrip('/')}/cellspark-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_base(spark)}/cellspark-{name}-{uuid.uuid4().hex}"
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     df.write.parquet(path)
