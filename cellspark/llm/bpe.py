@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from .blocks import pack, unpack
-from .common import pieces, released
+from .common import pieces, released, small_batches
 
 #: Token ids, ranks among them, are below the edge; a pair that merges into nothing has the rank NO_RANK.
 EDGE, NO_RANK = 0xFFFE, 0xFFFF
@@ -28,9 +28,9 @@ EDGE, NO_RANK = 0xFFFE, 0xFFFF
 #: each has a shift of its own.
 SPREAD, BUCKET_BITS = 0x5851F42D, 16
 #: Texts are cut into blocks of so many bytes; a worker forgets its words beyond so many.
-BLOCK, KNOWN = 2_000_000, 700_000
-#: Input partitions that one task may take, where there are more than twice as many as cores: it meets more words again.
-TOGETHER = 4
+BLOCK, KNOWN = 500_000, 1_200_000
+#: Input partitions that one task may take, where there are more than cores: it meets more words again.
+TOGETHER = 8
 
 
 @lru_cache(maxsize=4)
@@ -242,7 +242,7 @@ def encode(
     """
     ranks, whole = load_ranks(ranks_path), unmerged(ranks_path)
     kept = [c for c in (df.columns if keep is None else keep) if c != ids_col]
-    schema = df.select(*kept).schema
+    schema = small_batches(df).select(*kept).schema
     window = window or max(256, 4 * max(map(len, ranks)))
     held = df.sparkSession.sparkContext.broadcast(ranks)  # read only where windows share no token
     lengths = np.zeros(max(ranks.values()) + 1, np.int32)
@@ -327,7 +327,7 @@ def encode(
 
     rows = df.select(*kept, F.col(text_col).alias(text))
     # A word is folded once in a task, so a task of more input folds fewer words in all.
-    tasks = max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows.rdd.getNumPartitions() // TOGETHER))
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows.rdd.getNumPartitions() // TOGETHER))
     blocks = rows.coalesce(tasks).mapInArrow(released(split), "head array<long>, long array<long>, words array<array<long>>, places binary, ends binary, rows binary")
     blocks = blocks.select("head", "long", fold(ranks_path, F.col("words")).alias("words"), "places", "ends", "rows")
     return blocks.mapInArrow(released(join), schema.add(ids_col, ArrayType(IntegerType())))

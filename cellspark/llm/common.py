@@ -39,6 +39,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 Batches = Iterator[pa.RecordBatch]
+#: Most bytes of a batch between Spark and Python, where the session doesn't say; Spark's own limit is the second.
+BATCH_BYTES, SPARK_BATCH_BYTES = 8 << 20, 64 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; from now on its session passes batches of few MB to Python, which both sides hold at once, unless it has a limit
+    of its own."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key).rstrip("bB") == str(SPARK_BATCH_BYTES):
+        conf.set(key, str(BATCH_BYTES))
+    return df
 
 
 def released(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
@@ -60,7 +71,7 @@ def released(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
 
 def texts(df: DataFrame, id_col: str, text_col: str, *more: str | Column) -> DataFrame:
     """The id as `doc_id` (long) and the text as `text` (null: empty); other columns of df cannot clash with later ones."""
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
+    return small_batches(df).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
 
 
 def utf8_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

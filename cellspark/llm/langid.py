@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pieces, released, texts, utf8_buffer
+from .common import pieces, released, small_batches, texts, utf8_buffer
 
 #: Hash buckets of the byte trigrams; rows of a block of counts.
 DIMS, ROWS = 8192, 256
@@ -177,4 +177,4 @@ def keep_identified(df: DataFrame, model: LanguageModel, text_col: str = "text")
                 column = part.column(text_col).fill_null("")
                 yield part.filter(pa.array(~predict(model, column)[2]))
 
-    return df.mapInArrow(released(run), df.schema)
+    return small_batches(df).mapInArrow(released(run), df.schema)
