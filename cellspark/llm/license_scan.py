@@ -247,9 +247,11 @@ def scan_licenses(df: DataFrame, model: LicenseModel, id_col: str = "doc_id", te
             "t": [{"f": f, "g": [*g], "v": [*g.values()], "s": sum(g.values())} for f, g in model.pairs],
             "b": model.bias,
             "c": list(model.classes),
+            "k": list(model.weights),
+            "p": sorted({g for _, pairs in model.pairs for g in pairs}),
         }
     )
-    kind = "struct<w:map<string,array<double>>,t:array<struct<f:string,g:array<string>,v:array<double>,s:double>>,b:array<double>,c:array<string>>"
+    kind = "struct<w:map<string,array<double>>,t:array<struct<f:string,g:array<string>,v:array<double>,s:double>>,b:array<double>,c:array<string>,k:array<string>,p:array<string>>"
     held = F.from_json(F.lit(literals), kind)
 
     def let(value: Column, body) -> Column:
@@ -264,7 +266,10 @@ def scan_licenses(df: DataFrame, model: LicenseModel, id_col: str = "doc_id", te
             pairs = F.when(n > 1, F.transform(F.sequence(F.lit(0), n - 2), lambda k: F.concat_ws(" ", F.get(words, k), F.get(words, k + 1)))).otherwise(F.array().cast("array<string>"))
 
             def by_pairs(two: Column) -> Column:
-                present = F.array_distinct(F.concat(words, two))
+                return let(F.array_intersect(two, m["p"]), lambda told: by_both(two, told))
+
+            def by_both(two: Column, told: Column) -> Column:
+                present = F.array_intersect(F.concat(words, two), m["k"])  # each once
                 logits = F.aggregate(present, m["b"], lambda acc, f: F.coalesce(F.zip_with(acc, m["w"][f], lambda a, b: a + b), acc))
 
                 def by_logits(z: Column) -> Column:
@@ -273,7 +278,7 @@ def scan_licenses(df: DataFrame, model: LicenseModel, id_col: str = "doc_id", te
                     family = F.get(m["c"], (F.array_position(z, top) - 1).cast("int"))
                     overlap = let(
                         family,
-                        lambda f: F.array_max(F.transform(F.filter(m["t"], lambda t: t["f"] == f), lambda t: F.aggregate(F.zip_with(t["g"], t["v"], lambda g, v: F.when(F.array_contains(two, g), v).otherwise(0.0)), F.lit(0.0), lambda a, v: a + v) / t["s"])),
+                        lambda f: F.array_max(F.transform(F.filter(m["t"], lambda t: t["f"] == f), lambda t: F.aggregate(F.zip_with(t["g"], t["v"], lambda g, v: F.when(F.array_contains(told, g), v).otherwise(0.0)), F.lit(0.0), lambda a, v: a + v) / t["s"])),
                     )
                     return F.struct(i.alias("paragraph"), last.alias("last"), family.alias("family"), (1 / total).alias("probability"), F.coalesce(overlap, F.lit(0.0)).alias("overlap"))
 
@@ -323,4 +328,4 @@ def scan_licenses(df: DataFrame, model: LicenseModel, id_col: str = "doc_id", te
     found = let(held, lambda m: held_once(F.filter(F.transform(read, lambda x: judged(x["p"], x["i"], x["last"], m)), lambda r: (r["family"] != UNKNOWN) & (r["probability"] >= least_probability) & (r["overlap"] >= least_overlap))))
     none = F.array().cast("array<struct<paragraph:int,family:string,probability:double,overlap:double>>")
     low = texts(df, id_col, text_col).select("doc_id", F.lower("text").alias("low"))
-    return low.select("doc_id", F.coalesce(found, none).alias("licenses"))
+    return low.select("doc_id", F.when(known(F.col("low")), found).otherwise(none).alias("licenses"))
