@@ -11,6 +11,7 @@ import base64
 import heapq
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -264,7 +265,7 @@ def encode(
                 words = find(t) if t else []
                 places.extend([number.setdefault(w, len(number)) for w in words])
                 ends.append(len(places))
-            new = [w.encode() for w in list(number)[before:]]
+            new = [w.encode() for w in islice(reversed(number), len(number) - before)][::-1]
             long = [(i, w) for i, w in enumerate(new) if len(w) > window]
             given = [(i, whole[w]) for i, w in enumerate(new) if w in whole] if whole else []
             short = [w if len(w) <= window else b"" for w in new]
