@@ -321,9 +321,9 @@ def knn_edges(r: Relations, k: int = 5, cosine: bool = False, loop: bool = False
 
 
 @register("InfereRadiusConnectivity")
-def radius_edges(r: Relations, r_: float = 1.0, max_num_neighbors: int | None = 32, **parameters: Any) -> Relations:
-    near = pt.radius(arrays(r.get("points", r.get("nodes"))), parameters.get("r", r_), max_num_neighbors)
-    return {**r, "edges": near.select(F.col("node").alias("src"), F.col("center").alias("dst"))}
+def radius_edges(relations: Relations, r: float = 1.0, max_num_neighbors: int | None = 32) -> Relations:
+    near = pt.radius(arrays(relations.get("points", relations.get("nodes"))), r, max_num_neighbors)
+    return {**relations, "edges": near.select(F.col("node").alias("src"), F.col("center").alias("dst"))}
 
 
 @register("LapPE")

@@ -49,13 +49,13 @@ class Dataset:
 
 def text_fields(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
     """(f array of trimmed fields) of the lines that have any."""
-    return spark.read.text(path).where(F.trim("value") != "").select(F.transform(F.split("value", separator), F.trim).alias("f"))
+    return spark.read.text(path).where(F.trim("value") != "").select(F.transform(F.split("value", separator), lambda v: F.trim(v)).alias("f"))
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value) of a file whose lines stand for 1, 2, ..; one task reads the file, a record a line."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split(F.rtrim("value"), "\r?\n")).alias("at", "value"))
-    return lines.select((F.col("at") + 1).cast("long").alias("line"), F.trim("value").alias("value"))
+    """(line, value) of the lines, numbered 1, 2, .., that hold something; one task reads the file, a record a line."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("at", "value"))
+    return lines.select((F.col("at") + 1).cast("long").alias("line"), F.trim("value").alias("value")).where("value <> ''")
 
 
 @loader("manual_graph")
@@ -238,7 +238,7 @@ def content_hypergraph(spark: SparkSession, folder: str, name: str = "zoo") -> R
 def geometric_shapes(spark: SparkSession, folder: str) -> Relations:
     """Point clouds of OFF files in raw/<shape>/<train or test>/<n>.off: clouds (graph_id, node, x) and graphs (graph_id, y,
     split), shapes numbered in order of their names."""
-    files = spark.read.option("wholetext", True).text(f"{folder}/raw/*/*/*.off").select("value", F.col("_metadata.file_path").alias("path"))
+    files = spark.read.text(f"{folder}/raw/*/*/*.off", wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
     parts = F.split("path", "/")
     files = files.select("value", F.element_at(parts, -3).alias("shape"), F.element_at(parts, -2).alias("split"), F.xxhash64("path").alias("graph_id"))
     shapes = [r["shape"] for r in files.select("shape").distinct().orderBy("shape").collect()]  # a row a shape

@@ -16,12 +16,15 @@ def test_triangulations(spark, tmp_path):
 def test_counties(spark):
     row = lambda fips, dem, gop, income, birth: (fips, dem, gop, income, "1", birth, "2", "3", "4")
     stats = spark.createDataFrame([row("10", "6", "2", "1,5", "7"), row("20", "1", "3", "2.5", "bad"), row("30", "1", "1", "9", "9"), row("x", "1", "1", "1", "1")], readers.COUNTY)
-    links = spark.createDataFrame([(10, 20), (10, 10), (20, 99)], "SRC long, DST long")
+    links = spark.createDataFrame([(10, 20), (20, 10), (10, 10), (20, 99), (30, 10)], "SRC long, DST long")  # 30 is the end of none
     nodes, edges = readers.counties(stats, links)
     got = {r["node"]: (r["x"], r["y"]) for r in nodes.collect()}
     assert got[0] == ([1.5, 1.0, 7.0, 2.0, 3.0, 4.0], 0.5)
     assert got[1][0][2] == pytest.approx((7 + 9 + 1) / 3) and got[1][1] == -0.5
     assert sorted(map(tuple, edges.collect())) == [(0, 1), (1, 0)]
+    nodes, _ = readers.counties(stats, links, "BirthRate")
+    got = {r["node"]: (r["x"], r["y"]) for r in nodes.collect()}
+    assert got[0] == ([1.5, 1.0, 2.0, 3.0, 4.0, 0.5], 7.0)
 
 
 def test_hypergraph(spark, tmp_path):
