@@ -56,11 +56,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the mixture, sources weighted by the root of their size. A null source is one of its
     own; rows that repeat each keep their place; an empty table stays empty."""
-    number = F.row_number().over(Window.partitionBy(ID, HASH).orderBy(PLACE))
-    places = mix_sources(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias(ID), F.col("text_hash").alias(HASH), F.col("place").alias(PLACE))
-    places = places.withColumn(COPY, number)
+    places = mix_sources(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("\tid2"), F.col("text_hash").alias("\thash2"), F.col("place").alias(PLACE))
+    places = places.withColumn("\tcopy2", F.row_number().over(Window.partitionBy("\tid2", "\thash2").orderBy(PLACE)))
     numbered = keyed(docs).withColumn(COPY, F.row_number().over(Window.partitionBy(ID, HASH).orderBy(F.lit(0))))
-    both = numbered.join(places.hint("merge"), [ID, HASH, COPY])
+    # Copies are matched beside the keys, so that the join is dealt as the windows are and texts are shuffled once for both.
+    same = (F.col(ID) == F.col("\tid2")) & (F.col(HASH) == F.col("\thash2")) & (F.col(COPY) - F.col("\tcopy2") == 0)
+    both = numbered.join(places.hint("merge"), same)
     return both.repartitionByRange(PLACE).sortWithinPartitions(PLACE).select(*docs.columns)
 
 
