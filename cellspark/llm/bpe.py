@@ -213,6 +213,14 @@ def grown(a: np.ndarray, n: int) -> np.ndarray:
     return a if len(a) >= n else np.concatenate([a, np.zeros(max(len(a), n - len(a)), a.dtype)])
 
 
+class Numbers(dict):
+    """Words and their numbers, in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 def packed_rows(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema) as out:
@@ -254,7 +262,7 @@ def encode(
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
-        number: dict[str, int] = {}
+        number = Numbers()
         for part in pieces(batches, text, block_bytes):
             afresh = len(number) > KNOWN
             if afresh:
@@ -262,8 +270,7 @@ def encode(
             before = len(number)
             places, ends = [], [0]
             for t in part.column(text).to_pylist():
-                words = find(t) if t else []
-                places.extend([number.setdefault(w, len(number)) for w in words])
+                places.extend(map(number.__getitem__, find(t) if t else []))
                 ends.append(len(places))
             new = [w.encode() for w in islice(reversed(number), len(number) - before)][::-1]
             long = [(i, w) for i, w in enumerate(new) if len(w) > window]
