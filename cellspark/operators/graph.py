@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.storage import written
+from . import ranges
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -110,16 +111,11 @@ def khop(nodes: DataFrame, edges: DataFrame, k: int) -> DataFrame:
     return found
 
 
-def triangles(edges: DataFrame) -> DataFrame:
-    """(a, b, c), a < b < c, of edges src < dst. Wedges start at the end of less degree, so a hub opens few of them."""
-    deg = symmetric(edges).groupBy(F.col("src").alias("node")).count()
-    d = edges.join(deg.toDF("src", "ds"), "src").join(deg.toDF("dst", "dd"), "dst")
-    first = (F.col("ds") < F.col("dd")) | ((F.col("ds") == F.col("dd")) & (F.col("src") < F.col("dst")))
-    up = d.select(F.when(first, F.col("src")).otherwise(F.col("dst")).alias("low"), F.when(first, F.col("dst")).otherwise(F.col("src")).alias("high"))
-    wedges = up.toDF("low", "x").join(up.toDF("low", "y"), "low").where("x < y")
-    closed = wedges.join(edges.select(F.col("src").alias("x"), F.col("dst").alias("y")), ["x", "y"])
-    key = F.array_sort(F.array("low", "x", "y"))
-    return closed.select(key[0].alias("a"), key[1].alias("b"), key[2].alias("c"))
+def triangles(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(a, b, c), a < b < c, of edges; nodes, if they are at hand, save a reading of the edges."""
+    ids = edges.select(F.col("src").alias("node")) if nodes is None else nodes.select("node")
+    key = F.col("key")
+    return ranges.cliques(edges, ids, 3).select(key[0].alias("a"), key[1].alias("b"), key[2].alias("c"))
 
 
 def forman_curvature(edges: DataFrame, node_weight: DataFrame | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..plans.storage import written
 from .complex import clique_lifting, hodge_laplacian, incidence, down_laplacian, neighborhood, off_diagonal, up_laplacian
 from .graph import clustering, degrees, dense_ids, khop, pagerank, symmetric, triangles, undirected
+from .ranges import curvature
 
 
 def ordered_subsets(sets: DataFrame, size: int, most: int | None = None) -> DataFrame:
@@ -281,6 +282,13 @@ def simplicial_curvature(cells: DataFrame) -> dict[int, DataFrame]:
     return {1: one, 0: lonely, 2: two}
 
 
+def clique_curvature(nodes: DataFrame, edges: DataFrame) -> dict[int, DataFrame]:
+    """simplicial_curvature of the clique complex of a graph, from the neighbours of nodes without a table of cells."""
+    ids = nodes.select("node")
+    zero = nodes.select(F.array("node").alias("key")).join(curvature(edges, ids, 0), "key", "left")
+    return {1: curvature(edges, ids, 1), 0: zero.select("key", F.coalesce("curvature", F.lit(0.0)).alias("curvature")), 2: curvature(edges, ids, 2)}
+
+
 def from_adjacency(nodes: DataFrame, adjacency: DataFrame, dim: int = 2) -> DataFrame:
     """The cells that node ids and the entries (row, col) of an adjacency stand for, up to `dim`, by common neighbours."""
     edges = undirected(adjacency.select(F.col("row").alias("src"), F.col("col").alias("dst")))
