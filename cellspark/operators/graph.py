@@ -170,7 +170,7 @@ def clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, coefficient): closed share of the pairs of neighbours, 0 below two neighbours."""
     d = nodes.select("node").join(ranges.closed_paths(edges, nodes.select("node")), "node", "left")
     pairs = F.col("degree") * (F.col("degree") - 1)
-    return d.join(at, "node", "left").select("node", F.when(pairs > 0, 2 * F.coalesce("t", F.lit(0)) / pairs).otherwise(0.0).alias("coefficient"))
+    return d.select("node", F.when(pairs > 0, 2 * F.col("t") / pairs).otherwise(0.0).alias("coefficient"))
 
 
 def gcn_propagate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
