@@ -1,8 +1,9 @@
 """Byte-level BPE: Spark's higher-order functions fold ranked merges over the bytes of distinct words.
 
-The tokenizer's ranks become literals of the plan. Within the fold, a word is an array of its adjacent pairs of tokens, one
-long each: the rank of what the pair merges into, then both token ids. A step takes the first pair of least rank, puts
-the merged token in its place and looks up the two new pairs. Around a word stand edges that merge with nothing.
+The tokenizer's ranks are scalar subqueries over local rows, so no plan's text holds them. Within the fold, a word is an
+array of its adjacent pairs of tokens, one long each: the rank of what the pair merges into, room for a place, then both
+token ids. A step takes the first pair of least rank, puts the merged token in its place and looks up the two new pairs.
+Around a word stand edges that merge with nothing.
 """
 
 from __future__ import annotations
@@ -25,11 +26,21 @@ from .common import pieces, released, small_batches
 
 #: Token ids, ranks among them, are below the edge; a pair that merges into nothing has the rank NO_RANK.
 EDGE, NO_RANK = 0xFFFE, 0xFFFF
+#: Of a pair's long: bits below its rank, and bits below its place, which the fold fills in to find the first of least rank.
+RANK_AT, PLACE_AT = 47, 32
+#: Longest window, in bytes: its pairs' places, edges included, have room.
+LONGEST = (1 << (RANK_AT - PLACE_AT)) - 2
 #: Of the table of pairs: multiplier of a key of 32 bits, whose product stays a long, and bits of its buckets, of which
 #: each has a shift of its own.
 SPREAD, BUCKET_BITS = 0x5851F42D, 16
+#: Columns of tables, of names that no other column has.
+SHIFTS, ENTRIES, TOKENS = "\tshifts", "\tentries", "\ttokens"
 #: Texts are cut into blocks of so many bytes; a worker forgets its words beyond so many.
 BLOCK, KNOWN = 500_000, 1_200_000
+#: Patterns and others that match the same in less time: one alternative for all that begin with an apostrophe.
+SAME = {
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+": r"'(?:[stmd]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
+}
 #: Input partitions that one task may take, where there are more than cores: it meets more words again.
 TOGETHER = 8
 
@@ -67,9 +78,9 @@ def unmerged(path: str) -> dict[bytes, int]:
 
 
 @lru_cache(maxsize=2)
-def pair_table(path: str) -> tuple[int, list[int], list[int]]:
+def pair_table(path: str) -> tuple[int, np.ndarray, np.ndarray]:
     """The pairs of tokens that merge, as a hash table without collisions: the multiplier, shifts by bucket, and entries
-    rank << 32 | left << 16 | right, -1 where free. The multiplier is the first that parts the keys of each bucket; buckets
+    rank << RANK_AT | left << 16 | right, -1 where free. The multiplier is the first that parts the keys of each bucket; buckets
     are placed from the fullest on, each at the first shift that finds all its places free."""
     ranks = load_ranks(path)
     keys, values = [], []
@@ -78,7 +89,7 @@ def pair_table(path: str) -> tuple[int, list[int], list[int]]:
             left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
             if left is not None and right is not None:
                 keys.append(left << 16 | right)
-                values.append(rank << 32 | left << 16 | right)
+                values.append(rank << RANK_AT | left << 16 | right)
     size = 1 << max(8, (2 * len(keys)).bit_length())
     for spread in range(SPREAD, 1 << 31, 2):
         h = np.array(keys, np.int64) * np.int64(spread)
@@ -87,24 +98,30 @@ def pair_table(path: str) -> tuple[int, list[int], list[int]]:
             break
     order = np.argsort(bucket, kind="stable")
     groups = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if keys else []
-    shifts, entries = [0] * (1 << BUCKET_BITS), np.full(size, -1, np.int64)
+    shifts, entries = np.zeros(1 << BUCKET_BITS, np.int64), np.full(size, -1, np.int64)
     value = np.array(values, np.int64)
     for group in sorted(groups, key=len, reverse=True):
         own = at[group]
         shift = next(s for s in range(size) if len(set(((own ^ s * 7919) & (size - 1)).tolist())) == len(own) and (entries[(own ^ s * 7919) & (size - 1)] < 0).all())
         shifts[int(bucket[group[0]])] = shift * 7919 & (size - 1)
         entries[(own ^ shift * 7919) & (size - 1)] = value[group]
-    return spread, shifts, entries.tolist()
+    return spread, shifts, entries
 
 
-def longs(values: list[int]) -> Column:
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+def with_constants(df: DataFrame, **arrays: pa.Array) -> DataFrame:
+    """df with the arrays as columns, the same in each row. A literal would be written out in every text of the plan that the
+    driver keeps; the value of a subquery is in none. Binary values become strings, which may hold any bytes."""
+    for name, a in arrays.items():
+        table = df.sparkSession.createDataFrame(pa.table({name: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)}))
+        df = df.withColumn(name, table.select(F.col(name).cast("array<string>") if a.type == pa.binary() else name).scalar())
+    return df
 
 
-def fold(path: str, words: Column) -> Column:
-    """words array<array<long>>, the pairs of each word's bytes as rank << 32 | left << 16 | right, with all merges done."""
+def fold(df: DataFrame, path: str, words: str) -> DataFrame:
+    """df with its column words array<array<long>>, the pairs of each word's bytes as rank << RANK_AT | left << 16 | right
+    with 0 between, after all merges."""
     spread, shifts, entries = pair_table(path)
-    size, none = len(entries), NO_RANK << 32
+    size, none = len(entries), NO_RANK << RANK_AT
 
     def encode(tables: Column) -> Column:
         def ranked(keys: Column) -> Column:
@@ -118,19 +135,22 @@ def fold(path: str, words: Column) -> Column:
         def step(pairs: Column, _: Column) -> Column:
             def merge(least: Column) -> Column:
                 def at(k: Column) -> Column:
-                    token = F.shiftright(least, 32)
-                    left = F.get(pairs, k - 2).bitwiseAND(F.lit(0xFFFF0000))
-                    right = F.get(pairs, k).bitwiseAND(F.lit(0xFFFF))
+                    token = F.shiftright(least, RANK_AT)
+                    left = F.get(pairs, k - 1).bitwiseAND(F.lit(0xFFFF0000))
+                    right = F.get(pairs, k + 1).bitwiseAND(F.lit(0xFFFF))
                     new = ranked(F.array(left.bitwiseOR(token), F.shiftleft(token, 16).bitwiseOR(right)))
-                    return F.concat(F.slice(pairs, F.lit(1), k - 2), new, F.slice(pairs, k + 2, F.size(pairs)))
+                    return F.flatten(F.array(F.slice(pairs, F.lit(1), k - 1), new, F.slice(pairs, k + 3, F.size(pairs))))
 
-                return F.when(least >= F.lit(none), pairs).otherwise(bound(F.array_position(pairs, least).cast("int"), at))
+                return F.when(least >= F.lit(none), pairs).otherwise(bound(F.shiftright(least, PLACE_AT).bitwiseAND(F.lit(LONGEST + 1)).cast("int"), at))
 
-            return bound(F.array_min(pairs), merge)
+            # array_position would end its search by an exception, which costs more than all the rest of a step.
+            placed = F.transform(pairs, lambda pair, k: pair + F.shiftleft(k.cast("long"), PLACE_AT))
+            return bound(F.array_min(placed), merge)
 
-        return F.transform(words, lambda pairs: F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(pairs) - 2, F.lit(1))), pairs, step))
+        return F.transform(F.col(words), lambda pairs: F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(pairs) - 2, F.lit(1))), pairs, step))
 
-    return bound(F.struct(longs(shifts).alias("shifts"), longs(entries).alias("entries")), encode)
+    both = with_constants(df, **{SHIFTS: pa.array(shifts), ENTRIES: pa.array(entries)})
+    return both.withColumn(words, bound(F.struct(F.col(SHIFTS).alias("shifts"), F.col(ENTRIES).alias("entries")), encode)).drop(SHIFTS, ENTRIES)
 
 
 def window_starts(n: int, window: int) -> list[int]:
@@ -185,14 +205,14 @@ def spliced(parts: list[np.ndarray], starts: list[int], sizes: np.ndarray) -> np
 
 
 def byte_table(path: str) -> np.ndarray:
-    """rank << 32 | left << 16 | right of each pair of bytes, at 257 * left + right; 256 stands for an edge."""
+    """rank << RANK_AT | left << 16 | right of each pair of bytes, at 257 * left + right; 256 stands for an edge."""
     ranks = load_ranks(path)
     ids = np.array([*(ranks[bytes([b])] for b in range(256)), EDGE], np.int64)
     merges = np.full((257, 257), NO_RANK, np.int64)
     for token, rank in ranks.items():
         if len(token) == 2:
             merges[token[0], token[1]] = rank
-    return (merges << 32 | ids[:, None] << 16 | ids[None, :]).reshape(-1)
+    return (merges << RANK_AT | ids[:, None] << 16 | ids[None, :]).reshape(-1)
 
 
 def byte_pairs(words: list[bytes], table: np.ndarray) -> pa.ListArray:
@@ -252,7 +272,7 @@ def encode(
     ranks, whole = load_ranks(ranks_path), unmerged(ranks_path)
     kept = [c for c in (df.columns if keep is None else keep) if c != ids_col]
     schema = small_batches(df).select(*kept).schema
-    window = window or max(256, 4 * max(map(len, ranks)))
+    window = min(window or max(256, 4 * max(map(len, ranks))), LONGEST)
     held = df.sparkSession.sparkContext.broadcast(ranks)  # read only where windows share no token
     lengths = np.zeros(max(ranks.values()) + 1, np.int32)
     for token, rank in ranks.items():
@@ -261,7 +281,7 @@ def encode(
     text = "\ttext"  # apart from the columns kept
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = regex.compile(pattern).findall
+        find = regex.compile(SAME.get(pattern, pattern)).findall
         number = Numbers()
         for part in pieces(batches, text, block_bytes):
             afresh = len(number) > KNOWN
@@ -337,16 +357,14 @@ def encode(
     # A word is folded once in a task, so a task of more input folds fewer words in all.
     tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows.rdd.getNumPartitions() // TOGETHER))
     blocks = rows.coalesce(tasks).mapInArrow(released(split), "head array<long>, long array<long>, words array<array<long>>, places binary, ends binary, rows binary")
-    blocks = blocks.select("head", "long", fold(ranks_path, F.col("words")).alias("words"), "places", "ends", "rows")
-    return blocks.mapInArrow(released(join), schema.add(ids_col, ArrayType(IntegerType())))
+    return fold(blocks, ranks_path, "words").mapInArrow(released(join), schema.add(ids_col, ArrayType(IntegerType())))
 
 
 def decode(df: DataFrame, ranks_path: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
     """df with out_col binary: the bytes of the ids' tokens, one after the other; a null list gives null."""
     ranks = load_ranks(ranks_path)
-    hexes = [""] * (max(ranks.values()) + 1)
+    tokens = [b""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
-        hexes[rank] = token.hex()
-    table = F.split(F.lit(",".join(hexes)), ",")
-    joined = bound(table, lambda t: F.array_join(F.transform(F.col(ids_col), lambda i: F.get(t, i)), ""))
-    return df.withColumn(out_col, F.when(F.col(ids_col).isNotNull(), F.unhex(joined)))
+        tokens[rank] = token
+    joined = bound(F.col(TOKENS), lambda t: F.array_join(F.transform(F.col(ids_col), lambda i: F.get(t, i)), "").cast("binary"))
+    return with_constants(df, **{TOKENS: pa.array(tokens, pa.binary())}).withColumn(out_col, F.when(F.col(ids_col).isNotNull(), joined)).drop(TOKENS)

@@ -4,6 +4,7 @@ from collections import Counter
 
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -51,6 +52,27 @@ def test_queue_of_pairs(text):
     assert bpe.merged_word(word, ranks) == [ranks[t] for t in bpe.merged(word, ranks)]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="stmdrevlaZé漢ß0٣²Ⅷ_-'\u0301 \t\n\r\x1c\x85\u3000\u200b😀", max_size=30))
+def test_patterns_that_match_the_same(text):
+    assert PATTERN in bpe.SAME
+    for pattern, same in bpe.SAME.items():
+        assert regex.findall(same, text) == regex.findall(pattern, text)
+
+
+def test_plans_do_not_hold_the_tables(docs):
+    """The driver keeps the text of each plan; the tokenizer's tables as literals made it 3 MB."""
+    done = bpe.decode(bpe.encode(docs.select("doc_id", "text"), PATH, PATTERN), PATH)
+    assert len(done._jdf.queryExecution().toString()) < 50_000
+
+
+def test_windows_up_to_what_places_hold(spark, own):
+    text = "".join(random.Random(4).choice("etaoinshrdlu") for _ in range(300)) + " end"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    for window in (220, bpe.LONGEST + 9):
+        assert bpe.encode(df, PATH, PATTERN, window=window).first()["token_ids"] == own.encode_ordinary(text)
+
+
 def test_too_many_ids(tmp_path):
     (tmp_path / "ranks").write_text("YQ== 0\nYg== 65534\n")
     with pytest.raises(ValueError, match="two bytes"):
