@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,11 +31,31 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
+def trim(spark: SparkSession) -> bool:
+    """Gives memory that the driver's JVM has freed outside its heap, which the C library keeps, back to the system; whether
+    the JVM can do so."""
+    sc = spark.sparkContext
+    java, new = sc._jvm.java.lang, sc._gateway.new_array
+    try:
+        # The server's class is of a package that is closed to callers, its interface isn't.
+        kinds = new(java.Class, 4)
+        for i, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[i] = java.Class.forName(kind)
+        values = new(java.Object, 4)
+        values[0], values[1] = sc._jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        values[2], values[3] = new(java.Object, 0), new(java.String, 0)
+        java.Class.forName("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(java.management.ManagementFactory.getPlatformMBeanServer(), values)
+    except Py4JError:  # another JVM
+        return False
+    return True
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read back: its lineage is cut, a lost executor costs nothing."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
+    trim(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

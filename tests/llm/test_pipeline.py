@@ -6,7 +6,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from cellspark.llm import bpe
+from cellspark.llm import bpe, common
 from tests.llm.conftest import prose
 from tests.llm.test_jaccard import brute_force
 
@@ -46,6 +46,14 @@ def bag(frame):
     return Counter((r["doc_id"], r["text"]) for r in frame.collect())
 
 
+def test_the_driver_gives_memory_back(spark, documents, monkeypatch):
+    assert common.trim(spark)
+    asked = []
+    monkeypatch.setattr(common, "trim", asked.append)
+    assert bag(common.written(documents, "copy")) == bag(documents)
+    assert asked == [spark]
+
+
 def test_language_rejects_the_strange_and_keeps_the_rest(spark, documents, sf_dir, corpus):
     got = pipeline.language(spark, documents, sf_dir)
     assert got.columns == documents.columns
