@@ -257,6 +257,7 @@ def encode(
     keep: list[str] | None = None,
     window: int | None = None,
     block_bytes: int = BLOCK,
+    known_words: int = KNOWN,
 ) -> DataFrame:
     """The columns `keep` of df (None: all) and ids_col array<int>: the ids of each match of `pattern` in the text, encoded
     on its own; no special tokens.
@@ -265,7 +266,7 @@ def encode(
     ids_col is replaced; an empty table gives no rows. Nothing is shuffled, but up to TOGETHER input partitions are one
     task: a pass in Python splits blocks of texts into words and lists each block's words that its task has not met before;
     the fold encodes those; another pass in Python, in the same task, puts the ids of the texts together. Lists are bounded
-    by the block and KNOWN words; whole texts count, a text longer than a block is one block. A word longer than `window` bytes (None: 256, or four times the
+    by the block and known_words; whole texts count, a text longer than a block is one block. A word longer than `window` bytes (None: 256, or four times the
     longest token if that is more) is folded in windows that overlap by half and are joined where two share a token; where
     two share none, as in one letter written over and over, a queue of pairs merges the word in Python.
     """
@@ -284,7 +285,7 @@ def encode(
         find = regex.compile(SAME.get(pattern, pattern)).findall
         number = Numbers()
         for part in pieces(batches, text, block_bytes):
-            afresh = len(number) > KNOWN
+            afresh = len(number) > known_words
             if afresh:
                 number.clear()
             before = len(number)

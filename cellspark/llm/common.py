@@ -50,6 +50,13 @@ def trim(spark: SparkSession) -> bool:
     return True
 
 
+def rest(spark: SparkSession) -> None:
+    """Lets the executors' JVMs collect their garbage, after which they give most of the heap that is free back to the system;
+    Python workers need the room. As many tasks as cores reach each executor, where nothing else runs."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read back: its lineage is cut, a lost executor costs nothing."""
     spark = df.sparkSession

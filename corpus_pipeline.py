@@ -2,7 +2,7 @@
 
 Languages that no model knows and toxic documents go, one document of each group of near copies stays, the sources are
 mixed to their target weights, and the texts become token ids. Each stage works on all that the one before it kept. All
-but the last return the columns of `documents`.
+but the last return the columns of `documents`. All but the first begin with a collection of the executors' garbage.
 """
 
 from __future__ import annotations
@@ -12,12 +12,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellspark.llm.bpe import decode, encode
-from cellspark.llm.common import written
+from cellspark.llm.common import rest, written
 from cellspark.llm.jaccard import ngram_jaccard_join
 from cellspark.llm.langid import fit_languages, keep_identified
 from cellspark.llm.mixing import mix_sources
 from cellspark.llm.toxicity import fit_toxicity, keep_civil
 
+#: A worker of the tokenizer forgets its words beyond so many: less than by itself, as the stages before leave it less memory.
+KNOWN = 400_000
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
@@ -39,12 +41,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that score 0.5 or more; the model learns from the labels of the documents at hand. Null texts score
     as empty ones. Without labels, or labels of one kind only, nothing is told apart and the score of that kind holds."""
+    rest(spark)
     return keep_civil(docs, fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that of the least id (null last), of each component of near copies (five words, Jaccard 0.8 or
     more). Texts without words are of no component and stay; rows with equal id and text become one."""
+    rest(spark)
     rows = ngram_jaccard_join(docs, width=5, percent=80)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
     kept = rows.where("component IS NOT NULL").groupBy("component").agg(first).select("first.doc_id", "first.text_hash")
@@ -56,6 +60,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the mixture, sources weighted by the root of their size. A null source is one of its
     own; rows that repeat each keep their place; an empty table stays empty."""
+    rest(spark)
     places = mix_sources(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("\tid2"), F.col("text_hash").alias("\thash2"), F.col("place").alias(PLACE))
     places = places.withColumn("\tcopy2", F.row_number().over(Window.partitionBy("\tid2", "\thash2").orderBy(PLACE)))
     numbered = keyed(docs).withColumn(COPY, F.row_number().over(Window.partitionBy(ID, HASH).orderBy(F.lit(0))))
@@ -67,8 +72,10 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, token_ids, and whether decoding the ids gives the text's bytes again (null: none)."""
+    rest(spark)
     digest = F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)
-    done = decode(encode(docs.select("doc_id", "lang", "source", "text", digest.alias("digest")), RANKS, PATTERN, keep=["doc_id", "lang", "source", "digest"]), RANKS)
+    rows = docs.select("doc_id", "lang", "source", "text", digest.alias("digest"))
+    done = decode(encode(rows, RANKS, PATTERN, keep=["doc_id", "lang", "source", "digest"], known_words=KNOWN), RANKS)
     same = F.sha2("decoded", 256) == F.col("digest")
     return done.select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", same.alias("round_trip"))
 

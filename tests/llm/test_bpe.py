@@ -34,6 +34,13 @@ def test_many_blocks_keep_and_repeats(spark, own):
     assert Counter((r["doc_id"], tuple(r["token_ids"])) for r in got.collect()) == Counter((i // 2, tuple(own.encode_ordinary(t))) for i, t in enumerate(texts))
 
 
+def test_words_are_forgotten_and_met_again(spark, own):
+    texts = [f"word{i % 7} straße {i} naïve-{i}ly  \n\tend" for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r["token_ids"] for r in bpe.encode(df, PATH, PATTERN, block_bytes=40, known_words=9).collect()}
+    assert got == {i: own.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
 def test_long_words(spark, own):
     rng = random.Random(3)
     letters = "etaoinshrdlu" * 3 + "bcfgjkmpqvwxyzéß"

@@ -54,6 +54,20 @@ def test_the_driver_gives_memory_back(spark, documents, monkeypatch):
     assert asked == [spark]
 
 
+def test_executors_give_memory_back_before_each_later_stage(spark, documents, sf_dir, monkeypatch):
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    whole = [b for b in beans if any(x in b.getName() for x in ("Old", "MarkSweep", "Full"))]
+    before = sum(b.getCollectionCount() for b in whole)
+    common.rest(spark)  # in local mode the driver is the executor
+    assert whole and sum(b.getCollectionCount() for b in whole) > before
+    asked = []
+    monkeypatch.setattr(pipeline, "rest", asked.append)
+    for name, stage in pipeline.STAGES:
+        asked.clear()
+        stage(spark, documents, sf_dir)
+        assert asked == [spark] * (name != "language")
+
+
 def test_language_rejects_the_strange_and_keeps_the_rest(spark, documents, sf_dir, corpus):
     got = pipeline.language(spark, documents, sf_dir)
     assert got.columns == documents.columns
