@@ -282,11 +282,14 @@ def simplicial_curvature(cells: DataFrame) -> dict[int, DataFrame]:
     return {1: one, 0: lonely, 2: two}
 
 
-def clique_curvature(nodes: DataFrame, edges: DataFrame) -> dict[int, DataFrame]:
-    """simplicial_curvature of the clique complex of a graph, from the neighbours of nodes without a table of cells."""
+def clique_curvature(nodes: DataFrame, edges: DataFrame, ranks: Iterable[int] = (0, 1, 2)) -> dict[int, DataFrame]:
+    """simplicial_curvature of the clique complex of a graph, of the ranks asked for, without a table of cells."""
     ids = nodes.select("node")
-    zero = nodes.select(F.array("node").alias("key")).join(curvature(edges, ids, 0), "key", "left")
-    return {1: curvature(edges, ids, 1), 0: zero.select("key", F.coalesce("curvature", F.lit(0.0)).alias("curvature")), 2: curvature(edges, ids, 2)}
+    made = {r: curvature(edges, ids, r) for r in ranks}
+    if 0 in made:
+        zero = nodes.select(F.array("node").alias("key")).join(made[0], "key", "left")
+        made[0] = zero.select("key", F.coalesce("curvature", F.lit(0.0)).alias("curvature"))
+    return made
 
 
 def from_adjacency(nodes: DataFrame, adjacency: DataFrame, dim: int = 2) -> DataFrame:
